@@ -15,7 +15,7 @@ with most of the receipts costs no more than any other, and they run unchanged o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachline.fixed import STATUS_RANK, UNKNOWN_CHANNEL
@@ -40,44 +40,63 @@ def _status_named(rank: Column) -> Column:
 
 
 def first_receipts(receipts: DataFrame) -> DataFrame:
-    """The first receipt of each type of each message; later ones are duplicates."""
-    arrival = Window.partitionBy(*KEYS, "event_type").orderBy("seq")
-    return (receipts.withColumn("arrival", F.row_number().over(arrival))
-            .where(F.col("arrival") == 1).drop("arrival"))
+    """The first receipt of each type of each message; later ones are duplicates.
 
+    A grouped minimum: repeats are dropped before the shuffle. With fixed-width columns only
+    (no metadata) it runs as a hash aggregate.
+    """
+    others = [c for c in receipts.columns if c not in (*KEYS, "event_type", "seq")]
+    return receipts.groupBy(*KEYS, "event_type").agg(
+        F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in others])
 
-def fold_receipts(receipts: DataFrame) -> DataFrame:
-    """Status, send time and last receipt time of each message. Batch or stream."""
+
+def _progress() -> list[Column]:
+    """What the status of a message depends on, as combinable aggregates."""
     kind, seq, ts = F.col("event_type"), F.col("seq"), F.col("ts")
     rank = rank_of(kind)
     failed = F.coalesce(kind == "failed", F.lit(False))
     handed_over = kind.isin("sent", "delivered")
-    state = receipts.groupBy(*KEYS).agg(
+    return [
         F.min(F.when(rank >= 2, seq)).alias("settled"),
         F.min(F.when(failed, seq)).alias("failed"),
         F.max(F.when(~failed, rank)).alias("top"),
         F.min(F.when(rank >= 1, seq)).alias("moved"),
         F.min(F.when(handed_over, seq)).alias("handed"),
         F.min_by(ts, F.when(handed_over, seq)).alias("handed_at"),
-        F.max(ts).alias("updated_at"))
-    return state.select(
-        *KEYS,
+        F.max(ts).alias("updated_at"),
+    ]
+
+
+def _log() -> Column:
+    entry = F.struct("seq", "event_type", "ts", "metadata")
+    by_arrival = (lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0))
+    return F.array_sort(F.collect_list(entry), by_arrival).alias("events")
+
+
+def _status() -> list[Column]:
+    """Status and send time from the aggregates of ``_progress``."""
+    return [
         F.when(F.col("failed") == F.col("settled"), "failed")
         .otherwise(_status_named(F.coalesce("top", F.lit(0)))).alias("status"),
         F.when(F.col("handed") == F.col("moved"), F.col("handed_at")).alias("sent_at"),
-        "updated_at")
+        F.col("updated_at"),
+    ]
 
 
-def _logs(firsts: DataFrame) -> DataFrame:
-    entry = F.struct("seq", "event_type", "ts", "metadata")
-    by_arrival = (lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0))
-    return firsts.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(entry), by_arrival).alias("events"))
+def fold_receipts(receipts: DataFrame) -> DataFrame:
+    """Status, send time and last receipt time of each message. Batch or stream."""
+    return receipts.groupBy(*KEYS).agg(*_progress()).select(*KEYS, *_status())
 
 
 def event_log(receipts: DataFrame) -> DataFrame:
     """Accepted receipts of each message in arrival order, one per type."""
-    return _logs(first_receipts(receipts))
+    return first_receipts(receipts).groupBy(*KEYS).agg(_log())
+
+
+def message_states(receipts: DataFrame) -> DataFrame:
+    """Status columns together with the event log, from one grouping of accepted receipts."""
+    return (first_receipts(receipts).groupBy(*KEYS).agg(*_progress(), _log())
+            .select(*KEYS, *_status(), "events"))
 
 
 def stage_event_counts(receipts: DataFrame) -> DataFrame:
@@ -85,16 +104,6 @@ def stage_event_counts(receipts: DataFrame) -> DataFrame:
     return receipts.groupBy("event_type").agg(F.count("*").alias("receipts"))
 
 
-def message_states(receipts: DataFrame) -> DataFrame:
-    """Status columns together with the event log.
-
-    The log holds every first occurrence, which is all the status depends on, so both come
-    from one pass over the receipts and the second grouping sees a few rows per message.
-    """
-    firsts = first_receipts(receipts)
-    return fold_receipts(firsts).join(_logs(firsts), KEYS)
-
-
 def stored_receipts(communications: DataFrame) -> DataFrame:
     """The receipts already kept in message rows."""
     return (communications.select(*KEYS, F.explode("events").alias("e"))

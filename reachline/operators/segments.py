@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reachline.functions import as_timestamp, days_before, whole_days_since
 from reachline.functions.contact import filled
@@ -160,30 +161,41 @@ def _customer_keys(as_of: AsOf) -> Column:
     return F.array_compact(F.concat(single, F.array_distinct(tags)))
 
 
-def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
-                keep: Iterable[str] = ("id",)) -> DataFrame:
-    """Every (rule row, active customer) match.
+def _match_few(customers: DataFrame, schema: T.StructType, rows: list[Row], as_of: AsOf,
+               keep: list[str]) -> DataFrame:
+    """Tests a handful of known rules on each customer in one pass, without a join."""
+    names = [field for field in schema.fields if field.name != "rule"]
 
-    ``rules`` has a ``rule`` struct and any further columns; ``keep`` names the customer
-    columns wanted besides, and ``id`` becomes ``customer_id``. Rules and customers meet on
-    lookup keys: a rule is filed under its most telling condition only, a customer under
-    all that hold for it, and the full rule is tested on the pairs that meet. A small rule
-    table is sent to the customers, which are then not shuffled; Spark decides this by its
-    size. A larger one is joined on the key, with crowded keys split at run time.
+    def payload(row: Row) -> Column:
+        return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in names])
+
+    # The exploded value is a rule's position; what belongs to the rule is a constant.
+    hits = F.array(*[F.when(_matches(row["rule"].asDict().get, as_of, literal=True), F.lit(i))
+                     for i, row in enumerate(rows, 1)])
+    kept = [F.col(c).alias("customer_id") if c == "id" else F.col(c) for c in keep]
+    constants = F.array(*map(payload, rows))
+    return (customers.where("is_active").select(*kept, F.explode(hits).alias("hit"))
+            .where(F.col("hit").isNotNull())
+            .withColumn("hit", F.element_at(constants, F.col("hit")))
+            .select("hit.*", *["customer_id" if c == "id" else c for c in keep]))
+
+
+def _match_many(customers: DataFrame, rules: DataFrame, as_of: AsOf,
+                keep: list[str]) -> DataFrame:
+    """Lets rules and customers meet on lookup keys and tests the pairs that meet.
+
+    A rule is filed under its most telling condition only, a customer under all that hold
+    for it. Spark broadcasts the rules while their size allows it; beyond that both sides
+    are joined on the key, and crowded keys are split at run time.
     """
-    keep = list(keep)
     used = ["is_active", "city", "gender", "age", "total_spent", "total_orders",
             "last_order_date", "tags"]
     filed = rules.withColumn("key", F.explode(_rule_keys("rule")))
     looked_up = (customers.where("is_active").select(*dict.fromkeys(used + keep))
                  .withColumn("key", F.explode(_customer_keys(as_of))))
-    clash = [name for name in looked_up.columns if name in rules.columns]
     looked_up = looked_up.select(
         *[F.col(c).alias("customer_id") if c == "id" else F.col(c)
           for c in looked_up.columns])
-    clash = [name for name in clash if name not in ("id", "key")]
-    if clash:
-        raise ValueError(f"rename the rule columns {clash}; customers have them too")
     field = lambda key: F.col(f"rule.{key}")
     # A customer with several of the wanted tags counts under the first of them only.
     wanted = F.array_intersect(field("tags"), F.col("tags"))
@@ -191,8 +203,27 @@ def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
             | (F.col("key") == F.concat(F.lit("tag="), F.element_at(wanted, 1))))
     matched = (filed.join(looked_up, "key")
                .where(_matches(field, as_of, literal=False)).where(once))
-    kept = ["customer_id" if c == "id" else c for c in keep]
-    return matched.select(*[c for c in rules.columns if c != "rule"], *kept)
+    return matched.select(*[c for c in rules.columns if c != "rule"],
+                          *["customer_id" if c == "id" else c for c in keep])
+
+
+def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
+                keep: Iterable[str] = ("id",), few: int = 32) -> DataFrame:
+    """Every (rule row, active customer) match.
+
+    ``rules`` has a ``rule`` struct and any further columns; ``keep`` names the customer
+    columns wanted besides, and ``id`` becomes ``customer_id``. Up to ``few`` rules are read
+    into the plan and tested in one pass over the customers. More are joined on lookup keys.
+    Both give the same rows.
+    """
+    keep = list(keep)
+    clash = {c for c in (*keep, "customer_id") if c in rules.columns} - {"id"}
+    if clash:
+        raise ValueError(f"rename the rule columns {sorted(clash)}; customers have them too")
+    head = rules.limit(few + 1).collect()
+    if 0 < len(head) <= few:
+        return _match_few(customers, rules.schema, head, as_of, keep)
+    return _match_many(customers, rules, as_of, keep)
 
 
 def segment_membership(customers: DataFrame, segments: DataFrame, as_of: AsOf) -> DataFrame:

@@ -131,17 +131,28 @@ def campaign_start(campaign_id: Column) -> Column:
             + F.make_dt_interval(campaign_id.cast("int")))
 
 
-def audience(receipts: DataFrame) -> DataFrame:
-    """Who each sent campaign was addressed to."""
-    seen = receipts.select("campaign_id", "customer_id").distinct()
-    campaign = F.col("campaign_id")
-    same_day = seen.where(
-        (campaign % 2 == 0)
-        & ((campaign % 6 != 0) | (F.col("customer_id") % 10 != 0)))
+def _addressed() -> Column:
+    """Whether a campaign was sent to a customer it has receipts of, or knows of.
+
+    Odd campaigns went to everyone with a receipt, every sixth to the day's customers but
+    for one in ten, the other even ones to all of the day's customers.
+    """
+    campaign, customer = F.col("campaign_id"), F.col("customer_id")
+    return (campaign % 2 == 1) | (campaign % 6 != 0) | (customer % 10 != 0)
+
+
+def _with_everyone(receipts: DataFrame) -> DataFrame:
+    """Receipts, and an empty row for every odd campaign and customer with any receipt."""
     everyone = receipts.select("customer_id").distinct().select(
         F.explode(F.sequence(F.lit(1), F.lit(SENT_CAMPAIGNS - 1), F.lit(2))
                   .cast("array<bigint>")).alias("campaign_id"), "customer_id")
-    return same_day.unionByName(everyone)
+    return receipts.unionByName(everyone, allowMissingColumns=True)
+
+
+def audience(receipts: DataFrame) -> DataFrame:
+    """Who each sent campaign was addressed to."""
+    return (_with_everyone(receipts.select("campaign_id", "customer_id"))
+            .where(_addressed()).distinct())
 
 
 def queued_communications(receipts: DataFrame) -> DataFrame:
@@ -158,17 +169,13 @@ def queued_communications(receipts: DataFrame) -> DataFrame:
 
 def communications(spark: SparkSession, folder: str) -> DataFrame:
     """The message rows after all receipts."""
-    received = receipts(spark, folder)
-    queued = queued_communications(received).alias("q")
-    folded = fold_receipts(received).alias("f")
-    keys = ["campaign_id", "customer_id"]
-    return queued.join(folded, keys, "full_outer").select(
-        (F.col("campaign_id") * ID_STEP + F.col("customer_id")).alias("id"),
-        *keys,
-        F.coalesce("q.channel", F.lit(UNKNOWN_CHANNEL)).alias("channel"),
-        F.coalesce("f.status", "q.status").alias("status"),
-        F.col("f.sent_at").alias("sent_at"),
-        F.coalesce("f.updated_at", "q.updated_at").alias("updated_at"))
+    campaign = F.col("campaign_id")
+    return fold_receipts(_with_everyone(receipts(spark, folder))).select(
+        (campaign * ID_STEP + F.col("customer_id")).alias("id"),
+        "campaign_id", "customer_id",
+        F.when(_addressed(), channel_of(campaign)).otherwise(UNKNOWN_CHANNEL).alias("channel"),
+        "status", "sent_at",
+        F.coalesce("updated_at", campaign_start(campaign)).alias("updated_at"))
 
 
 def with_recipient(communications: DataFrame, customers: DataFrame) -> DataFrame:
