@@ -54,12 +54,13 @@ def missing_parents(rows: DataFrame, table: str, column: str, parents: DataFrame
                     parent_key: str = "id", key: str = "id") -> DataFrame:
     """Rows that refer to a parent which does not exist."""
     known = parents.select(F.col(parent_key).alias(column))
-    orphans = rows.select(key, column).join(known, column, "left_anti")
+    orphans = (rows.where(F.col(column).isNotNull()).select(key, column)
+               .join(known, column, "left_anti"))
     return _violation(orphans, table, f"{column} unknown", F.col(key))
 
 
 def constraint_violations(customers: DataFrame, orders: DataFrame, communications: DataFrame,
-                          campaigns: DataFrame) -> DataFrame:
+                          campaigns: DataFrame, segments: DataFrame) -> DataFrame:
     """Everything the tables' constraints and the send requests forbid, in one table."""
     missing = lambda c: F.col(c).isNull()
     parts = [
@@ -74,8 +75,9 @@ def constraint_violations(customers: DataFrame, orders: DataFrame, communication
         repeated_values(orders, "orders", "order_number"),
         missing_parents(orders, "orders", "customer_id", customers),
         failed_checks(campaigns, "campaigns", {
-            f"{c} missing": filled(F.col(c)).isNull()
-            for c in ("name", "channel", "message_template")}),
+            f"{c} missing": filled(F.col(c).cast("string")).isNull()
+            for c in ("name", "segment_id", "channel", "message_template")}),
+        missing_parents(campaigns, "campaigns", "segment_id", segments),
         failed_checks(communications, "communications", {
             "recipient missing": filled(F.col("recipient")).isNull()}),
         missing_parents(communications, "communications", "customer_id", customers),

@@ -117,8 +117,10 @@ def constraints(spark: SparkSession, folder: str) -> DataFrame:
         .alias("order_number"),
         F.when(key % 197 != 0, F.col("amount")).alias("amount"))
     messages = retail.with_recipient(retail.communications(spark, folder), people)
+    heads = retail.campaign_heads(spark).withColumn(
+        "segment_id", F.when(key != 31, F.when(key == 30, 77).otherwise(F.col("segment_id"))))
     return constraint_violations(faulty_people, faulty_orders, messages,
-                                 retail.campaign_heads(spark))
+                                 heads, retail.segments(spark))
 
 
 QUERIES = {
@@ -269,6 +271,8 @@ ORACLES = {name: over_tables(sql) for name, sql in {
         GROUP BY order_number HAVING count(*) > 1
       UNION ALL SELECT 'orders', 'customer_id unknown', CAST(id AS VARCHAR) FROM sales
         WHERE customer_id NOT IN (SELECT id FROM people)
+      UNION ALL SELECT 'campaigns', 'segment_id missing', '31'
+      UNION ALL SELECT 'campaigns', 'segment_id unknown', '30'
       UNION ALL SELECT 'communications', 'recipient missing', CAST(id AS VARCHAR) FROM comms
         WHERE channel = 'unknown'
       UNION ALL SELECT 'communications', 'customer_id unknown', CAST(id AS VARCHAR) FROM comms
