@@ -115,27 +115,35 @@ def message_id(campaign_id: Column, customer_id: Column) -> Column:
     return F.concat_ws("-", campaign_id.cast("string"), customer_id.cast("string"))
 
 
-def upsert_communications(communications: DataFrame, receipts: DataFrame,
-                          new_id=message_id) -> DataFrame:
-    """The message table after new receipts.
+def changed_communications(communications: DataFrame, receipts: DataFrame,
+                           new_id=message_id) -> DataFrame:
+    """The message rows that new receipts name, as they are afterwards.
 
-    Only rows the receipts name are folded again, from their stored events and the new
-    receipts together; the others pass through. A receipt without a row makes one with an
-    unknown channel and an id from ``new_id``. Stored arrival numbers must be lower than new
-    ones.
+    They are folded again from their stored events and the new receipts together. A receipt
+    without a row makes one with an unknown channel and an id from ``new_id``. Stored arrival
+    numbers must be lower than new ones.
     """
     named = receipts.select(*KEYS).distinct()
     touched = communications.join(named, KEYS, "left_semi")
     columns = ["seq", *KEYS, "event_type", "ts", "metadata"]
     states = message_states(stored_receipts(touched).unionByName(receipts.select(columns)))
-    old, new = communications.alias("old"), states.alias("new")
-    return old.join(new, KEYS, "full_outer").select(
-        F.coalesce("old.id", new_id(*map(F.col, KEYS))).alias("id"),
-        *KEYS,
-        F.col("old.recipient").alias("recipient"),
-        F.coalesce("old.channel", F.lit(UNKNOWN_CHANNEL)).alias("channel"),
-        F.coalesce("new.status", "old.status").alias("status"),
-        F.coalesce("new.events", "old.events").alias("events"),
-        F.when(F.col("new.status").isNotNull(), F.col("new.sent_at"))
-        .otherwise(F.col("old.sent_at")).alias("sent_at"),
-        F.coalesce("new.updated_at", "old.updated_at").alias("updated_at"))
+    kept = touched.select(*KEYS, "id", "recipient", "channel")
+    return states.join(kept, KEYS, "left").select(
+        F.coalesce("id", new_id(*map(F.col, KEYS))).alias("id"), *KEYS, "recipient",
+        F.coalesce("channel", F.lit(UNKNOWN_CHANNEL)).alias("channel"),
+        "status", "events", "sent_at", "updated_at")
+
+
+def upsert_communications(communications: DataFrame, receipts: DataFrame,
+                          new_id=message_id) -> DataFrame:
+    """The whole message table after new receipts.
+
+    Rows the receipts do not name pass through. While the receipts are few next to the
+    table, their keys are broadcast and the table is not shuffled.
+    """
+    named = receipts.select(*KEYS).distinct()
+    changed = changed_communications(communications, receipts, new_id)
+    others = communications.join(named, KEYS, "left_anti").select(
+        F.coalesce("id", new_id(*map(F.col, KEYS))).alias("id"),
+        *[c for c in changed.columns if c != "id"])
+    return changed.unionByName(others)

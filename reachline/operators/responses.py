@@ -13,26 +13,42 @@ from reachline.functions import render_message
 FENCE_OPEN = r"(?m)^```(?:json)?\s*"
 FENCE_CLOSE = r"(?m)```\s*$"
 EMBEDDED_OBJECT = r"(?s)\{.*\}"
-OUTER_SPACE = r"^\s+|\s+$"
 
+# Fixed value: the characters that count as space around a reply.
+SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+         "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-def _whole_json(text: Column) -> Column:
-    """The text as one JSON value, null if anything precedes or follows it.
 
-    Wrapping it in an array makes left-over text an error instead of being skipped.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    alone = (F.try_variant_get(wrapped, "$[1]", "string") == "0") & \
-        F.try_variant_get(wrapped, "$[2]", "string").isNull()
-    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+def _parsed(text: Column) -> Column:
+    """The text as the first item of an array, so that left-over text is an error."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+
+
+def _single(parsed: Column) -> Column:
+    """Whether exactly one value was parsed."""
+    return F.coalesce((F.try_variant_get(parsed, "$[1]", "int") == 0)
+                      & F.try_variant_get(parsed, "$[2]", "int").isNull(), F.lit(False))
 
 
-def extract_json(text: Column) -> Column:
-    """The JSON a reply holds: the reply without code fences, else the widest ``{...}`` in it."""
-    unfenced = F.regexp_replace(F.regexp_replace(text, FENCE_OPEN, ""), FENCE_CLOSE, "")
-    trimmed = F.regexp_replace(unfenced, OUTER_SPACE, "")
-    inner = F.regexp_extract(trimmed, EMBEDDED_OBJECT, 0)
-    return F.coalesce(_whole_json(trimmed), _whole_json(inner))
+def with_json(replies: DataFrame, reply: str, answer: str = "answer") -> DataFrame:
+    """Adds the JSON a reply holds, null without any: the reply without code fences, else the
+    widest ``{...}`` in it.
+
+    Each step is a column of its own, so that none is worked out more than once.
+    """
+    text = F.col(reply)
+    unfenced = F.when(F.contains(text, F.lit("```")), F.regexp_replace(
+        F.regexp_replace(text, FENCE_OPEN, ""), FENCE_CLOSE, "")).otherwise(text)
+    value = lambda c: F.try_variant_get(c, "$[0]", "variant")
+    return (replies
+            .withColumn("_text", F.btrim(unfenced, F.lit(SPACE)))
+            .withColumn("_whole", _parsed(F.col("_text")))
+            .withColumn("_is_whole", _single(F.col("_whole")))
+            .withColumn("_inner", F.when(~F.col("_is_whole"), _parsed(
+                F.regexp_extract("_text", EMBEDDED_OBJECT, 0))))
+            .withColumn(answer, F.when(F.col("_is_whole"), value(F.col("_whole")))
+                        .when(_single(F.col("_inner")), value(F.col("_inner"))))
+            .drop("_text", "_whole", "_is_whole", "_inner"))
 
 
 def segment_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -44,7 +60,7 @@ def segment_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     text = lambda path: F.try_variant_get(answer, path, "string")
     usable = answer.isNotNull()
     rule = F.coalesce(F.to_json(F.try_variant_get(answer, "$.filters", "variant")), F.lit("{}"))
-    return (replies.withColumn("answer", extract_json(F.col(reply)))
+    return (with_json(replies, reply)
             .withColumn("parsed", usable)
             .withColumn("segment_name", F.when(usable, F.coalesce(
                 text("$.segment_name"), F.lit(DEFAULT_SEGMENT_NAME))))
@@ -63,7 +79,7 @@ def message_drafts(replies: DataFrame, brand: str, reply: str = "reply") -> Data
     text = lambda path: F.try_variant_get(answer, path, "string")
     usable = answer.isNotNull()
     channel = F.col("channel")
-    return (replies.withColumn("answer", extract_json(F.col(reply)))
+    return (with_json(replies, reply)
             .withColumn("stock", ~usable)
             .withColumn("subject", F.when(usable, text("$.message.subject"))
                         .when(channel == "email", F.lit(DEFAULT_SUBJECT)))
@@ -76,7 +92,7 @@ def message_drafts(replies: DataFrame, brand: str, reply: str = "reply") -> Data
 
 def normalise_channel(text: Column) -> Column:
     """The channel a reply names: alone, else the first known name inside it, else the default."""
-    word = F.lower(F.regexp_replace(text, OUTER_SPACE, ""))
+    word = F.lower(F.btrim(text, F.lit(SPACE)))
     word = F.translate(word, "\"'", "")
     channel = F.when(word.isin(CHANNELS), word)
     for name in CHANNELS:

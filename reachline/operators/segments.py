@@ -109,13 +109,12 @@ def matched_columns(customers: DataFrame) -> DataFrame:
                             F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
-# Ranges a rule can bound, with the rule fields that bound them from below and above.
+# Ranges a rule is filed under, with the rule fields that bound them from below and above.
 RANGES = {
     "spent": (["min_spent"], ["max_spent"]),
     "idle": (["days_since_last_order", "days_since_last_order_min"],
              ["days_since_last_order_max"]),
     "orders": (["min_orders"], ["max_orders"]),
-    "age": (["min_age"], ["max_age"]),
 }
 TOP_BAND = 63
 
@@ -127,38 +126,31 @@ def _band(value: Column) -> Column:
 
 
 def _rule_keys(rule: str) -> Column:
-    """Lookup keys of a rule: its cities, else its tags, else one of its ranges in bands,
-    else its gender, else the key every customer has."""
+    """Lookup keys of a rule: its tags, else its cities, else one of its ranges in bands, else
+    the key every customer has. Gender and age alone tell too little."""
     field = lambda key: F.col(f"{rule}.{key}")
     label = lambda kind: (lambda v: F.concat(F.lit(f"{kind}="), v.cast("string")))
-    keys = (F.when(field("cities").isNotNull(),
-                   F.transform(F.array_distinct(field("cities")), label("city")))
-            .when(field("tags").isNotNull(),
-                  F.transform(F.array_distinct(field("tags")), label("tag"))))
+    keys = (F.when(field("tags").isNotNull(), F.array_distinct(field("tags")))
+            .when(field("cities").isNotNull(),
+                  F.transform(F.array_distinct(field("cities")), label("city"))))
     for kind, (lows, highs) in RANGES.items():
         low = F.greatest(F.lit(None), *map(field, lows)).cast("double")
         high = F.least(F.lit(None), *map(field, highs)).cast("double")
         bands = F.sequence(_band(F.coalesce(low, F.lit(0.0))),
                            F.when(high.isNull(), TOP_BAND).otherwise(_band(high)))
         keys = keys.when(low.isNotNull() | high.isNotNull(), F.transform(bands, label(kind)))
-    return (keys.when(field("gender").isNotNull(),
-                      F.array(F.concat(F.lit("gender="), field("gender"))))
-            .otherwise(F.array(F.lit("all"))))
+    return keys.otherwise(F.array(F.lit("all")))
 
 
-def _customer_keys(as_of: AsOf) -> Column:
-    """Lookup keys of a customer, one per kind and one per tag."""
+def _customer_keys(as_of: AsOf) -> tuple[list[Column], Column]:
+    """Lookup keys of a customer: one or none of each kind, and the tags."""
     numbers = {"spent": F.col("total_spent"), "orders": F.col("total_orders"),
-               "age": F.col("age"),
                "idle": whole_days_since(F.col("last_order_date"), as_of)}
-    single = F.array(
-        F.lit("all"),
-        F.concat(F.lit("city="), F.col("city")), F.concat(F.lit("gender="), F.col("gender")),
-        *[F.concat(F.lit(f"{kind}="), _band(F.when(number.isNotNull(), number)).cast("string"))
-          for kind, number in numbers.items()])
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")),
-                       lambda t: F.concat(F.lit("tag="), t))
-    return F.array_compact(F.concat(single, F.array_distinct(tags)))
+    single = [F.lit("all"), F.concat(F.lit("city="), F.col("city"))]
+    for kind, number in numbers.items():
+        band = F.when(number.isNotNull(), _band(number))
+        single.append(F.concat(F.lit(f"{kind}="), band.cast("string")))
+    return single, F.coalesce("tags", F.array().cast("array<string>"))
 
 
 def _match_few(customers: DataFrame, schema: T.StructType, rows: list[Row], as_of: AsOf,
@@ -191,16 +183,18 @@ def _match_many(customers: DataFrame, rules: DataFrame, as_of: AsOf,
     used = ["is_active", "city", "gender", "age", "total_spent", "total_orders",
             "last_order_date", "tags"]
     filed = rules.withColumn("key", F.explode(_rule_keys("rule")))
-    looked_up = (customers.where("is_active").select(*dict.fromkeys(used + keep))
-                 .withColumn("key", F.explode(_customer_keys(as_of))))
-    looked_up = looked_up.select(
+    single, tags = _customer_keys(as_of)
+    looked_up = (customers.where("is_active").select(
         *[F.col(c).alias("customer_id") if c == "id" else F.col(c)
-          for c in looked_up.columns])
+          for c in dict.fromkeys(used + keep)],
+        F.posexplode(F.concat(F.array(*single), tags)).alias("place", "key"))
+        .where(F.col("key").isNotNull()))
     field = lambda key: F.col(f"rule.{key}")
-    # A customer with several of the wanted tags counts under the first of them only.
-    wanted = F.array_intersect(field("tags"), F.col("tags"))
-    once = (~F.startswith(F.col("key"), F.lit("tag="))
-            | (F.col("key") == F.concat(F.lit("tag="), F.element_at(wanted, 1))))
+    # A rule with tags meets a customer at the first wanted tag only, others not at tags.
+    first_wanted = F.element_at(F.array_intersect(field("tags"), F.col("tags")), 1)
+    once = (F.when(field("tags").isNull(), F.col("place") < len(single))
+            .otherwise(F.col("place") == len(single) - 1
+                       + F.array_position("tags", first_wanted)))
     matched = (filed.join(looked_up, "key")
                .where(_matches(field, as_of, literal=False)).where(once))
     return matched.select(*[c for c in rules.columns if c != "rule"],
@@ -208,13 +202,13 @@ def _match_many(customers: DataFrame, rules: DataFrame, as_of: AsOf,
 
 
 def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
-                keep: Iterable[str] = ("id",), few: int = 32) -> DataFrame:
+                keep: Iterable[str] = ("id",), few: int = 8) -> DataFrame:
     """Every (rule row, active customer) match.
 
     ``rules`` has a ``rule`` struct and any further columns; ``keep`` names the customer
     columns wanted besides, and ``id`` becomes ``customer_id``. Up to ``few`` rules are read
-    into the plan and tested in one pass over the customers. More are joined on lookup keys.
-    Both give the same rows.
+    into the plan and tested in one pass over the customers; beyond that the generated code
+    gets too long to be fast and rules are joined on lookup keys. Both give the same rows.
     """
     keep = list(keep)
     clash = {c for c in (*keep, "customer_id") if c in rules.columns} - {"id"}

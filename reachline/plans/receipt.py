@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reachline.functions import stamp
 from reachline.operators import conversions, receipts as ops
 from reachline.plans.checks import over_tables, stamped
+from reachline.session import shared_folder
 from reachline.sources import retail
 from reachline.sources.receipts import (parse_provider_receipts, parse_receipts,
                                         resolve_provider_receipts)
@@ -83,7 +84,8 @@ def communications_upsert(spark: SparkSession, folder: str) -> DataFrame:
               .withColumn("recipient", F.lit(None).cast("string"))
               .withColumn("events", F.array().cast(EVENTS.strip())))
     key = lambda campaign, customer: campaign * retail.ID_STEP + customer
-    stored = ops.upsert_communications(queued, morning, key)
+    shared_folder(spark)
+    stored = ops.upsert_communications(queued, morning, key).checkpoint()
     current = ops.upsert_communications(stored, afternoon, key)
     return current.select("id", *KEYS, "channel", "status", _flat_log().alias("events"),
                           stamp(F.col("sent_at")).alias("sent_at"),

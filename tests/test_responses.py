@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from reachline.operators.responses import (extract_json, message_drafts, message_lengths,
-                                           normalise_channel, segment_replies)
+from reachline.operators.responses import (message_drafts, message_lengths,
+                                           normalise_channel, segment_replies, with_json)
 
 
 @pytest.mark.parametrize("text, found", [
@@ -19,8 +19,8 @@ from reachline.operators.responses import (extract_json, message_drafts, message
     ("{'a': 1}", None),
 ])
 def test_extraction(spark, text, found):
-    row = spark.createDataFrame([(text,)], "t string").select(
-        F.to_json(extract_json(F.col("t"))).alias("j")).first()
+    rows = spark.createDataFrame([(text,)], "t string")
+    row = with_json(rows, "t").select(F.to_json("answer").alias("j")).first()
     assert (json.loads(row.j) if row.j is not None else None) == found
 
 
