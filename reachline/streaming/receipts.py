@@ -20,10 +20,19 @@ from reachline.streaming import changes
 STATUS_COLUMNS = [*KEYS, "status", "sent_at", "updated_at"]
 
 
+# Files a campaign is spread over in one batch: few, but more than one for a crowded one.
+SPREAD = 16
+
+
+def _store_messages(rows: DataFrame, root: str, batch_id: int) -> None:
+    part = F.pmod(F.hash("customer_id"), F.lit(SPREAD))
+    changes.write_batch(rows.select(STATUS_COLUMNS).repartition("campaign_id", part),
+                        f"{root}/messages", batch_id, ["campaign_id"])
+
+
 def seed_messages(queued: DataFrame, root: str) -> None:
     """Stores the rows of a dispatch as the state before any receipt."""
-    changes.write_batch(queued.select(STATUS_COLUMNS), f"{root}/messages",
-                        changes.BEFORE_STREAM, ["campaign_id"])
+    _store_messages(queued, root, changes.BEFORE_STREAM)
 
 
 def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of: AsOf,
@@ -36,9 +45,8 @@ def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of:
     spark = receipts.sparkSession
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        messages = f"{root}/messages"
-        changes.write_batch(rows, messages, batch_id, ["campaign_id"])
-        stored = changes.read_changes(spark, messages)
+        _store_messages(rows, root, batch_id)
+        stored = changes.read_changes(spark, f"{root}/messages")
         touched = (stored.where(F.col("batch") == batch_id).select("campaign_id").distinct())
         now = changes.newest(stored.join(touched, "campaign_id", "left_semi"), KEYS)
         heads = campaigns.join(touched.withColumnRenamed("campaign_id", "id"), "id",
