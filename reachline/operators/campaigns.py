@@ -11,6 +11,7 @@ from reachline.functions import (as_timestamp, count_in, display_recipient, perc
 from reachline.functions.dates import AsOf
 from reachline.operators.receipts import message_id
 from reachline.operators.segments import match_rules, parse_rules
+from reachline.sources.schemas import EVENTS
 
 
 def create_campaigns(requests: DataFrame, segments: DataFrame, as_of: AsOf) -> DataFrame:
@@ -47,6 +48,15 @@ def dispatch_plan(campaigns: DataFrame, segments: DataFrame, customers: DataFram
         F.lit("queued").alias("status"))
 
 
+def queued_communications(plan: DataFrame, as_of: AsOf) -> DataFrame:
+    """The message rows a plan creates."""
+    return plan.select(
+        F.col("external_id").alias("id"), "campaign_id", "customer_id", "recipient", "channel",
+        "status", F.array().cast(EVENTS).alias("events"),
+        F.lit(None).cast("timestamp_ntz").alias("sent_at"),
+        as_timestamp(as_of).alias("updated_at"))
+
+
 def dispatch_summary(campaigns: DataFrame, plan: DataFrame, as_of: AsOf) -> DataFrame:
     """The campaigns a plan sends, with recipients, new status and send time."""
     sizes = plan.groupBy("campaign_id").agg(F.count("*").alias("total_sent"))
@@ -217,23 +227,32 @@ def campaign_completion(campaigns: DataFrame, communications: DataFrame,
                     F.when(done, as_timestamp(as_of)).alias("completed_at")))
 
 
-def campaign_communications(communications: DataFrame, customers: DataFrame) -> DataFrame:
-    """Message rows of known customers with the first time of each receipt type.
+def campaign_communications(communications: DataFrame, customers: DataFrame,
+                            campaigns: DataFrame) -> DataFrame:
+    """Message rows of known customers: text, status, first time of each receipt type and
+    why a message failed.
 
     The stored event log has one entry per type, so the times need no further grouping.
     """
-    def first_time(kind: str) -> Column:
+    def first_of(kind: str) -> Column:
         of_kind = F.filter("events", lambda e: e.event_type == kind)
-        return F.try_element_at(of_kind, F.lit(1)).ts.alias(f"{kind}_at")
+        return F.try_element_at(of_kind, F.lit(1))
 
     people = customers.select(F.col("id").alias("customer_id"),
                               F.col("name").alias("customer_name"), "email", "phone")
-    return communications.join(people, "customer_id").select(
+    templates = campaigns.select(F.col("id").alias("campaign_id"), "message_template")
+    shown = (communications.join(people, "customer_id")
+             .join(templates, "campaign_id", "left"))
+    return shown.select(
         "id", "campaign_id", "customer_id", "customer_name",
         display_recipient(F.col("recipient"), F.col("email"), F.col("phone"))
         .alias("recipient"),
-        "channel", "status", "sent_at",
-        *map(first_time, ["delivered", "opened", "clicked", "read", "failed"]))
+        "channel", "status",
+        render_message(F.col("message_template"), F.col("customer_name")).alias("message"),
+        "sent_at",
+        *[first_of(kind).ts.alias(f"{kind}_at")
+          for kind in ("delivered", "opened", "clicked", "read", "failed")],
+        F.try_element_at(first_of("failed").metadata, F.lit("reason")).alias("failed_reason"))
 
 
 def dashboard_stats(customers: DataFrame, campaigns: DataFrame, communications: DataFrame,

@@ -150,6 +150,22 @@ def population_profile(customers: DataFrame, orders: DataFrame) -> DataFrame:
         ).withColumn("order_dates", date_range)
 
 
+def population_context(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """The customer base in words, as it is put before a model that writes rules.
+
+    The list has one entry per city, in alphabetical order.
+    """
+    cities = city_breakdown(customers).agg(F.sort_array(F.collect_list(
+        F.format_string("'%s': %d", "city", "customers"))).alias("cities"))
+    whole = lambda c: F.format_number(F.col(c), 0)
+    return population_profile(customers, orders).select(F.concat(
+        F.lit("Total customers: "), F.col("total_customers").cast("string"),
+        F.lit("\nCities: {"), F.array_join(cities.scalar(), ", "), F.lit("}"),
+        F.lit("\nAvg total_spent: ₹"), whole("avg_spent"),
+        F.lit(", Max: ₹"), whole("max_spent"),
+        F.lit("\nOrder date range: "), F.col("order_dates")).alias("context"))
+
+
 def built_in_segment_counts(customers: DataFrame, as_of: AsOf, high_value: float = 10000,
                             lapsed_days: int = 45) -> DataFrame:
     """Sizes of the two built-in segments, which use strict bounds."""

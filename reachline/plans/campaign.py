@@ -97,7 +97,7 @@ def campaign_communications(spark: SparkSession, folder: str) -> DataFrame:
     received = retail.with_metadata(retail.receipts(spark, folder))
     messages = retail.with_recipient(retail.communications(spark, folder), people)
     with_log = messages.join(receipts.event_log(received), receipts.KEYS, "left")
-    shown = ops.campaign_communications(with_log, people)
+    shown = ops.campaign_communications(with_log, people, retail.campaign_heads(spark))
     times = [c for c in shown.columns if c.endswith("_at")]
     return shown.withColumns({c: stamp(F.col(c)) for c in times})
 
@@ -259,7 +259,9 @@ ORACLES = {name: over_tables(sql) for name, sql in {
           min(ts) FILTER (event_type = 'read') AS read_at,
           min(ts) FILTER (event_type = 'failed') AS failed_at
         FROM firsts GROUP BY campaign_id, customer_id)
-      SELECT c.id, c.campaign_id, c.customer_id, p.name AS customer_name,
+      SELECT c.id, 'Hi ' || p.name || '!' AS message,
+        CASE WHEN t.failed_at IS NOT NULL THEN 'carrier_error' END AS failed_reason,
+        c.campaign_id, c.customer_id, p.name AS customer_name,
         CASE WHEN c.channel IN ('email','unknown') OR p.phone IS NULL OR p.phone = ''
           THEN p.email ELSE p.phone END AS recipient,
         c.channel, c.status, {stamped('c.sent_at')} AS sent_at,

@@ -87,6 +87,10 @@ def population_profile(spark: SparkSession, folder: str) -> DataFrame:
     return ops.population_profile(retail.profiles(spark, folder), retail.orders(spark, folder))
 
 
+def population_context(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.population_context(retail.profiles(spark, folder), retail.orders(spark, folder))
+
+
 def seed_segment_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ops.built_in_segment_counts(retail.profiles(spark, folder), AS_OF, HIGH_VALUE)
 
@@ -138,6 +142,7 @@ QUERIES = {
     "recent_orders": recent_orders,
     "customer_last_active": customer_last_active,
     "population_profile": population_profile,
+    "population_context": population_context,
     "seed_segment_counts": seed_segment_counts,
     "revenue_by_month": revenue_by_month,
     "customer_pages": customer_pages,
@@ -227,6 +232,16 @@ ORACLES = {name: over_tables(sql) for name, sql in {
         (SELECT strftime(min(created_at), '%Y-%m-%d') || ' to '
            || strftime(max(created_at), '%Y-%m-%d') FROM crm_orders) AS order_dates
       FROM crm_customers""",
+    "population_context": """
+      SELECT 'Total customers: ' || count(*) || chr(10) || 'Cities: {'
+        || (SELECT string_agg(chr(39) || city || chr(39) || ': ' || n, ', ' ORDER BY city)
+            FROM (SELECT city, count(*) AS n FROM crm_people WHERE city <> '' GROUP BY city))
+        || '}' || chr(10) || 'Avg total_spent: ₹'
+        || format('{:,.0f}', round(CAST(sum(total_spent) AS DOUBLE) / count(*), 2))
+        || ', Max: ₹' || format('{:,.0f}', CAST(max(total_spent) AS DOUBLE)) || chr(10)
+        || 'Order date range: ' || (SELECT strftime(min(created_at), '%Y-%m-%d') || ' to '
+           || strftime(max(created_at), '%Y-%m-%d') FROM crm_orders) AS context
+      FROM crm_customers""",
     "seed_segment_counts": """
       SELECT 'High Value Customers' AS segment,
         count(*) FILTER (total_spent > 2000000) AS customers FROM crm_customers

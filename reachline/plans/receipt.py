@@ -41,7 +41,7 @@ def _flat_fold(folded: DataFrame) -> DataFrame:
                          stamp(F.col("updated_at")).alias("updated_at"))
 
 
-def _flat_log(events: str = "events"):
+def flat_log(events: str = "events"):
     return F.array_join(F.transform(events, lambda e: F.concat(
         e.event_type, F.lit("@"), stamp(e.ts), F.lit("#"), F.coalesce(
             F.try_element_at(e.metadata, F.lit("order_value")), F.lit("")))), ",")
@@ -65,7 +65,7 @@ def receipt_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     rows = retail.with_metadata(retail.receipts(spark, folder))
-    return ops.event_log(rows).select(*KEYS, _flat_log().alias("events"))
+    return ops.event_log(rows).select(*KEYS, flat_log().alias("events"))
 
 
 def receipts_by_external_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,12 +82,12 @@ def communications_upsert(spark: SparkSession, folder: str) -> DataFrame:
     afternoon = received.where(F.hour("ts") >= 12)
     queued = (retail.queued_communications(received)
               .withColumn("recipient", F.lit(None).cast("string"))
-              .withColumn("events", F.array().cast(EVENTS.strip())))
+              .withColumn("events", F.array().cast(EVENTS)))
     key = lambda campaign, customer: campaign * retail.ID_STEP + customer
     shared_folder(spark)
     stored = ops.upsert_communications(queued, morning, key).checkpoint()
     current = ops.upsert_communications(stored, afternoon, key)
-    return current.select("id", *KEYS, "channel", "status", _flat_log().alias("events"),
+    return current.select("id", *KEYS, "channel", "status", flat_log().alias("events"),
                           stamp(F.col("sent_at")).alias("sent_at"),
                           stamp(F.col("updated_at")).alias("updated_at"))
 
@@ -149,6 +149,17 @@ MADE_SQL = over_tables(f"""{_MADE}
     'Campaign Product|Marketing|1|' || amount AS items, 'online' AS channel,
     'completed' AS status, city, {stamped('created_at')} AS created_at FROM made""")
 
+_LOGS = f"""
+  , logs AS (
+    SELECT campaign_id, customer_id, {LOG} AS events, max(ts) AS accepted_at
+    FROM firsts GROUP BY campaign_id, customer_id)"""
+_MESSAGE = f"""c.campaign_id, c.customer_id, c.channel, c.status,
+    coalesce(l.events, '') AS events, {stamped('c.sent_at')} AS sent_at,
+    {stamped('coalesce(l.accepted_at, c.updated_at)')} AS updated_at"""
+_WITH_LOGS = """FROM comms c LEFT JOIN logs l
+    ON l.campaign_id = c.campaign_id AND l.customer_id = c.customer_id"""
+MESSAGES_SQL = over_tables(f"{_LOGS} SELECT {_MESSAGE} {_WITH_LOGS}")
+
 ORACLES = {
     "receipts_parsed": over_tables(f"""
       SELECT seq, campaign_id, customer_id, event_type, {stamped('ts')} AS ts,
@@ -165,15 +176,8 @@ ORACLES = {
         {stamped('f.updated_at')} AS updated_at
       FROM folded f SEMI JOIN audience a
         ON a.campaign_id = f.campaign_id AND a.customer_id = f.customer_id"""),
-    "communications_upsert": over_tables(f"""
-      , logs AS (
-        SELECT campaign_id, customer_id, {LOG} AS events, max(ts) AS accepted_at
-        FROM firsts GROUP BY campaign_id, customer_id)
-      SELECT c.id, c.campaign_id, c.customer_id, c.channel, c.status,
-        coalesce(l.events, '') AS events, {stamped('c.sent_at')} AS sent_at,
-        {stamped('coalesce(l.accepted_at, c.updated_at)')} AS updated_at
-      FROM comms c LEFT JOIN logs l
-        ON l.campaign_id = c.campaign_id AND l.customer_id = c.customer_id"""),
+    "communications_upsert": over_tables(f"""{_LOGS}
+      SELECT c.id, {_MESSAGE} {_WITH_LOGS}"""),
     "stage_event_counts": COUNT_SQL,
     "conversion_orders": MADE_SQL,
     "customer_rollup_with_conversions": over_tables(f"""{_MADE}

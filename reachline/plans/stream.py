@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from reachline.functions import stamp
 from reachline.plans.checks import over_tables
-from reachline.plans.receipt import COUNT_SQL, FOLD_SQL, MADE_SQL
+from reachline.plans.receipt import COUNT_SQL, FOLD_SQL, MADE_SQL, MESSAGES_SQL, flat_log
 from reachline.session import new_work_path
 from reachline.sources import retail
 from reachline.sources.retail import AS_OF
+from reachline.sources.schemas import EVENTS
 from reachline.streaming import changes, receipts
 
 
@@ -35,6 +36,21 @@ def receipt_fold_stream(spark: SparkSession, folder: str) -> DataFrame:
         stamp(F.col("updated_at")).alias("updated_at"))
 
 
+def communications_stream(spark: SparkSession, folder: str) -> DataFrame:
+    root = new_work_path(spark, "communications")
+    queued = (retail.queued_communications(retail.receipts(spark, folder))
+              .withColumn("id", F.col("id").cast("string"))
+              .withColumn("recipient", F.lit(None).cast("string"))
+              .withColumn("events", F.array().cast(EVENTS)))
+    receipts.seed_communications(queued, root)
+    _finish(receipts.follow_communications(
+        retail.with_metadata(_receipts(spark, folder)), root))
+    return receipts.communications(spark, root).select(
+        "campaign_id", "customer_id", "channel", "status", flat_log().alias("events"),
+        stamp(F.col("sent_at")).alias("sent_at"),
+        stamp(F.col("updated_at")).alias("updated_at"))
+
+
 def live_campaigns_stream(spark: SparkSession, folder: str) -> DataFrame:
     root = new_work_path(spark, "live")
     receipts.seed_messages(retail.queued_communications(retail.receipts(spark, folder)), root)
@@ -65,6 +81,7 @@ def stage_event_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "receipt_fold_stream": receipt_fold_stream,
+    "communications_stream": communications_stream,
     "live_campaigns_stream": live_campaigns_stream,
     "conversion_orders_stream": conversion_orders_stream,
     "stage_event_counts_stream": stage_event_counts_stream,
@@ -72,6 +89,7 @@ QUERIES = {
 
 ORACLES = {
     "receipt_fold_stream": FOLD_SQL,
+    "communications_stream": MESSAGES_SQL,
     "live_campaigns_stream": over_tables("""
       SELECT id AS campaign_id, total_sent, messages, queued,
         CASE WHEN queued = 0 AND messages = total_sent AND total_sent > 0 THEN 'completed'

@@ -25,10 +25,8 @@ CAMPAIGNS = """
     completed_at timestamp_ntz
 """
 
-EVENTS = """
-    array<struct<seq: bigint, event_type: string, ts: timestamp_ntz,
-                 metadata: map<string, string>>>
-"""
+EVENTS = ("array<struct<seq: bigint, event_type: string, ts: timestamp_ntz, "
+          "metadata: map<string, string>>>")
 
 COMMUNICATIONS = f"""
     id string, campaign_id string, customer_id string, recipient string, channel string,

@@ -14,9 +14,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from reachline.functions.dates import AsOf
 from reachline.operators.campaigns import campaign_completion
 from reachline.operators.conversions import conversion_orders
-from reachline.operators.receipts import KEYS, fold_receipts, stage_event_counts
+from reachline.operators.receipts import (KEYS, changed_communications, fold_receipts,
+                                          stage_event_counts)
 from reachline.streaming import changes
 
+MESSAGE_COLUMNS = ["id", *KEYS, "recipient", "channel", "status", "events", "sent_at",
+                   "updated_at"]
 STATUS_COLUMNS = [*KEYS, "status", "sent_at", "updated_at"]
 
 
@@ -46,7 +49,8 @@ def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of:
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         _store_messages(rows, root, batch_id)
-        stored = changes.read_changes(spark, f"{root}/messages")
+        stored = (changes.read_changes(spark, f"{root}/messages")
+                  .where(F.col("batch") <= batch_id))
         touched = (stored.where(F.col("batch") == batch_id).select("campaign_id").distinct())
         now = changes.newest(stored.join(touched, "campaign_id", "left_semi"), KEYS)
         heads = campaigns.join(touched.withColumnRenamed("campaign_id", "id"), "id",
@@ -66,6 +70,36 @@ def live_campaigns(spark: SparkSession, root: str) -> DataFrame:
     return changes.current(spark, f"{root}/campaigns", ["campaign_id"])
 
 
+def seed_communications(queued: DataFrame, root: str) -> None:
+    """Stores whole message rows as they stand before the stream; may be empty."""
+    changes.write_batch(queued.select(MESSAGE_COLUMNS), f"{root}/communications",
+                        changes.BEFORE_STREAM)
+
+
+def follow_communications(receipts: DataFrame, root: str,
+                          every: str | None = None) -> StreamingQuery:
+    """Keeps whole message rows, event log included, after ``seed_communications``.
+
+    The table itself is the state: each micro-batch folds its receipts onto the rows they
+    name, as earlier batches left them, and stores the changed rows.
+    """
+    spark = receipts.sparkSession
+    path = f"{root}/communications"
+
+    def on_batch(rows: DataFrame, batch_id: int) -> None:
+        earlier = changes.read_changes(spark, path).where(F.col("batch") < batch_id)
+        named = rows.select(*KEYS).distinct()
+        before = changes.newest(earlier.join(named, KEYS, "left_semi"), KEYS)
+        changed = changed_communications(before, rows)
+        changes.write_batch(changed.select(MESSAGE_COLUMNS), path, batch_id)
+
+    return changes.start(receipts, on_batch, f"{root}/_progress", mode="append", every=every)
+
+
+def communications(spark: SparkSession, root: str) -> DataFrame:
+    return changes.current(spark, f"{root}/communications", KEYS)
+
+
 def follow_conversions(receipts: DataFrame, customers: DataFrame, root: str,
                        every: str | None = None) -> StreamingQuery:
     """Stores conversion orders. A repeated receipt stores the same order again, which

@@ -123,6 +123,9 @@ def test_dispatch(spark):
     assert rows == [("1-1", 1, 1, "sms", "a@x", "Hi Ann A", "queued"),
                     ("2-1", 2, 1, "email", "a@x", "Hi Ann A", "queued"),
                     ("2-2", 2, 2, "email", "b@x", "Hi Bob B", "queued")]
+    queued = ops.queued_communications(plan, DAY)
+    assert {(r.id, r.status, len(r.events), r.sent_at, r.updated_at)
+            for r in queued.collect()} == {(r[0], "queued", 0, None, DAY) for r in rows}
     summary = {r.campaign_id: r.total_sent
                for r in ops.dispatch_summary(heads, plan, DAY).collect()}
     assert summary == {1: 1, 2: 2}
@@ -158,7 +161,8 @@ def test_page_of_a_crowded_campaign(spark):
 def test_message_rows_show_first_times(spark):
     rows = spark.createDataFrame(
         [("m", 1, 1, "", "sms", "clicked",
-          [(0, "delivered", DAY, None), (1, "clicked", DAY + timedelta(1), None)], DAY),
+          [(0, "delivered", DAY, None), (1, "clicked", DAY + timedelta(1), None),
+           (2, "failed", DAY, {"reason": "opted_out"})], DAY),
          ("n", 1, 2, "kept", "sms", "queued", None, None),
          ("o", 1, 3, "kept", "sms", "queued", None, None)],
         "id string, campaign_id bigint, customer_id bigint, recipient string, channel string, "
@@ -166,7 +170,10 @@ def test_message_rows_show_first_times(spark):
         "ts: timestamp_ntz, metadata: map<string,string>>>, sent_at timestamp_ntz")
     people = spark.createDataFrame([(1, "A", "", "+91"), (2, "B", "b@x", None)],
                                    "id bigint, name string, email string, phone string")
-    got = {r.id: r for r in ops.campaign_communications(rows, people).collect()}
+    heads = spark.createDataFrame([campaign(1)], CAMPAIGN)
+    got = {r.id: r for r in ops.campaign_communications(rows, people, heads).collect()}
+    assert (got["m"].message, got["m"].failed_reason) == ("Hi A", "opted_out")
+    assert got["n"].failed_reason is None
     assert set(got) == {"m", "n"}
     assert (got["m"].recipient, got["m"].delivered_at, got["m"].clicked_at,
             got["m"].opened_at) == ("+91", DAY, DAY + timedelta(1), None)

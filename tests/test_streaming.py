@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from reachline.operators.campaigns import campaign_completion
 from reachline.operators.conversions import conversion_orders
-from reachline.operators.receipts import KEYS, fold_receipts, stage_event_counts
+from reachline.operators.receipts import (KEYS, fold_receipts, stage_event_counts,
+                                          upsert_communications)
 from reachline.sources.receipts import parse_receipts, stream_bodies
+from reachline.sources.schemas import COMMUNICATIONS
 from reachline.streaming import changes, receipts as streams
 
 START = datetime(2000, 1, 1)
@@ -142,3 +144,34 @@ def test_repeats_within_a_horizon_are_dropped(spark, tmp_path):
               json.loads(r["body"])["event_type"]) for r in sent}
     assert kept.count() == len(kinds)
     assert kept.where(F.col("order_value") > Decimal(0)).count() >= 0
+
+
+def test_whole_messages_equal_batch_and_survive_a_rerun(spark, tmp_path):
+    sent = bodies(random.Random(5), 240)
+    random.Random(6).shuffle(sent)
+    inbox, root = tmp_path / "inbox", tmp_path / "out"
+    queued = spark.createDataFrame(
+        [("m1", "c0", "p1", "a@x", "sms", "queued", [], None, START),
+         ("m2", "c0", "idle", "b@x", "sms", "queued", [], None, START)], COMMUNICATIONS)
+    streams.seed_communications(queued, str(root))
+    for part in range(3):
+        write_file(inbox, f"{part}.json", sent[part * 80:part * 80 + 80])
+    receipts = parse_receipts(stream_bodies(spark, str(inbox), max_files=1))
+    streams.follow_communications(receipts, str(root)).awaitTermination()
+
+    text = F.to_json("events").alias("events")
+    kept = [c for c in streams.MESSAGE_COLUMNS if c != "events"]
+    found = streams.communications(spark, str(root)).select(*kept, text)
+    everything = parse_receipts(spark.createDataFrame(
+        [(r["seq"], r["body"]) for r in sent], "seq bigint, body string"))
+    wanted = rows(upsert_communications(queued, everything).select(*kept, text))
+    assert rows(found) == wanted
+
+    # the last batch again: it must start from what the batches before it left
+    last = max(int(p.name.split("=")[1]) for p in (root / "communications").glob("batch=*"))
+    (root / "_progress" / "commits" / str(last)).unlink()
+    for leftover in (root / "_progress" / "commits").glob(f".{last}.crc"):
+        leftover.unlink()
+    streams.follow_communications(receipts, str(root)).awaitTermination()
+    found = streams.communications(spark, str(root)).select(*kept, text)
+    assert rows(found) == wanted
