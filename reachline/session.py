@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Finding the Python line of every column expression slows plan building several times.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Lists here are short (event logs, order lines), so hash many keys before sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     # Receipt state has no time bound, so it must be able to leave the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

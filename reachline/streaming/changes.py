@@ -49,7 +49,10 @@ def compact(spark: SparkSession, root: str, into: str, keys: list[str],
     The old root stays untouched; point readers and the stream to the new one, then remove
     the old.
     """
-    write_batch(current(spark, root, keys), into, BEFORE_STREAM, partition_by)
+    rows = current(spark, root, keys)
+    if partition_by:  # few files per folder; a crowded folder is split at run time
+        rows = rows.hint("rebalance", *partition_by)
+    write_batch(rows, into, BEFORE_STREAM, partition_by)
 
 
 def start(changes: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str,
