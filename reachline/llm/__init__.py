@@ -1,13 +1,25 @@
-"""Operators for preparing training data, each with its registered query."""
+"""Operators for preparing training data, each with its registered query.
 
-from reachline.llm import mixing, url_filters
+Functions that run in tasks travel with their code, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+from reachline.llm import fingerprints, mixing, url_filters, warc
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_mixing": mixing.op2_mixing,
+    "op7_warc": warc.op7_warc,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE_SQL,
     "op2_mixing": mixing.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
 }
