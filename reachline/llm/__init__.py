@@ -7,13 +7,15 @@ import sys
 
 from pyspark import cloudpickle
 
-from reachline.llm import fingerprints, mixing, url_filters, warc
+from reachline.llm import fingerprints, mixing, quality, topk, url_filters, warc
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_mixing": mixing.op2_mixing,
+    "op4_top_k": topk.op4_top_k,
+    "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
     "op9_fingerprints": fingerprints.op9_fingerprints,
 }
@@ -21,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE_SQL,
     "op2_mixing": mixing.ORACLE_SQL,
+    "op4_top_k": topk.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
 }
