@@ -7,7 +7,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from reachline.llm import fingerprints, mixing, quality, topk, url_filters, warc
+from reachline.llm import fingerprints, mixing, near_dedup, quality, topk, url_filters, warc
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_top_k": topk.op4_top_k,
     "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 TERMS, WIDTH = 8192, 32
 """Rows of the hashed vocabulary and components of a vector: the model has a fixed size."""
 
+FEATURES = 3 * WIDTH + 4
+
 MOST_LABELLED = 20_000
 """Labelled rows that the network is fitted on, those with the smallest hash of their id."""
 
@@ -84,7 +86,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 _add_by_term(sums, forms, near)
                 _add_by_term(sums, shapes, near)
     yield pd.DataFrame({"part": range(TERMS // 512),
-                        "sums": [p.astype(np.float32).tobytes() for p in np.split(sums, TERMS // 512)]})
+                        "sums": [p.astype(np.float32).tobytes()
+                                 for p in np.split(sums, TERMS // 512)]})
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,9 +117,9 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(text: str | None, contexts: np.ndarray, index: np.ndarray,
            terms: _Terms) -> np.ndarray:
     """Means of the context vectors of a text's words and of their shapes, and of the shapes'
-    index vectors; length, share of distinct words and of distinct lines."""
+    index vectors; length, share of repeated neighbours, of distinct words and lines."""
     words = (text or "").split()
-    out = np.zeros(3 * WIDTH + 3, np.float32)
+    out = np.zeros(FEATURES, np.float32)
     if not words:
         return out
     forms, shapes = _ids(words, terms)
@@ -129,7 +132,8 @@ def pooled(text: str | None, contexts: np.ndarray, index: np.ndarray,
     used = np.flatnonzero(counts)
     out[:WIDTH] = counts[used] / len(words) @ contexts[used]
     lines = text.split("\n")
-    out[-3:] = np.log(len(words)) / 10, len(set(words)) / len(words), len(set(lines)) / len(lines)
+    out[-4:] = (np.log(len(words)) / 10, np.mean(forms[1:] == forms[:-1]) if words[1:] else 0,
+                len(set(words)) / len(words), len(set(lines)) / len(lines))
     return out
 
 
@@ -157,7 +161,7 @@ def fit_network(rows: np.ndarray, labels: np.ndarray, seed: int = 0) -> Network:
     """
     rng = np.random.default_rng(seed)
     if not len(rows):
-        rows, labels = np.zeros((1, 3 * WIDTH + 3)), np.ones(1)
+        rows, labels = np.zeros((1, FEATURES)), np.ones(1)
     order = rng.permutation(len(rows))
     held = order[:len(rows) // 5]
     used = order[len(rows) // 5:]
@@ -244,7 +248,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame,
             .select("__y", "text").mapInPandas(pool, "label int, row binary")
             .orderBy("row").limit(2 * most_labelled).collect())
     inputs = np.array([np.frombuffer(r["row"], np.float32) for r in rows]).reshape(
-        len(rows), 3 * WIDTH + 3)
+        len(rows), FEATURES)
     return QualityModel(contexts, fit_network(inputs, np.array([r["label"] for r in rows])))
 
 
