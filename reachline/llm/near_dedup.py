@@ -78,7 +78,8 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     marks = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
     if not full.all():
-        marks = marks[_PROBES[np.arange(REGISTERS), full[_PROBES].argmax(axis=1)]]
+        donors = _PROBES[np.arange(REGISTERS), full[_PROBES].argmax(axis=1)]
+        marks = np.where(full, marks, marks[donors])
     return marks
 
 
