@@ -7,14 +7,26 @@ import sys
 
 from pyspark import cloudpickle
 
-from reachline.llm import fingerprints, mixing, near_dedup, quality, topk, url_filters, warc
+from reachline.llm import (
+    fingerprints,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    topk,
+    url_filters,
+    warc,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
     "op4_top_k": topk.op4_top_k,
+    "op5_licenses": licenses.op5_licenses,
     "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
     "op8_near_dedup": near_dedup.op8_near_dedup,
