@@ -14,6 +14,7 @@ from reachline.llm import (
     near_dedup,
     packing,
     quality,
+    repeats,
     topk,
     url_filters,
     warc,
@@ -31,6 +32,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES = {
