@@ -1,11 +1,67 @@
-"""A corpus pipeline over ``documents``."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
-ORACLE_SQL = None
+1. quality: documents that the classifier rejects go.
+2. near_duplicates: one document of each group of near copies stays.
+3. repeats: passages that an earlier document has too are cut from the text.
+4. mix: sources are taken in the target proportions.
+5. pack: pieces of the documents are placed in sequences.
 
+Every stage but the last returns the columns of ``documents``. Between stages the rows are
+stored as Parquet, so each stage works on all rows that its predecessor kept and a lost executor
+never reaches further back than one stage.
+"""
 
-def run(spark, sf_dir):
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reachline.llm.common import stored
+from reachline.llm.mixing import mix_documents
+from reachline.llm.near_dedup import drop_near_duplicates
+from reachline.llm.packing import pack_documents
+from reachline.llm.quality import THRESHOLD, fit_quality, score_documents
+from reachline.llm.repeats import remove_repeats
+
+REPEATED_BYTES = 100
+"""Strings of so many bytes are cut where a smaller doc_id has them: below the length of any
+passage of 50 words, above that of a usual line."""
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of ``THRESHOLD`` or more; learned from the ``labels`` table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scored = score_documents(docs.select(*docs.columns), fit_quality(docs, labels))
+    return scored.where(scored["score"] >= THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    return drop_near_duplicates(docs, size=5, similarity=(80, 100))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of ``REPEATED_BYTES`` that a smaller doc_id has too."""
+    return remove_repeats(docs, REPEATED_BYTES)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: weights 1, 2, 3 in turn, at most three times."""
+    return mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with bin and offset; copies of one document never share a bin."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats),
+          ("mix", mix), ("pack", pack)]
+
+ORACLE_SQL = None  # a learned score has no SQL form; tests compare the stages with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
