@@ -163,9 +163,11 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     text follows them. Other columns are not read. Results: see ``RESULT``.
     """
     alone = docs.where("doc_id is null").select(
-        "doc_id", "text", F.monotonically_increasing_id().alias("__block"),
-        F.explode(F.array(F.lit(False), F.lit(True))).alias("__guest"))
-    alone = alone.withColumn("text", F.when(F.col("__guest"), F.lit("")).otherwise(F.col("text")))
+        "doc_id", "text", F.monotonically_increasing_id().alias("__block"))
+    following = F.explode(F.array(F.struct("text", F.lit(False).alias("__guest")),
+                                  F.struct(F.lit("").alias("text"), F.lit(True).alias("__guest"))))
+    alone = alone.select("doc_id", "__block", following.alias("row")).select(
+        "doc_id", "row.text", "__block", "row.__guest")
     placed = neighbours(docs).withColumn("__block", F.col("__block").cast("bigint"))
     return (placed.mapInPandas(_compared, RESULT)
             .unionByName(alone.mapInPandas(_compared, RESULT)))
