@@ -15,7 +15,9 @@ HEADLINE = [
     "receipts_deduped", "receipt_fold", "event_log", "communications_upsert",
     "status_histogram", "attributed_revenue", "campaign_performance", "campaign_stats",
     "campaign_completion", "communications_page", "conversion_orders", "dashboard_stats",
-    "segment_responses", "message_drafts",
+    "segment_responses", "message_drafts", "segment_membership_many", "segment_saved",
+    "constraint_violations", "campaign_communications", "customer_pages",
+    "receipt_fold_stream", "communications_stream", "live_campaigns_stream",
 ]
 
 

@@ -68,10 +68,12 @@ def dispatch_summary(campaigns: DataFrame, plan: DataFrame, as_of: AsOf) -> Data
 
 def dispatch_rejects(campaigns: DataFrame, segments: DataFrame, plan: DataFrame) -> DataFrame:
     """The campaigns that cannot be sent, with the reason."""
-    known = segments.select(F.col("id").alias("segment_id"), F.lit(True).alias("known"))
+    known = parse_rules(segments).select(F.col("id").alias("segment_id"),
+                                         F.col("rule.valid").alias("known"))
     served = plan.select("campaign_id").distinct().withColumn("served", F.lit(True))
     reason = (F.when(F.col("status") != "draft", "not a draft")
               .when(F.col("known").isNull(), "segment not found")
+              .when(~F.col("known"), "rule unreadable")
               .when(F.col("served").isNull(), "no customers match"))
     return (campaigns.select(F.col("id").alias("campaign_id"), "segment_id", "status")
             .join(known, "segment_id", "left").join(served, "campaign_id", "left")
@@ -104,39 +106,38 @@ def attributed_revenue(campaigns: DataFrame, communications: DataFrame,
                        orders: DataFrame) -> DataFrame:
     """Revenue per campaign: orders its converted customers placed since it was created.
 
-    An order counts once per campaign and may count for several campaigns. Orders are first
-    summed per customer and time slot, where campaign starts cut the day into slots. A
-    running sum over a customer's slots, newest first, then gives the revenue after each of
-    its campaigns. What is sorted per customer is bounded by days and campaigns, however many
-    orders the customer has, and orders are never paired with campaigns.
+    An order counts once per campaign and may count for several campaigns. Orders are summed
+    per customer and day before the shuffle; a running sum over a customer's days, newest
+    first, gives the revenue of the days after a campaign's start. The rest of the starting
+    day comes from a running sum within that day, for which only orders on days with starts
+    are read. So a window is bounded by days and campaigns, or by one customer's day, and
+    orders are never paired with campaigns.
     """
-    starts = campaigns.select(F.col("id").alias("campaign_id"), "created_at")
-    day = F.to_date("created_at")
-    calendar = (starts.groupBy(day.alias("day"))
-                .agg(F.array_sort(F.collect_set("created_at")).alias("starts")))
-    earliest = starts.agg(F.min("created_at")).scalar()
-
-    slots = (orders.where(F.col("created_at") >= earliest)
-             .select("customer_id", "created_at", "amount", day.alias("day"))
-             .join(calendar, "day", "left")
-             .withColumn("slot", F.coalesce(F.size(F.filter(
-                 "starts", lambda s: s <= F.col("created_at"))), F.lit(0)))
-             .groupBy("customer_id", "day", "slot")
-             .agg(F.sum("amount").alias("amount")))
-
-    placed = (starts.join(calendar, day == calendar.day)
-              .select("campaign_id", "day",
-                      F.array_position("starts", F.col("created_at")).cast("int").alias("slot")))
+    day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01"))
+    starts = campaigns.select(F.col("id").alias("campaign_id"), "created_at", day.alias("day"))
     converted = (communications.where(F.col("status") == "converted")
-                 .select("campaign_id", "customer_id").distinct()
-                 .join(placed, "campaign_id"))
-
-    newest_first = (Window.partitionBy("customer_id").orderBy(F.desc("day"), F.desc("slot"))
-                    .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    since = (slots.unionByName(converted, allowMissingColumns=True)
-             .withColumn("revenue", F.sum("amount").over(newest_first))
-             .where(F.col("campaign_id").isNotNull()))
-    earned = since.groupBy("campaign_id").agg(F.sum("revenue").alias("revenue"))
+                 .select("campaign_id", "customer_id").distinct().join(starts, "campaign_id"))
+    earliest = starts.agg(F.min("created_at")).scalar()
+    placed = (orders.where(F.col("created_at") >= earliest)
+              .select("customer_id", "created_at", "amount", day.alias("day")))
+
+    def since(sums: DataFrame, window) -> DataFrame:
+        return (sums.unionByName(converted.drop(*set(converted.columns) - {
+                    "campaign_id", *sums.columns}), allowMissingColumns=True)
+                .withColumn("revenue", F.sum("amount").over(window))
+                .where(F.col("campaign_id").isNotNull()).select("campaign_id", "revenue"))
+
+    by_day = placed.groupBy("customer_id", "day").agg(F.sum("amount").alias("amount"))
+    later = since(by_day, Window.partitionBy("customer_id").orderBy(F.desc("day"))
+                  .rangeBetween(Window.unboundedPreceding, -1))
+    by_moment = (placed.join(starts.select("day").distinct(), "day", "left_semi")
+                 .groupBy("customer_id", "day", "created_at")
+                 .agg(F.sum("amount").alias("amount")))
+    same_day = since(by_moment, Window.partitionBy("customer_id", "day")
+                     .orderBy(F.desc("created_at"))
+                     .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    earned = (later.unionByName(same_day).groupBy("campaign_id")
+              .agg(F.sum("revenue").alias("revenue")))
     return (starts.select("campaign_id").join(earned, "campaign_id", "left")
             .select("campaign_id", F.coalesce("revenue", F.lit(0)).cast("decimal(38,2)")
                     .cast("double").alias("total_revenue_attributed")))
@@ -284,7 +285,8 @@ def dashboard_targets(stats: DataFrame, targets: dict[str, int] = GAUGE_TARGETS)
 
 def communications_page(communications: DataFrame, limit: int = 50,
                         offset: int = 0) -> DataFrame:
-    """One page of messages per campaign, last changed first, with the total.
+    """One page of messages per campaign, last changed first, with the total; an empty page is
+    one row with the total.
 
     The rank filter lets each task keep only the head of every campaign before the shuffle.
     """
@@ -293,5 +295,5 @@ def communications_page(communications: DataFrame, limit: int = 50,
             .where((F.col("position") <= offset + limit) & (F.col("position") > offset)))
     totals = communications.groupBy("campaign_id").agg(F.count("*").alias("total"))
     number = offset // limit + 1 if limit else 1
-    return (page.join(totals, "campaign_id")
+    return (totals.join(page, "campaign_id", "left")
             .withColumn("page", F.lit(number)).withColumn("page_size", F.lit(limit)))

@@ -11,9 +11,9 @@ from reachline.operators.receipts import KEYS, message_id
 
 
 def order_number(campaign_id: Column, customer_id: Column) -> Column:
-    """``ORD-`` and eight hex digits of the message key, so a replay gives the same number."""
+    """``ORD-`` and sixteen hex digits of the message key, so a replay gives the same number."""
     return F.concat(F.lit("ORD-"), F.upper(F.left(
-        F.sha2(message_id(campaign_id, customer_id), 256), F.lit(8))))
+        F.sha2(message_id(campaign_id, customer_id), 256), F.lit(16))))
 
 
 def conversion_orders(receipts: DataFrame, customers: DataFrame) -> DataFrame:
@@ -43,8 +43,7 @@ def rollup_with_conversions(customers: DataFrame, orders: DataFrame,
                             conversions: DataFrame) -> DataFrame:
     """The order rollup raised by conversion orders; tags are not touched.
 
-    The last order date becomes that of the newest conversion, as conversions are entered
-    after the orders already on file.
+    The last order date is that of the newest order or conversion; it never moves back.
     """
     raised = conversions.groupBy(F.col("customer_id").alias("id")).agg(
         F.count("*").alias("more_orders"), F.sum("amount").alias("more_spent"),
@@ -54,5 +53,5 @@ def rollup_with_conversions(customers: DataFrame, orders: DataFrame,
                         F.col("total_orders") + F.coalesce("more_orders", F.lit(0)))
             .withColumn("total_spent", (F.col("total_spent") + F.coalesce(
                 "more_spent", F.lit(0))).cast(MONEY))
-            .withColumn("last_order_date", F.coalesce("converted_at", "last_order_date"))
+            .withColumn("last_order_date", F.greatest("converted_at", "last_order_date"))
             .drop("more_orders", "more_spent", "converted_at"))

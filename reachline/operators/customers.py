@@ -109,7 +109,8 @@ def filter_facets(customers: DataFrame) -> DataFrame:
     """Distinct cities and tags of active customers, found in one pass."""
     entries = F.concat(
         F.array(F.struct(F.lit("city").alias("facet"), F.col("city").alias("value"))),
-        F.transform("tags", lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value"))))
+        F.transform(F.coalesce("tags", F.array().cast("array<string>")),
+                    lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value"))))
     return (customers.where("is_active").select(F.explode(entries).alias("e"))
             .select("e.facet", "e.value").distinct())
 

@@ -79,6 +79,8 @@ def constraint_violations(customers: DataFrame, orders: DataFrame, communication
             for c in ("name", "segment_id", "channel", "message_template")}),
         missing_parents(campaigns, "campaigns", "segment_id", segments),
         failed_checks(communications, "communications", {
+            "campaign_id missing": missing("campaign_id"),
+            "customer_id missing": missing("customer_id"),
             "recipient missing": filled(F.col("recipient")).isNull()}),
         missing_parents(communications, "communications", "customer_id", customers),
         missing_parents(communications, "communications", "campaign_id", campaigns),

@@ -7,7 +7,9 @@ type when it ranks higher. The same result follows from a few minima and maxima:
 * if the first receipt of rank 2 or more is ``failed``, the message has failed;
 * otherwise its status is the highest-ranking type seen other than ``failed``;
 * it was sent at the time of its first receipt of rank 1 or more, if that is ``sent`` or
-  ``delivered``.
+  ``delivered``;
+* it changed last at the latest time among the first receipts of its types; duplicates change
+  nothing, and all unknown types count as one.
 
 Minima and maxima combine before the shuffle, so a campaign, a customer or even a message
 with most of the receipts costs no more than any other, and they run unchanged on a stream.
@@ -56,14 +58,18 @@ def _progress() -> list[Column]:
     rank = rank_of(kind)
     failed = F.coalesce(kind == "failed", F.lit(False))
     handed_over = kind.isin("sent", "delivered")
+    known = kind.isin(list(STATUS_RANK))
+    of_kind = {name: kind == name for name in STATUS_RANK}
+    of_kind["other"] = ~F.coalesce(known, F.lit(False))
     return [
+        *[F.min_by(ts, F.when(is_kind, seq)).alias(f"first_{name}")
+          for name, is_kind in of_kind.items()],
         F.min(F.when(rank >= 2, seq)).alias("settled"),
         F.min(F.when(failed, seq)).alias("failed"),
         F.max(F.when(~failed, rank)).alias("top"),
         F.min(F.when(rank >= 1, seq)).alias("moved"),
         F.min(F.when(handed_over, seq)).alias("handed"),
         F.min_by(ts, F.when(handed_over, seq)).alias("handed_at"),
-        F.max(ts).alias("updated_at"),
     ]
 
 
@@ -79,7 +85,8 @@ def _status() -> list[Column]:
         F.when(F.col("failed") == F.col("settled"), "failed")
         .otherwise(_status_named(F.coalesce("top", F.lit(0)))).alias("status"),
         F.when(F.col("handed") == F.col("moved"), F.col("handed_at")).alias("sent_at"),
-        F.col("updated_at"),
+        F.greatest(*[F.col(f"first_{name}") for name in (*STATUS_RANK, "other")])
+        .alias("updated_at"),
     ]
 
 

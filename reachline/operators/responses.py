@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from reachline.fixed import (CHANNELS, DEFAULT_BODY, DEFAULT_CHANNEL, DEFAULT_SEGMENT_NAME,
                              DEFAULT_SUBJECT, SMS_LIMIT)
 from reachline.functions import render_message
+from reachline.functions.dates import AsOf
+from reachline.operators.segments import match_rules, parse_rules
 
-# Patterns of a fenced block and of an embedded JSON object.
+# Patterns of a fenced block.
 FENCE_OPEN = r"(?m)^```(?:json)?\s*"
 FENCE_CLOSE = r"(?m)```\s*$"
-EMBEDDED_OBJECT = r"(?s)\{.*\}"
 
 # Fixed value: the characters that count as space around a reply.
 SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -30,6 +31,18 @@ def _single(parsed: Column) -> Column:
                       & F.try_variant_get(parsed, "$[2]", "int").isNull(), F.lit(False))
 
 
+def _embedded(text: Column) -> Column:
+    """From the first opening to the last closing brace; empty without both."""
+    begin = F.instr(text, "{")
+    size = F.length(text) - F.instr(F.reverse(text), "}") + 2 - begin
+    inside = (begin > 0) & F.contains(text, F.lit("}")) & (size > 1)
+    return F.when(inside, F.substring(text, begin, size)).otherwise(F.lit(""))
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+
+
 def with_json(replies: DataFrame, reply: str, answer: str = "answer") -> DataFrame:
     """Adds the JSON a reply holds, null without any: the reply without code fences, else the
     widest ``{...}`` in it.
@@ -44,8 +57,7 @@ def with_json(replies: DataFrame, reply: str, answer: str = "answer") -> DataFra
             .withColumn("_text", F.btrim(unfenced, F.lit(SPACE)))
             .withColumn("_whole", _parsed(F.col("_text")))
             .withColumn("_is_whole", _single(F.col("_whole")))
-            .withColumn("_inner", F.when(~F.col("_is_whole"), _parsed(
-                F.regexp_extract("_text", EMBEDDED_OBJECT, 0))))
+            .withColumn("_inner", F.when(~F.col("_is_whole"), _parsed(_embedded(F.col("_text")))))
             .withColumn(answer, F.when(F.col("_is_whole"), value(F.col("_whole")))
                         .when(_single(F.col("_inner")), value(F.col("_inner"))))
             .drop("_text", "_whole", "_is_whole", "_inner"))
@@ -54,12 +66,15 @@ def with_json(replies: DataFrame, reply: str, answer: str = "answer") -> DataFra
 def segment_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Segment name, description and rule document of each reply, with defaults.
 
-    ``parsed`` tells usable replies from unusable ones, which get no rule document.
+    ``parsed`` tells usable replies from unusable ones, which get no rule document. A reply is
+    usable if it is an object whose filters, if it has any, are an object too; repeated keys and
+    NaN make it unusable.
     """
     answer = F.col("answer")
     text = lambda path: F.try_variant_get(answer, path, "string")
-    usable = answer.isNotNull()
-    rule = F.coalesce(F.to_json(F.try_variant_get(answer, "$.filters", "variant")), F.lit("{}"))
+    filters = F.try_variant_get(answer, "$.filters", "variant")
+    usable = is_object(answer) & (filters.isNull() | is_object(filters))
+    rule = F.coalesce(F.to_json(filters), F.lit("{}"))
     return (with_json(replies, reply)
             .withColumn("parsed", usable)
             .withColumn("segment_name", F.when(usable, F.coalesce(
@@ -70,21 +85,42 @@ def segment_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
             .drop("answer"))
 
 
+def segments_from_replies(replies: DataFrame, customers: DataFrame, as_of: AsOf,
+                          created_by: str = "ai") -> DataFrame:
+    """The segments to store for usable replies, with their present number of customers.
+
+    ``replies`` has id, natural_language_query, reply and created_at. A reply whose rule cannot
+    be read gives no segment. ``sources.tables.append_rows`` stores the rows.
+    """
+    row = F.struct("id", F.col("segment_name").alias("name"), "description", "filter_logic",
+                   "natural_language_query", "created_at", "rule", "parsed")
+    # Chosen within an array: a filter would work out the parsed reply once per use of it.
+    rows = (parse_rules(segment_replies(replies)).select(F.inline(F.filter(
+        F.array(row), lambda r: r["parsed"] & r["rule"]["valid"]))).drop("parsed"))
+    sizes = (match_rules(customers, rows.select(F.col("id").alias("segment_id"), "rule"), as_of)
+             .groupBy(F.col("segment_id").alias("id"))
+             .agg(F.count("*").alias("customer_count")))
+    return (rows.drop("rule").join(sizes, "id", "left")
+            .withColumn("customer_count", F.coalesce("customer_count", F.lit(0)))
+            .withColumn("created_by", F.lit(created_by)))
+
+
 def message_drafts(replies: DataFrame, brand: str, reply: str = "reply") -> DataFrame:
     """Subject, body and channel note of each reply; a stock draft where it is unusable.
 
-    ``replies`` has a ``channel`` column. Only e-mail gets a stock subject.
+    ``replies`` has a ``channel`` column. Only e-mail gets a stock subject. A reply is usable
+    if it is an object with an object ``message``; a missing body is the stock one.
     """
     answer = F.col("answer")
     text = lambda path: F.try_variant_get(answer, path, "string")
-    usable = answer.isNotNull()
+    usable = is_object(answer) & is_object(F.try_variant_get(answer, "$.message", "variant"))
     channel = F.col("channel")
     return (with_json(replies, reply)
             .withColumn("stock", ~usable)
             .withColumn("subject", F.when(usable, text("$.message.subject"))
                         .when(channel == "email", F.lit(DEFAULT_SUBJECT)))
-            .withColumn("body", F.when(usable, text("$.message.body"))
-                        .otherwise(F.lit(DEFAULT_BODY % brand)))
+            .withColumn("body", F.coalesce(F.when(usable, text("$.message.body")),
+                                           F.lit(DEFAULT_BODY % brand)))
             .withColumn("channel_note", F.when(usable, text("$.channel_recommendation"))
                         .otherwise(F.concat(channel, F.lit(" is a good fit for this audience"))))
             .drop("answer"))

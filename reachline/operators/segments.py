@@ -5,101 +5,117 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from reachline.functions import as_timestamp, days_before, whole_days_since
+from reachline.functions import days_before, whole_days_since
 from reachline.functions.contact import filled
 from reachline.functions.dates import AsOf
-from reachline.sources.schemas import SEGMENT_RULE
 
-WHOLE_NUMBERS = ["min_orders", "max_orders", "days_since_last_order",
-                 "days_since_last_order_min", "days_since_last_order_max",
-                 "min_age", "max_age"]
+AMOUNTS = ["min_spent", "max_spent"]
+DAYS = ["days_since_last_order", "days_since_last_order_min", "days_since_last_order_max"]
+WHOLE_NUMBERS = ["min_orders", "max_orders", *DAYS, "min_age", "max_age"]
 LISTS = ["cities", "tags"]
 
+# Days before the as-of moment that stay within the years 1 to 9999 from the year 2000 on.
+EARLIEST_DAY, LATEST_DAY = 730_000, -2_800_000
+WIDEST = 9.0e18
 
-def parse_rules(segments: DataFrame, document: str = "filter_logic") -> DataFrame:
-    """Adds ``rule``, a typed struct. A field that does not count is null.
 
-    Missing documents are empty rules. Whole-number fields drop their fraction. Unknown
-    keys, empty lists, lists given as something else and empty genders do not count.
-    """
-    raw = F.from_json(F.coalesce(F.col(document), F.lit("{}")), SEGMENT_RULE)
+def _parsed(document: Column) -> Column:
+    """A rule document as a typed struct. The document is bound to a lambda variable, so it is
+    parsed once and plans stay small."""
+    whole = F.try_parse_json(F.coalesce(document, F.lit("{}")))
+    return F.get(F.transform(F.array(whole), _typed), F.lit(0))
+
+
+def _typed(whole: Column) -> Column:
+    """The fields of a parsed rule; ``valid`` tells whether all of them can be read."""
+    part = lambda key, kind: F.try_variant_get(whole, f"$.{key}", kind)
+    kind_of = lambda key: F.schema_of_variant(part(key, "variant"))
+    given = lambda key: F.coalesce(kind_of(key), F.lit("VOID")) != "VOID"
+
+    def amount(key: str) -> Column:
+        return F.coalesce(F.btrim(part(key, "string")).try_cast("double"),
+                          part(key, "boolean").cast("double"))
 
     def number(key: str) -> Column:
-        return raw[key].try_cast("double")
+        """Truncated as a number; as text it must be a whole number."""
+        # least and greatest pass over nulls
+        value = F.when(amount(key).isNotNull(), F.least(F.greatest(
+            amount(key), F.lit(-WIDEST)), F.lit(WIDEST)).cast("bigint"))
+        digits = F.regexp_like(F.btrim(part(key, "string")), F.lit("^[+-]?[0-9]+$"))
+        return F.when((kind_of(key) != "STRING") | digits, value)
 
     def listed(key: str) -> Column:
-        return F.when(F.size(raw[key]) > 0, raw[key])
+        items = part(key, "array<string>")
+        return F.when(F.size(items) > 0, F.array_compact(items))
+
+    read = {**{key: amount(key) for key in AMOUNTS}, **{k: number(k) for k in WHOLE_NUMBERS}}
+    valid = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT"))
+                       | (F.schema_of_variant(whole) == "VOID"), F.lit(False))
+    for key, value in read.items():
+        sound = value.isNotNull()
+        if key in DAYS:
+            sound = sound & value.between(LATEST_DAY, EARLIEST_DAY)
+        valid = valid & (~given(key) | sound)
+    return F.struct(*[value.alias(key) for key, value in read.items()],
+                    *[listed(key).alias(key) for key in LISTS],
+                    filled(part("gender", "string")).alias("gender"), valid.alias("valid"))
 
-    return segments.withColumn("rule", F.struct(
-        number("min_spent").alias("min_spent"), number("max_spent").alias("max_spent"),
-        *[number(key).cast("int").alias(key) for key in WHOLE_NUMBERS],
-        *[listed(key).alias(key) for key in LISTS],
-        filled(raw["gender"]).alias("gender")))
 
+def parse_rules(segments: DataFrame, document: str = "filter_logic") -> DataFrame:
+    """Adds ``rule``, a typed struct. A field that does not count is null.
 
-def _matches(rule, as_of: AsOf, literal: bool) -> Column:
-    """All conditions of a rule. ``rule(key)`` is a value (literal) or a column."""
-    spent, orders, age = F.col("total_spent"), F.col("total_orders"), F.col("age")
-    last = F.col("last_order_date")
+    Missing documents are empty rules, which mean everyone. ``rule.valid`` is false, and the
+    rule means nobody, if the document is no JSON object (or repeats a key), if an amount
+    or number cannot be read, or if days leave the calendar. Numbers drop their fraction;
+    as text they must be whole. Unknown keys, empty lists, lists given as something else
+    and empty genders do not count; nulls within a list equal nothing.
+    """
+    return segments.withColumn("rule", _parsed(F.col(document)))
 
-    def bound(key: str) -> Column:
-        value = rule(key)
-        return F.lit(value) if literal else value
 
+def _matches(rule, as_of: AsOf) -> Column:
+    """All conditions of a rule; ``rule(key)`` is a column."""
+    spent, orders, age = F.col("total_spent"), F.col("total_orders"), F.col("age")
+    last = F.col("last_order_date")
+    before = lambda key: days_before(as_of, F.when(
+        rule(key).between(LATEST_DAY, EARLIEST_DAY), rule(key)))
     conditions = {
-        "min_spent": lambda: spent >= bound("min_spent"),
-        "max_spent": lambda: spent <= bound("max_spent"),
-        "min_orders": lambda: orders >= bound("min_orders"),
-        "max_orders": lambda: orders <= bound("max_orders"),
-        "days_since_last_order": lambda: last <= days_before(as_of, bound("days_since_last_order")),
-        "days_since_last_order_min":
-            lambda: last <= days_before(as_of, bound("days_since_last_order_min")),
-        "days_since_last_order_max":
-            lambda: last >= days_before(as_of, bound("days_since_last_order_max")),
-        "cities": lambda: (F.col("city").isin(rule("cities")) if literal
-                           else F.array_contains(rule("cities"), F.col("city"))),
-        "gender": lambda: F.col("gender") == bound("gender"),
-        "min_age": lambda: age >= bound("min_age"),
-        "max_age": lambda: age <= bound("max_age"),
-        "tags": lambda: F.arrays_overlap("tags", F.array(*map(F.lit, rule("tags"))) if literal
-                                         else rule("tags")),
+        "min_spent": spent >= rule("min_spent"),
+        "max_spent": spent <= rule("max_spent"),
+        "min_orders": orders >= rule("min_orders"),
+        "max_orders": orders <= rule("max_orders"),
+        "days_since_last_order": last <= before("days_since_last_order"),
+        "days_since_last_order_min": last <= before("days_since_last_order_min"),
+        "days_since_last_order_max": last >= before("days_since_last_order_max"),
+        "cities": F.array_contains(rule("cities"), F.col("city")),
+        "gender": F.col("gender") == rule("gender"),
+        "min_age": age >= rule("min_age"),
+        "max_age": age <= rule("max_age"),
+        "tags": F.arrays_overlap("tags", rule("tags")),
     }
-    if literal:
-        parts = [make() for key, make in conditions.items() if rule(key) is not None]
-    else:
-        parts = [rule(key).isNull() | make() for key, make in conditions.items()]
-    matched = F.lit(True)
-    for part in parts:
-        matched = matched & part
+    matched = rule("valid")
+    for key, condition in conditions.items():
+        matched = matched & (rule(key).isNull() | condition)
     return matched
 
 
-def _clean(rule: dict) -> dict:
-    clean = {}
-    for key, value in rule.items():
-        if value is None:
-            continue
-        if key in ("min_spent", "max_spent"):
-            clean[key] = float(value)
-        elif key in WHOLE_NUMBERS:
-            clean[key] = int(value)
-        elif key in LISTS and isinstance(value, list) and value:
-            clean[key] = value
-        elif key == "gender" and value:
-            clean[key] = value
-    return clean
-
-
 def filter_segment(customers: DataFrame, rule: dict | str | None, as_of: AsOf) -> DataFrame:
-    """Active customers that satisfy one rule. The filter reaches the scan."""
-    if isinstance(rule, str):
-        rule = json.loads(rule)
-    return customers.where(F.col("is_active")
-                           & _matches(_clean(rule or {}).get, as_of, literal=True))
+    """Active customers that satisfy one rule, read as ``parse_rules`` reads it.
+
+    The one rule becomes constants, so that the filter reaches the scan.
+    """
+    document = rule if rule is None or isinstance(rule, str) else json.dumps(rule)
+    spark = customers.sparkSession
+    known = parse_rules(spark.createDataFrame([(document,)], "filter_logic string"))
+    values = known.first()["rule"]
+    kinds = known.schema["rule"].dataType
+    literal = lambda key: (
+        F.array(*map(F.lit, values[key])) if isinstance(values[key], list)
+        else F.lit(values[key])).cast(kinds[key].dataType)
+    return customers.where(F.col("is_active") & _matches(literal, as_of))
 
 
 def matched_columns(customers: DataFrame) -> DataFrame:
@@ -115,71 +131,71 @@ RANGES = {
     "idle": (["days_since_last_order", "days_since_last_order_min"],
              ["days_since_last_order_max"]),
     "orders": (["min_orders"], ["max_orders"]),
+    "age": (["min_age"], ["max_age"]),
 }
 TOP_BAND = 63
 
 
-def _band(value: Column) -> Column:
-    """Magnitude of a number, 0 to 63; never falls as the number grows."""
-    magnitude = F.floor(F.log2(F.greatest(value.cast("double"), F.lit(0.0)) + 1))
-    return F.least(magnitude, F.lit(TOP_BAND)).cast("int")
+def _band(value: Column, kind: str) -> Column:
+    """Band of a number, 0 to 63; never falls as the number grows. Ages go by four years,
+    others by magnitude."""
+    number = F.greatest(value.cast("double"), F.lit(0.0))
+    band = F.floor(number / 4) if kind == "age" else F.floor(F.log2(number + 1))
+    return F.least(band, F.lit(TOP_BAND)).cast("int")
 
 
 def _rule_keys(rule: str) -> Column:
     """Lookup keys of a rule: its tags, else its cities, else one of its ranges in bands, else
-    the key every customer has. Gender and age alone tell too little."""
+    its gender. Only a rule that means everyone has the key of every customer, and one that
+    cannot be read has none."""
     field = lambda key: F.col(f"{rule}.{key}")
     label = lambda kind: (lambda v: F.concat(F.lit(f"{kind}="), v.cast("string")))
-    keys = (F.when(field("tags").isNotNull(), F.array_distinct(field("tags")))
+    keys = (F.when(~field("valid"), F.array().cast("array<string>"))
+            .when(field("tags").isNotNull(),
+                  F.transform(F.array_distinct(field("tags")), label("tag")))
             .when(field("cities").isNotNull(),
                   F.transform(F.array_distinct(field("cities")), label("city"))))
     for kind, (lows, highs) in RANGES.items():
         low = F.greatest(F.lit(None), *map(field, lows)).cast("double")
         high = F.least(F.lit(None), *map(field, highs)).cast("double")
-        bands = F.sequence(_band(F.coalesce(low, F.lit(0.0))),
-                           F.when(high.isNull(), TOP_BAND).otherwise(_band(high)))
+        first = _band(F.coalesce(low, F.lit(0.0)), kind)
+        last = F.when(high.isNull(), TOP_BAND).otherwise(_band(high, kind))
+        bands = F.when(first <= last, F.sequence(first, last)).otherwise(
+            F.array().cast("array<int>"))
         keys = keys.when(low.isNotNull() | high.isNotNull(), F.transform(bands, label(kind)))
-    return keys.otherwise(F.array(F.lit("all")))
+    return (keys.when(field("gender").isNotNull(), F.array(label("gender")(field("gender"))))
+            .otherwise(F.array(F.lit("all"))))
 
 
 def _customer_keys(as_of: AsOf) -> tuple[list[Column], Column]:
     """Lookup keys of a customer: one or none of each kind, and the tags."""
     numbers = {"spent": F.col("total_spent"), "orders": F.col("total_orders"),
-               "idle": whole_days_since(F.col("last_order_date"), as_of)}
-    single = [F.lit("all"), F.concat(F.lit("city="), F.col("city"))]
+               "idle": whole_days_since(F.col("last_order_date"), as_of), "age": F.col("age")}
+    single = [F.lit("all"), F.concat(F.lit("city="), F.col("city")),
+              F.concat(F.lit("gender="), F.col("gender"))]
     for kind, number in numbers.items():
-        band = F.when(number.isNotNull(), _band(number))
+        band = F.when(number.isNotNull(), _band(number, kind))
         single.append(F.concat(F.lit(f"{kind}="), band.cast("string")))
-    return single, F.coalesce("tags", F.array().cast("array<string>"))
-
-
-def _match_few(customers: DataFrame, schema: T.StructType, rows: list[Row], as_of: AsOf,
-               keep: list[str]) -> DataFrame:
-    """Tests a handful of known rules on each customer in one pass, without a join."""
-    names = [field for field in schema.fields if field.name != "rule"]
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")),
+                       lambda t: F.concat(F.lit("tag="), t))
+    return single, tags
 
-    def payload(row: Row) -> Column:
-        return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in names])
 
-    # The exploded value is a rule's position; what belongs to the rule is a constant.
-    hits = F.array(*[F.when(_matches(row["rule"].asDict().get, as_of, literal=True), F.lit(i))
-                     for i, row in enumerate(rows, 1)])
-    kept = [F.col(c).alias("customer_id") if c == "id" else F.col(c) for c in keep]
-    constants = F.array(*map(payload, rows))
-    return (customers.where("is_active").select(*kept, F.explode(hits).alias("hit"))
-            .where(F.col("hit").isNotNull())
-            .withColumn("hit", F.element_at(constants, F.col("hit")))
-            .select("hit.*", *["customer_id" if c == "id" else c for c in keep]))
-
-
-def _match_many(customers: DataFrame, rules: DataFrame, as_of: AsOf,
-                keep: list[str]) -> DataFrame:
-    """Lets rules and customers meet on lookup keys and tests the pairs that meet.
+def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
+                keep: Iterable[str] = ("id",)) -> DataFrame:
+    """Every (rule row, active customer) match, for any number of rules.
 
-    A rule is filed under its most telling condition only, a customer under all that hold
-    for it. Spark broadcasts the rules while their size allows it; beyond that both sides
+    ``rules`` has a ``rule`` struct and any further columns; ``keep`` names the customer
+    columns wanted besides, and ``id`` becomes ``customer_id``. Rules and customers meet on
+    lookup keys and the pairs that meet are tested. A rule is filed under its most telling
+    condition only, a customer under all that hold for it; only rules that mean everyone meet
+    everyone. Spark broadcasts the rules while their size allows it; beyond that both sides
     are joined on the key, and crowded keys are split at run time.
     """
+    keep = list(keep)
+    clash = {c for c in (*keep, "customer_id") if c in rules.columns} - {"id"}
+    if clash:
+        raise ValueError(f"rename the rule columns {sorted(clash)}; customers have them too")
     used = ["is_active", "city", "gender", "age", "total_spent", "total_orders",
             "last_order_date", "tags"]
     filed = rules.withColumn("key", F.explode(_rule_keys("rule")))
@@ -191,35 +207,15 @@ def _match_many(customers: DataFrame, rules: DataFrame, as_of: AsOf,
         .where(F.col("key").isNotNull()))
     field = lambda key: F.col(f"rule.{key}")
     # A rule with tags meets a customer at the first wanted tag only, others not at tags.
-    first_wanted = F.element_at(F.array_intersect(field("tags"), F.col("tags")), 1)
+    first_wanted = F.try_element_at(F.array_intersect(field("tags"), F.col("tags")), F.lit(1))
     once = (F.when(field("tags").isNull(), F.col("place") < len(single))
             .otherwise(F.col("place") == len(single) - 1
                        + F.array_position("tags", first_wanted)))
-    matched = (filed.join(looked_up, "key")
-               .where(_matches(field, as_of, literal=False)).where(once))
+    matched = filed.join(looked_up, "key").where(_matches(field, as_of)).where(once)
     return matched.select(*[c for c in rules.columns if c != "rule"],
                           *["customer_id" if c == "id" else c for c in keep])
 
 
-def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
-                keep: Iterable[str] = ("id",), few: int = 8) -> DataFrame:
-    """Every (rule row, active customer) match.
-
-    ``rules`` has a ``rule`` struct and any further columns; ``keep`` names the customer
-    columns wanted besides, and ``id`` becomes ``customer_id``. Up to ``few`` rules are read
-    into the plan and tested in one pass over the customers; beyond that the generated code
-    gets too long to be fast and rules are joined on lookup keys. Both give the same rows.
-    """
-    keep = list(keep)
-    clash = {c for c in (*keep, "customer_id") if c in rules.columns} - {"id"}
-    if clash:
-        raise ValueError(f"rename the rule columns {sorted(clash)}; customers have them too")
-    head = rules.limit(few + 1).collect()
-    if 0 < len(head) <= few:
-        return _match_few(customers, rules.schema, head, as_of, keep)
-    return _match_many(customers, rules, as_of, keep)
-
-
 def segment_membership(customers: DataFrame, segments: DataFrame, as_of: AsOf) -> DataFrame:
     """(segment_id, customer_id) for every saved segment and every customer in it."""
     rules = parse_rules(segments).select(F.col("id").alias("segment_id"), "rule")
@@ -236,28 +232,32 @@ def segment_sizes(segments: DataFrame, membership: DataFrame) -> DataFrame:
 
 def segment_samples(customers: DataFrame, segments: DataFrame, as_of: AsOf,
                     n: int = 5) -> DataFrame:
-    """Up to ``n`` customers per segment, lowest ids first."""
+    """Up to ``n`` customers per segment, lowest ids first; a segment without any has one row
+    without customer."""
     rules = parse_rules(segments).select(F.col("id").alias("segment_id"), "rule")
     matches = match_rules(customers, rules, as_of, keep=["id", "name", "city", "age", "tags"])
     by_id = Window.partitionBy("segment_id").orderBy("customer_id")
-    return (matches.withColumn("position", F.row_number().over(by_id))
-            .where(F.col("position") <= n))
+    first = (matches.withColumn("position", F.row_number().over(by_id))
+             .where(F.col("position") <= n))
+    return rules.select("segment_id").join(first, "segment_id", "left")
 
 
 def prompt_context(samples: DataFrame) -> DataFrame:
     """Sample lines of a segment as they are put before a writing model.
 
-    ``message_context`` takes the first three samples, ``channel_context`` all of them.
+    ``message_context`` takes the first three samples, ``channel_context`` all of them; both
+    are empty for a segment without customers.
     """
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    listed = F.coalesce("tags", F.array().cast("array<string>"))
     tags = F.concat(F.lit("["), F.array_join(
-        F.transform("tags", lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+        F.transform(listed, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
     for_message = F.concat(F.lit("  - "), shown("name"), F.lit(" from "), shown("city"),
                            F.lit(", tags: "), tags)
     for_channel = F.concat(F.lit("  - "), shown("name"), F.lit(", age ?, "), shown("city"),
                            F.lit(", tags: "), tags)
-    lines = samples.select("segment_id", F.struct(
-        "position", for_message.alias("m"), for_channel.alias("c")).alias("line"))
+    lines = samples.select("segment_id", F.when(F.col("position").isNotNull(), F.struct(
+        "position", for_message.alias("m"), for_channel.alias("c"))).alias("line"))
     gathered = lines.groupBy("segment_id").agg(
         F.sort_array(F.collect_list("line")).alias("lines"))
     return gathered.select(

@@ -161,7 +161,8 @@ QUERIES = {
 
 _NOW = "'2001-08-02 00:00:00.000000'"
 
-# Draft campaign 30 goes to segment 2, 31 to segment 3, 32 to the empty segment 5.
+# Draft campaign 30 goes to segment 2, 31 to segment 3, 32 to the empty segment 5,
+# 33 to the unreadable segment 6, 34 to none.
 _ADDRESSED = """
   FROM campaigns c JOIN members m ON m.segment_id = c.segment_id AND c.status = 'draft'
   JOIN crm_people p ON p.id = m.customer_id"""
@@ -211,6 +212,7 @@ ORACLES = {name: over_tables(sql) for name, sql in {
         {_NOW} AS sent_at {_ADDRESSED} GROUP BY c.id, c.name""",
     "dispatch_rejects": """
       SELECT id AS campaign_id, status, CASE WHEN status <> 'draft' THEN 'not a draft'
+        WHEN segment_id = 99 THEN 'segment not found' WHEN segment_id = 6 THEN 'rule unreadable'
         ELSE 'no customers match' END AS reason
       FROM campaigns WHERE status <> 'draft'
         OR segment_id NOT IN (SELECT segment_id FROM members)""",
@@ -270,11 +272,12 @@ ORACLES = {name: over_tables(sql) for name, sql in {
       FROM comms c JOIN crm_people p ON p.id = c.customer_id
       LEFT JOIN times t ON t.campaign_id = c.campaign_id AND t.customer_id = c.customer_id""",
     "communications_page": """
-      SELECT id, campaign_id, customer_id, status, CAST(rn AS INTEGER) AS position, total,
-        2 AS page, 50 AS page_size
-      FROM (SELECT *, count(*) OVER (PARTITION BY campaign_id) AS total, row_number() OVER (
-              PARTITION BY campaign_id ORDER BY updated_at DESC, id DESC) AS rn FROM comms)
-      WHERE rn > 50 AND rn <= 100""",
+      SELECT p.id, t.campaign_id, p.customer_id, p.status, CAST(rn AS INTEGER) AS position,
+        t.total, 2 AS page, 50 AS page_size
+      FROM (SELECT campaign_id, count(*) AS total FROM comms GROUP BY campaign_id) t
+      LEFT JOIN (SELECT *, row_number() OVER (
+              PARTITION BY campaign_id ORDER BY updated_at DESC, id DESC) AS rn FROM comms) p
+        ON p.campaign_id = t.campaign_id AND rn > 50 AND rn <= 100""",
     "dashboard_stats": _DASHBOARD,
     "dashboard_targets": f"""
       , totals AS ({_DASHBOARD})

@@ -13,7 +13,7 @@ RANK = """CASE {0} WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'failed' THEN
 
 TABLES = {
     "crm_orders": """
-      SELECT o_orderkey AS id, o_custkey AS customer_id, 'TC-' || o_orderkey AS order_number,
+      SELECT o_orderkey AS id, o_custkey AS customer_id, 'NO-' || o_orderkey AS order_number,
         CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
         CASE WHEN o_orderkey % 2 = 0 THEN 'online' ELSE 'in-store' END AS channel,
         CASE WHEN o_orderstatus IN ('F','O') THEN 'completed'
@@ -76,7 +76,7 @@ TABLES = {
     "folded": """
       SELECT campaign_id, customer_id, w.s AS status, w.at AS sent_at, m.updated_at
       FROM walked JOIN (SELECT campaign_id, customer_id, max(ts) AS updated_at
-                        FROM receipts GROUP BY campaign_id, customer_id) m
+                        FROM firsts GROUP BY campaign_id, customer_id) m
       USING (campaign_id, customer_id)""",
     "audience": """
       SELECT DISTINCT campaign_id, customer_id FROM receipts
@@ -99,14 +99,14 @@ TABLES = {
       ON a.campaign_id = f.campaign_id AND a.customer_id = f.customer_id""",
     "campaigns": """
       SELECT g.id, 'Campaign ' || g.id AS name,
-        CASE WHEN g.id = 32 THEN 5 ELSE g.id % 4 END AS segment_id,
+        CASE g.id WHEN 32 THEN 5 WHEN 33 THEN 6 WHEN 34 THEN 99 ELSE g.id % 4 END AS segment_id,
         ['whatsapp','sms','email','rcs'][g.id % 4 + 1] AS channel,
         CASE WHEN g.id < 30 THEN 'sending' ELSE 'draft' END AS status,
         TIMESTAMP '2000-01-01 00:00:00' + to_days(CAST(g.id AS INTEGER)) AS created_at,
         CASE WHEN g.id < 30 THEN TIMESTAMP '2000-01-01 00:00:00'
           + to_days(CAST(g.id AS INTEGER)) END AS sent_at,
         coalesce(z.n, 0) AS total_sent
-      FROM (SELECT unnest(range(0, 33)) AS id) g
+      FROM (SELECT unnest(range(0, 35)) AS id) g
       LEFT JOIN (SELECT campaign_id, count(*) AS n FROM audience GROUP BY campaign_id) z
       ON z.campaign_id = g.id""",
     "counted": """
@@ -144,7 +144,8 @@ TABLES = {
         (3, 'Tagged', '{"tags":["vip","new"],"min_age":25,"max_age":40}',
          TIMESTAMP '2000-01-04 00:00:00'),
         (4, 'Everyone', '{}', TIMESTAMP '2000-01-05 00:00:00'),
-        (5, 'Nobody', '{"min_spent":1e12}', TIMESTAMP '2000-01-06 00:00:00'))
+        (5, 'Nobody', '{"min_spent":1e12}', TIMESTAMP '2000-01-06 00:00:00'),
+        (6, 'Unreadable', '{"min_spent":"1e9 rupees"}', TIMESTAMP '2000-01-07 00:00:00'))
       AS t(id, name, filter_logic, created_at)""",
     "members": """
       SELECT CAST(s.id AS BIGINT) AS segment_id, c.id AS customer_id

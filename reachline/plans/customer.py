@@ -117,10 +117,13 @@ def constraints(spark: SparkSession, folder: str) -> DataFrame:
     faulty_orders = retail.orders(spark, folder).select(
         "id", F.when(key % 211 == 0, -F.col("customer_id") - 1)
         .otherwise(F.col("customer_id")).alias("customer_id"),
-        F.when(key % 199 == 0, F.lit("TC-0")).otherwise(F.col("order_number"))
+        F.when(key % 199 == 0, F.lit("NO-0")).otherwise(F.col("order_number"))
         .alias("order_number"),
         F.when(key % 197 != 0, F.col("amount")).alias("amount"))
     messages = retail.with_recipient(retail.communications(spark, folder), people)
+    messages = messages.withColumns({
+        c: F.when(F.col("id") % modulus != 0, F.col(c))
+        for c, modulus in (("campaign_id", 193), ("customer_id", 191))})
     heads = retail.campaign_heads(spark).withColumn(
         "segment_id", F.when(key != 31, F.when(key == 30, 77).otherwise(F.col("segment_id"))))
     return constraint_violations(faulty_people, faulty_orders, messages,
@@ -269,7 +272,7 @@ ORACLES = {name: over_tables(sql) for name, sql in {
       sales AS (
         SELECT id, CASE WHEN id % 211 = 0 THEN -customer_id - 1 ELSE customer_id END
             AS customer_id,
-          CASE WHEN id % 199 = 0 THEN 'TC-0' ELSE order_number END AS order_number,
+          CASE WHEN id % 199 = 0 THEN 'NO-0' ELSE order_number END AS order_number,
           CASE WHEN id % 197 = 0 THEN NULL ELSE amount END AS amount
         FROM crm_orders)
       SELECT 'customers' AS table_name, 'name missing' AS violation,
@@ -288,10 +291,15 @@ ORACLES = {name: over_tables(sql) for name, sql in {
         WHERE customer_id NOT IN (SELECT id FROM people)
       UNION ALL SELECT 'campaigns', 'segment_id missing', '31'
       UNION ALL SELECT 'campaigns', 'segment_id unknown', '30'
+      UNION ALL SELECT 'campaigns', 'segment_id unknown', '34'
+      UNION ALL SELECT 'communications', 'campaign_id missing', CAST(id AS VARCHAR) FROM comms
+        WHERE id % 193 = 0
+      UNION ALL SELECT 'communications', 'customer_id missing', CAST(id AS VARCHAR) FROM comms
+        WHERE id % 191 = 0
       UNION ALL SELECT 'communications', 'recipient missing', CAST(id AS VARCHAR) FROM comms
         WHERE channel = 'unknown'
       UNION ALL SELECT 'communications', 'customer_id unknown', CAST(id AS VARCHAR) FROM comms
-        WHERE customer_id NOT IN (SELECT id FROM people)
+        WHERE id % 191 <> 0 AND customer_id NOT IN (SELECT id FROM people)
       UNION ALL SELECT 'communications', 'campaign_id unknown', CAST(id AS VARCHAR) FROM comms
-        WHERE campaign_id NOT IN (SELECT id FROM campaigns)""",
+        WHERE id % 193 <> 0 AND campaign_id NOT IN (SELECT id FROM campaigns)""",
 }.items()}

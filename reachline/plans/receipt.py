@@ -134,7 +134,7 @@ LOG = f"""string_agg(event_type || '@' || {stamped('ts')} || '#'
 _MADE = """
   , made AS (
     SELECT f.campaign_id || '-' || f.customer_id AS id, f.campaign_id, f.customer_id,
-      'ORD-' || upper(left(sha256(f.campaign_id || '-' || f.customer_id), 8)) AS order_number,
+      'ORD-' || upper(left(sha256(f.campaign_id || '-' || f.customer_id), 16)) AS order_number,
       f.order_value AS amount, p.city, f.ts AS created_at
     FROM firsts f JOIN crm_people p ON p.id = f.customer_id
     WHERE f.event_type = 'converted' AND f.order_value > 0)"""
@@ -183,7 +183,7 @@ ORACLES = {
     "customer_rollup_with_conversions": over_tables(f"""{_MADE}
       SELECT r.id, r.total_orders + coalesce(m.n, 0) AS total_orders,
         CAST(r.total_spent + coalesce(m.s, 0) AS DOUBLE) AS total_spent,
-        {stamped('coalesce(m.last, r.last_order_date)')} AS last_order_date
+        {stamped('greatest(m.last, r.last_order_date)')} AS last_order_date
       FROM crm_rollup r LEFT JOIN (
         SELECT customer_id, count(*) AS n, sum(amount) AS s, max(created_at) AS last
         FROM made GROUP BY customer_id) m ON m.customer_id = r.id"""),

@@ -23,7 +23,8 @@ def _finish(query) -> None:
 
 
 def _receipts(spark: SparkSession, folder: str) -> DataFrame:
-    return retail.receipts_from(retail.event_stream(spark, folder))
+    return retail.receipts_from(
+        retail.event_stream(spark, folder, new_work_path(spark, "events")))
 
 
 def receipt_fold_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +32,7 @@ def receipt_fold_stream(spark: SparkSession, folder: str) -> DataFrame:
     _finish(receipts.follow_messages(_receipts(spark, folder), root,
                                      retail.campaigns(spark, folder), AS_OF))
     return receipts.message_statuses(spark, root).select(
-        F.col("campaign_id").cast("bigint").alias("campaign_id"), "customer_id", "status",
+        "campaign_id", "customer_id", "status",
         stamp(F.col("sent_at")).alias("sent_at"),
         stamp(F.col("updated_at")).alias("updated_at"))
 

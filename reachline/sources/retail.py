@@ -30,7 +30,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("customer_id"),
-        F.concat(F.lit("TC-"), F.col("o_orderkey").cast("string")).alias("order_number"),
+        F.concat(F.lit("NO-"), F.col("o_orderkey").cast("string")).alias("order_number"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
         F.when(F.col("o_orderkey") % 2 == 0, "online").otherwise("in-store").alias("channel"),
         F.when(F.col("o_orderstatus").isin("F", "O"), "completed")
@@ -103,11 +103,16 @@ def receipts(spark: SparkSession, folder: str) -> DataFrame:
     return receipts_from(table(spark, folder, "events"))
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table read as a stream of files."""
-    schema = table(spark, folder, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .parquet(folder))
+def event_stream(spark: SparkSession, folder: str, path: str, files: int = 3) -> DataFrame:
+    """The events table as a stream of ``files`` micro-batches, written below ``path`` in
+    order of arrival."""
+    events = table(spark, folder, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * files / (last + 1))
+    for n in range(files):
+        events.where(part == n).coalesce(1).write.mode("append").parquet(path)
+    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+            .parquet(path))
 
 
 def with_metadata(receipts: DataFrame) -> DataFrame:
@@ -193,10 +198,11 @@ def campaign_heads(spark: SparkSession) -> DataFrame:
     campaign = F.col("id")
     sent = campaign < SENT_CAMPAIGNS
     start = campaign_start(campaign)
-    return spark.range(SENT_CAMPAIGNS + 3).select(
+    return spark.range(SENT_CAMPAIGNS + 5).select(
         campaign,
         F.concat(F.lit("Campaign "), campaign.cast("string")).alias("name"),
-        F.when(campaign == 32, 5).otherwise(campaign % 4).cast("bigint").alias("segment_id"),
+        F.when(campaign == 32, 5).when(campaign == 33, 6).when(campaign == 34, 99)
+        .otherwise(campaign % 4).cast("bigint").alias("segment_id"),
         channel_of(campaign).alias("channel"),
         F.lit("Hi {{name}}!").alias("message_template"),
         F.when(sent, "sending").otherwise("draft").alias("status"),
@@ -229,5 +235,7 @@ def segments(spark: SparkSession) -> DataFrame:
            timestamp_ntz'2000-01-04 00:00:00'),
           (4, 'Everyone', 'All customers', '{}', timestamp_ntz'2000-01-05 00:00:00'),
           (5, 'Nobody', 'Nobody spends this much', '{"min_spent":1e12}',
-           timestamp_ntz'2000-01-06 00:00:00')
+           timestamp_ntz'2000-01-06 00:00:00'),
+          (6, 'Unreadable', 'No number', '{"min_spent":"1e9 rupees"}',
+           timestamp_ntz'2000-01-07 00:00:00')
         AS t(id, name, description, filter_logic, created_at)""")

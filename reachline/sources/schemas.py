@@ -45,13 +45,6 @@ PROVIDER_RECEIPT = """
 """
 
 # Scalars are read as text so that a number given in quotes still counts.
-SEGMENT_RULE = """
-    min_spent string, max_spent string, min_orders string, max_orders string,
-    days_since_last_order string, days_since_last_order_min string,
-    days_since_last_order_max string, cities array<string>, gender string,
-    min_age string, max_age string, tags array<string>
-"""
-
 TABLES = {
     "customers": CUSTOMERS,
     "orders": ORDERS,

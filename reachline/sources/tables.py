@@ -42,13 +42,9 @@ def write_outbound(messages: DataFrame, path: str, rows_per_file: int = 1_000_00
      .option("maxRecordsPerFile", rows_per_file).parquet(path))
 
 
-def replace_campaigns(communications: DataFrame, path: str,
-                      rows_per_file: int = 1_000_000) -> None:
-    """Replaces the campaign folders present in ``communications`` and no others.
-
-    The input must not read from ``path`` itself.
-    """
-    write_outbound(communications, path, rows_per_file)
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Adds rows, such as newly generated segments, to a stored table."""
+    rows.write.mode("append").parquet(path)
 
 
 def write_version(table: DataFrame, root: str, version: int) -> None:
@@ -57,7 +53,15 @@ def write_version(table: DataFrame, root: str, version: int) -> None:
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version below ``root``."""
-    versions = spark.read.parquet(root)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    """The newest complete version below ``root``: chosen by folder name among those with a
+    success marker, so neither older versions nor one being written are read."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = [int(p.getName().partition("=")[2]) for p in
+                (status.getPath() for status in files.listStatus(folder))
+                if p.getName().startswith("version=")
+                and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not versions:
+        raise ValueError(f"no complete version below {root}")
+    return spark.read.parquet(f"{root}/version={max(versions)}")

@@ -23,14 +23,27 @@ MESSAGE_COLUMNS = ["id", *KEYS, "recipient", "channel", "status", "events", "sen
 STATUS_COLUMNS = [*KEYS, "status", "sent_at", "updated_at"]
 
 
-# Files a campaign is spread over in one batch: few, but more than one for a crowded one.
-SPREAD = 16
+# Folders of a batch. Ids are columns of the files, so their type is kept as it is.
+BUCKETS = 64
+
+
+def _bucket(*keys: str):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _store(rows: DataFrame, columns: list[str], keys: list[str], path: str,
+           batch_id: int) -> None:
+    changes.write_batch(rows.select(*columns, _bucket(*keys).alias("bucket"))
+                        .hint("rebalance", "bucket"), path, batch_id, ["bucket"])
 
 
 def _store_messages(rows: DataFrame, root: str, batch_id: int) -> None:
-    part = F.pmod(F.hash("customer_id"), F.lit(SPREAD))
-    changes.write_batch(rows.select(STATUS_COLUMNS).repartition("campaign_id", part),
-                        f"{root}/messages", batch_id, ["campaign_id"])
+    _store(rows, STATUS_COLUMNS, ["campaign_id"], f"{root}/messages", batch_id)
+
+
+def _buckets_of(rows: DataFrame, keys: list[str]) -> list[int]:
+    """The buckets of a batch, at most ``BUCKETS`` numbers."""
+    return [r[0] for r in rows.select(_bucket(*keys)).distinct().collect()]
 
 
 def seed_messages(queued: DataFrame, root: str) -> None:
@@ -42,27 +55,30 @@ def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of:
                     every: str | None = None) -> StreamingQuery:
     """Keeps message statuses and the counts and completion of the campaigns they touch.
 
-    Per micro-batch the changed messages are stored by campaign; then only the campaigns
-    among them are counted again, from their own folders.
+    Per micro-batch the changed messages are stored in buckets of campaigns; then only the
+    campaigns among them are counted again, from their own buckets.
     """
     spark = receipts.sparkSession
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
         _store_messages(rows, root, batch_id)
+        touched = rows.select("campaign_id").distinct()
         stored = (changes.read_changes(spark, f"{root}/messages")
-                  .where(F.col("batch") <= batch_id))
-        touched = (stored.where(F.col("batch") == batch_id).select("campaign_id").distinct())
+                  .where(F.col("bucket").isin(_buckets_of(rows, ["campaign_id"])))
+                  .where(F.col("batch") <= batch_id).drop("bucket"))
         now = changes.newest(stored.join(touched, "campaign_id", "left_semi"), KEYS)
         heads = campaigns.join(touched.withColumnRenamed("campaign_id", "id"), "id",
                                "left_semi")
         changes.write_batch(campaign_completion(heads, now, as_of), f"{root}/campaigns",
                             batch_id)
+        rows.unpersist()
 
     return changes.start(fold_receipts(receipts), on_batch, f"{root}/_progress", every=every)
 
 
 def message_statuses(spark: SparkSession, root: str) -> DataFrame:
-    return changes.current(spark, f"{root}/messages", KEYS)
+    return changes.current(spark, f"{root}/messages", KEYS).drop("bucket")
 
 
 def live_campaigns(spark: SparkSession, root: str) -> DataFrame:
@@ -72,8 +88,7 @@ def live_campaigns(spark: SparkSession, root: str) -> DataFrame:
 
 def seed_communications(queued: DataFrame, root: str) -> None:
     """Stores whole message rows as they stand before the stream; may be empty."""
-    changes.write_batch(queued.select(MESSAGE_COLUMNS), f"{root}/communications",
-                        changes.BEFORE_STREAM)
+    _store(queued, MESSAGE_COLUMNS, KEYS, f"{root}/communications", changes.BEFORE_STREAM)
 
 
 def follow_communications(receipts: DataFrame, root: str,
@@ -81,23 +96,28 @@ def follow_communications(receipts: DataFrame, root: str,
     """Keeps whole message rows, event log included, after ``seed_communications``.
 
     The table itself is the state: each micro-batch folds its receipts onto the rows they
-    name, as earlier batches left them, and stores the changed rows.
+    name, as earlier batches left them in the buckets of their keys, and stores the changed
+    rows.
     """
     spark = receipts.sparkSession
     path = f"{root}/communications"
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        earlier = changes.read_changes(spark, path).where(F.col("batch") < batch_id)
+        rows = rows.persist()
+        earlier = (changes.read_changes(spark, path)
+                   .where(F.col("bucket").isin(_buckets_of(rows, KEYS)))
+                   .where(F.col("batch") < batch_id).drop("bucket"))
         named = rows.select(*KEYS).distinct()
         before = changes.newest(earlier.join(named, KEYS, "left_semi"), KEYS)
         changed = changed_communications(before, rows)
-        changes.write_batch(changed.select(MESSAGE_COLUMNS), path, batch_id)
+        _store(changed, MESSAGE_COLUMNS, KEYS, path, batch_id)
+        rows.unpersist()
 
     return changes.start(receipts, on_batch, f"{root}/_progress", mode="append", every=every)
 
 
 def communications(spark: SparkSession, root: str) -> DataFrame:
-    return changes.current(spark, f"{root}/communications", KEYS)
+    return changes.current(spark, f"{root}/communications", KEYS).drop("bucket")
 
 
 def follow_conversions(receipts: DataFrame, customers: DataFrame, root: str,

@@ -153,9 +153,46 @@ def test_page_of_a_crowded_campaign(spark):
     page = ops.communications_page(rows, limit=50, offset=100)
     assert "WindowGroupLimit" in page._jdf.queryExecution().executedPlan().toString()
     order = sorted(range(1150), key=lambda i: (i % 9, str(i)), reverse=True)[100:150]
-    got = sorted(page.collect(), key=lambda r: r.position)
+    rows = page.collect()
+    got = sorted((r for r in rows if r.campaign_id == 1), key=lambda r: r.position)
     assert [r.customer_id for r in got] == order
     assert {(r.total, r.page, r.page_size) for r in got} == {(1150, 3, 50)}
+    # campaigns with fewer messages have an empty page, with their total
+    assert {(r.id, r.position, r.total, r.page) for r in rows if r.campaign_id != 1} == {
+        (None, None, 1, 3)}
+
+
+def test_revenue_of_many_campaigns_on_one_day(spark):
+    """What is sorted per customer are days, campaigns and one day's orders, never pairs."""
+    orders = spark.range(2000).selectExpr(
+        "id % 7 AS customer_id", "cast(1 AS decimal(18,2)) AS amount", "'completed' AS status",
+        "timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 40) AS created_at")
+    heads = spark.range(3000).selectExpr(
+        "id", "timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 20) "
+        "AS created_at")
+    sent = heads.selectExpr("id AS campaign_id", "id % 9 AS customer_id", "'converted' AS status")
+    found = {r.campaign_id: r.total_revenue_attributed
+             for r in ops.attributed_revenue(heads, sent, orders).collect()}
+    for c in (0, 1, 7, 8, 500, 2999):
+        assert found[c] == sum(o % 7 == c % 9 and o * 40 >= c * 20 for o in range(2000))
+    assert len(found) == 3000
+
+
+def test_unreadable_rules_are_rejected_not_sent(spark):
+    heads = spark.createDataFrame([(1, 1, "draft", "sms", "Hi"), (2, 2, "draft", "sms", "Hi")],
+                                  "id bigint, segment_id bigint, status string, channel string, "
+                                  "message_template string")
+    rules = spark.createDataFrame([(1, '{"min_spent":1e9'), (2, "{}")],
+                                  "id bigint, filter_logic string")
+    people = spark.createDataFrame(
+        [(5, "N", "e@x.org", None, True, "Pune", "F", 30, 1.0, 1, None, None)],
+        "id bigint, name string, email string, phone string, is_active boolean, city string, "
+        "gender string, age int, total_spent double, total_orders bigint, "
+        "last_order_date timestamp_ntz, tags array<string>")
+    plan = ops.dispatch_plan(heads, rules, people, "2001-01-01 00:00:00")
+    assert [r.campaign_id for r in plan.collect()] == [2]
+    rejects = ops.dispatch_rejects(heads, rules, plan).collect()
+    assert [(r.campaign_id, r.reason) for r in rejects] == [(1, "rule unreadable")]
 
 
 def test_message_rows_show_first_times(spark):

@@ -174,3 +174,11 @@ def test_line_totals(spark):
     rows = {r.id: r for r in ops.nest_order_items(orders, lines).collect()}
     assert [i["name"] for i in rows[1]["items"]] == ["a", "b"]
     assert rows[1].amount_matches and not rows[2].amount_matches
+
+
+def test_facets_keep_cities_of_customers_without_tags(spark):
+    rows = spark.createDataFrame([(True, "Pune", None), (True, "Delhi", ["vip"])],
+                                 "is_active boolean, city string, tags array<string>")
+    from reachline.operators.customers import filter_facets
+    assert sorted(map(tuple, filter_facets(rows).collect())) == [
+        ("city", "Delhi"), ("city", "Pune"), ("tag", "vip")]

@@ -7,7 +7,7 @@ import pytest
 from reachline.fixed import STATUS_RANK
 from reachline.operators.conversions import conversion_orders, rollup_with_conversions
 from reachline.operators.receipts import (event_log, first_receipts, fold_receipts,
-                                          upsert_communications)
+                                          message_states, upsert_communications)
 from reachline.sources.receipts import (parse_provider_receipts, parse_receipts,
                                         resolve_provider_receipts)
 from reachline.sources.schemas import COMMUNICATIONS
@@ -120,7 +120,7 @@ def test_conversion_orders(spark):
     assert [(r.customer_id, float(r.amount)) for r in made] == [("0", 100.0)]
     again = conversion_orders(receipts.unionByName(receipts), people).collect()
     assert made == again
-    assert made[0].order_number.startswith("ORD-") and len(made[0].order_number) == 12
+    assert made[0].order_number.startswith("ORD-") and len(made[0].order_number) == 20
     assert made[0]["items"][0].asDict() == {
         "name": "Campaign Product", "category": "Marketing", "quantity": 1,
         "price": Decimal("100.00")}
@@ -137,11 +137,24 @@ def test_rollup_with_conversions(spark):
         "customer_id string, amount decimal(18,2), created_at timestamp_ntz")
     rows = {r.id: r for r in rollup_with_conversions(people, orders, made).collect()}
     assert (rows["a"].total_orders, rows["a"].total_spent) == (2, Decimal("15.00"))
-    assert rows["a"].last_order_date == datetime(2000, 1, 1)
+    assert rows["a"].last_order_date == datetime(2001, 1, 1)  # never moves back
     assert (rows["b"].total_orders, rows["b"].total_spent) == (0, Decimal("0.00"))
     assert rows["b"].last_order_date is None
 
 
+def test_duplicates_do_not_move_the_time_of_change(spark):
+    day = lambda n: datetime(2000, 1, n)
+    rows = [(1, "c", "x", "delivered", day(1)), (2, "c", "x", "delivered", day(5)),
+            (3, "c", "y", "odd", day(2)), (4, "c", "y", "odd", day(6)),
+            (5, "c", "y", "opened", day(3)), (6, "c", "z", "opened", day(4)),
+            (7, "c", "z", "sent", day(2))]
+    receipts = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
+    folded = {r.customer_id: r.updated_at for r in fold_receipts(receipts).collect()}
+    assert folded == {"x": day(1), "y": day(3), "z": day(4)}
+    whole = message_states(receipts.drop("order_value"))
+    assert {r.customer_id: r.updated_at for r in whole.collect()} == folded
+
+
 def test_bodies_are_parsed(spark):
     bodies = spark.createDataFrame([
         (1, '{"campaign_id":"c","customer_id":"x","event_type":"converted",'

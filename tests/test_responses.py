@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reachline.operators.responses import (message_drafts, message_lengths,
-                                           normalise_channel, segment_replies, with_json)
+                                           normalise_channel, segment_replies,
+                                           segments_from_replies, with_json)
+from reachline.sources.tables import append_rows
 
 
 @pytest.mark.parametrize("text, found", [
@@ -24,6 +26,37 @@ def test_extraction(spark, text, found):
     assert (json.loads(row.j) if row.j is not None else None) == found
 
 
+@pytest.mark.parametrize("reply", [
+    '"hello"', "[1]", "7", '{"filters":[1]}', '{"filters":null}', '{"filters":"x"}',
+    '{"a":1,"a":2}', '{"filters":{"min_spent":NaN}}', "{note} {}"])
+def test_replies_that_are_no_objects_are_unusable(spark, reply):
+    rows = spark.createDataFrame([(1, reply, "sms")], "id int, reply string, channel string")
+    row = segment_replies(rows).first()
+    assert (row.parsed, row.segment_name, row.filter_logic) == (False, None, None)
+    draft = message_drafts(rows, "Acme").first()
+    assert draft.stock and "Acme" in draft.body
+
+
+def test_generated_segments_are_stored(spark, tmp_path):
+    replies = spark.createDataFrame(
+        [(1, "big", '{"segment_name":"B","filters":{"min_spent":50}}'), (2, "all", "so: {}"),
+         (3, "bad", '{"filters":{"min_spent":"much"}}'), (4, "none", "sorry")],
+        "id int, natural_language_query string, reply string").withColumn(
+            "created_at", F.lit("2001-01-01").cast("timestamp_ntz"))
+    people = spark.createDataFrame(
+        [(n, True, "Pune", "F", 30, float(n), 1, None, None) for n in range(100)],
+        "id bigint, is_active boolean, city string, gender string, age int, total_spent double, "
+        "total_orders bigint, last_order_date timestamp_ntz, tags array<string>")
+    path = str(tmp_path / "segments")
+    append_rows(segments_from_replies(replies, people, "2001-01-02 00:00:00"), path)
+    append_rows(segments_from_replies(replies.where("id = 1"), people.where("id > 90"),
+                                      "2001-01-02 00:00:00"), path)
+    rows = spark.read.parquet(path).collect()
+    assert sorted((r.name, r.natural_language_query, r.customer_count, r.created_by)
+                  for r in rows) == [("B", "big", 9, "ai"), ("B", "big", 50, "ai"),
+                                     ("Untitled Segment", "all", 100, "ai")]
+
+
 def test_segment_defaults(spark):
     rows = spark.createDataFrame([
         (1, '{"segment_name": "S", "description": "d", "filters": {"min_spent": 5}}'),

@@ -51,7 +51,7 @@ def holds(p, rule):
     if rule.get("gender"):
         tests.append(gender == rule["gender"])
     if isinstance(rule.get("tags"), list) and rule["tags"]:
-        tests.append(tags is not None and bool(set(tags) & set(rule["tags"])))
+        tests.append(tags is not None and bool((set(tags) & set(rule["tags"])) - {None}))
     return all(tests)
 
 
@@ -93,17 +93,23 @@ def some_rules(rng, n):
     return rules
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_all_rules_against_all_customers(spark, few):
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_all_rules_against_all_customers(spark, monkeypatch, broadcast):
     rng = random.Random(3)
     people, rules = crowd(rng, 150), some_rules(rng, 60)
+    people += [person(900, tags=["all", None, "city=Pune", "vip"]), person(901, tags=[None])]
+    rules += [{"tags": ["all"]}, {"tags": ["city=Pune"]}, {"tags": [None]}, {"cities": [None]}]
     customers = spark.createDataFrame(people, PEOPLE)
     documents = spark.createDataFrame(
         [(i, None if r is None else json.dumps(r)) for i, r in enumerate(rules)],
         "segment_id int, filter_logic string")
     parsed = parse_rules(documents).select("segment_id", "rule")
-    found = sorted((r.segment_id, r.customer_id)
-                   for r in match_rules(customers, parsed, NOW, few=few).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = sorted((r.segment_id, r.customer_id)
+                       for r in match_rules(customers, parsed, NOW).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     wanted = sorted((i, p[0]) for i, rule in enumerate(rules) for p in people
                     if holds(p, rule or {}))
     assert found == wanted
@@ -129,6 +135,45 @@ def test_large_rule_tables_join_on_keys_without_a_nested_loop(spark):
     assert plan.count() == 50
 
 
+@pytest.mark.parametrize("document", [
+    '{"min_spent":"1e9 rupees"}', '{"min_spent":1e9', '"hello"', "[1]", "7", "",
+    '{"min_orders":"12.9"}', '{"max_orders":"abc"}', '{"max_age":"NaN"}', '{"min_age":[1]}',
+    '{"days_since_last_order":200000000}', '{"days_since_last_order_max":-1e9}'])
+def test_unreadable_rules_match_nobody(spark, document):
+    customers = spark.createDataFrame([person(1)], PEOPLE)
+    rules = parse_rules(spark.createDataFrame([(1, document)],
+                                              "segment_id int, filter_logic string"))
+    assert not rules.first().rule.valid
+    assert match_rules(customers, rules, NOW).count() == 0
+    assert filter_segment(customers, document, NOW).count() == 0
+
+
+@pytest.mark.parametrize("document, hit", [
+    (None, True), ("{}", True), ("null", True), ('{"min_orders":1e12}', False),
+    ('{"max_orders":1e30}', True), ('{"min_orders":"2"}', True), ('{"min_orders":true}', True),
+    ('{"min_spent":" 99.5 "}', True), ('{"max_spent":"inf"}', True), ('{"other":"x"}', True)])
+def test_readable_rules_of_odd_form(spark, document, hit):
+    customers = spark.createDataFrame([person(1)], PEOPLE)
+    rules = parse_rules(spark.createDataFrame([(1, document)],
+                                              "segment_id int, filter_logic string"))
+    assert match_rules(customers, rules, NOW).count() == hit
+    assert filter_segment(customers, document, NOW).count() == hit
+
+
+@pytest.mark.parametrize("count", [6, 8, 9, 1000])
+def test_any_number_of_rules_gives_the_same_rows(spark, count):
+    rng = random.Random(8)
+    people = crowd(rng, 40)
+    rules = some_rules(rng, 40) * 25
+    documents = spark.createDataFrame(
+        [(i, None if r is None else json.dumps(r)) for i, r in enumerate(rules[:count])],
+        "segment_id int, filter_logic string")
+    found = match_rules(spark.createDataFrame(people, PEOPLE), parse_rules(documents).select(
+        "segment_id", "rule"), NOW).collect()
+    assert sorted((r.segment_id, r.customer_id) for r in found) == sorted(
+        (i, p[0]) for i, rule in enumerate(rules[:count]) for p in people if holds(p, rule or {}))
+
+
 def test_empty_rule_table_matches_nobody(spark):
     customers = spark.createDataFrame([person(1)], PEOPLE)
     rules = parse_rules(spark.createDataFrame([], "segment_id int, filter_logic string"))
@@ -160,13 +205,16 @@ def test_sizes_samples_and_context(spark):
     sizes = {r.segment_id: r.customer_count for r in segment_sizes(saved, members).collect()}
     assert sizes == {1: 8, 2: 0, 3: 8}
     samples = segment_samples(customers, saved, NOW)
-    assert sorted((r.segment_id, r.customer_id, r.position) for r in samples.collect()) == \
-        [(s, i, i) for s in (1, 3) for i in range(1, 6)]
+    assert sorted(((r.segment_id, r.customer_id, r.position) for r in samples.collect()),
+                  key=repr) == \
+        sorted([(s, i, i) for s in (1, 3) for i in range(1, 6)] + [(2, None, None)],
+               key=repr)
     context = {r.segment_id: r for r in prompt_context(samples).collect()}
     assert context[1].message_context.split("\n") == [
         "  - N1 from None, tags: ['vip']", "  - N2 from Pune, tags: ['vip']",
         "  - N3 from Pune, tags: ['vip']"]
     assert len(context[1].channel_context.split("\n")) == 5
+    assert context[2].message_context == context[2].channel_context == ""
     assert context[1].channel_context.startswith("  - N1, age ?, None, tags: ['vip']")
 
 

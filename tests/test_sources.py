@@ -40,6 +40,17 @@ def test_readers_take_the_newest_version(spark, tmp_path):
     assert sorted(r.id for r in tables.read_latest(spark, root).collect()) == [1, 2]
 
 
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    root = tmp_path / "customers"
+    tables.write_version(spark.range(3), str(root), 9)
+    tables.write_version(spark.range(5), str(root), 10)
+    (root / "version=10" / "_SUCCESS").unlink()
+    assert tables.read_latest(spark, str(root)).count() == 3
+    with pytest.raises(ValueError):
+        (root / "version=9" / "_SUCCESS").unlink()
+        tables.read_latest(spark, str(root))
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_work_path(spark, "x") != new_work_path(spark, "x")

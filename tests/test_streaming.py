@@ -175,3 +175,19 @@ def test_whole_messages_equal_batch_and_survive_a_rerun(spark, tmp_path):
     streams.follow_communications(receipts, str(root)).awaitTermination()
     found = streams.communications(spark, str(root)).select(*kept, text)
     assert rows(found) == wanted
+
+
+def test_ids_keep_their_text(spark, tmp_path):
+    """Ids that look like numbers stay apart, whatever the first batch holds."""
+    inbox, root = tmp_path / "inbox", tmp_path / "out"
+    names = ["12", "007", "7", "c1"]
+    for n, name in enumerate(names):
+        write_file(inbox, f"{n}.json", [{"seq": n, "body": json.dumps({
+            "campaign_id": name, "customer_id": "p", "event_type": "sent",
+            "timestamp": START.isoformat(), "metadata": {}})}])
+    campaigns = spark.createDataFrame([(n, "sending", 1) for n in names], CAMPAIGN)
+    follow(spark, inbox, root, campaigns)
+    live = streams.live_campaigns(spark, str(root)).collect()
+    assert sorted((r.campaign_id, r.messages) for r in live) == sorted((n, 1) for n in names)
+    assert sorted(r.campaign_id for r in streams.message_statuses(spark, str(root)).collect()) \
+        == sorted(names)
