@@ -53,8 +53,14 @@ def customer_profiles(customers: DataFrame, orders: DataFrame, as_of: AsOf,
 def search_customers(customers: DataFrame, city: str | None = None, gender: str | None = None,
                      tag: str | None = None, min_spent: float | None = None,
                      max_spent: float | None = None, search: str | None = None,
-                     limit: int = 500, offset: int = 0) -> DataFrame:
-    """Active customers by spend, best first. The search term is plain text, any case."""
+                     limit: int = 500, offset: int = 0,
+                     after: tuple[object, object] | None = None) -> DataFrame:
+    """Active customers by spend, best first. The search term is plain text, any case.
+
+    ``offset`` + ``limit`` rows pass through one task, so for pages far down give ``after``, the
+    spend and id of the last row shown; the rows before it are then filtered out where they
+    are read.
+    """
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must lie in 1..1000 and offset must not be negative")
     found = customers.where("is_active")
@@ -72,6 +78,10 @@ def search_customers(customers: DataFrame, city: str | None = None, gender: str
         term = F.lower(F.lit(search))
         found = found.where(F.contains(F.lower("name"), term)
                             | F.contains(F.lower("email"), term))
+    if after:
+        spent, key = (F.lit(value) for value in after)
+        found = found.where((F.col("total_spent") < spent)
+                            | ((F.col("total_spent") == spent) & (F.col("id") > key)))
     return found.orderBy(F.desc("total_spent"), "id").offset(offset).limit(limit)
 
 

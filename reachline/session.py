@@ -51,6 +51,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WORK_PATHS: list[str] = []
+
+
 def new_work_path(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder, for one run's tables."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WORK_PATHS.append(path)
+    return path
+
+
+def remove_work_paths(spark: SparkSession) -> None:
+    """Deletes the folders that ``new_work_path`` gave out in this process.
+
+    Results are read lazily, so call it once they are written or no longer wanted.
+    """
+    context = spark.sparkContext
+    while _WORK_PATHS:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WORK_PATHS.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

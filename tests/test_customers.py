@@ -74,6 +74,8 @@ def test_search(spark):
     assert ids(city="Delhi", gender="F") == [5]
     assert ids(min_spent=60, max_spent=70) == [2, 5, 3]
     assert ids(limit=2, offset=1) == [5, 3]
+    second = ops.search_customers(people, limit=2).collect()[-1]
+    assert ids(limit=2, after=(second.total_spent, second.id)) == [3, 1]
     assert ids(min_spent=0) == [2, 5, 3, 1]
     with pytest.raises(ValueError):
         ids(limit=1001)
