@@ -43,6 +43,19 @@ def before(totals: DataFrame, by: list[str], value: str) -> DataFrame:
                          .alias("__before"))
 
 
+def whole_ids(frame: DataFrame) -> DataFrame:
+    """doc_id as 0 with ``no_id`` true where it is null: pandas would turn a column of whole
+    numbers with nulls into floats, which cannot tell large ids apart."""
+    return frame.withColumns({
+        "doc_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")),
+        "no_id": F.col("doc_id").isNull()})
+
+
+def with_null_ids(frame: DataFrame) -> DataFrame:
+    """The other way round."""
+    return frame.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     marks = F.regexp_replace(text, WORD, "x")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachline.llm.common import components, stored
+from reachline.llm.common import components, stored, whole_ids, with_null_ids
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 """Registers of a signature, each six bits of leading zeros and ten of mantissa; registers of a
@@ -107,7 +107,8 @@ def _signatures(size: int):
                 else:
                     nodes.append(None)
                     bands.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": counts,
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"],
+                                "n_shingles": counts,
                                 "node": pd.array(nodes, "Int64"), "bands": bands})
     return sign
 
@@ -201,9 +202,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     """
     least, of = similarity
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = stored(rows.mapInPandas(
-        _signatures(size), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>"),
-        "registers")
+    signed = stored(with_null_ids(whole_ids(rows).mapInPandas(
+        _signatures(size), "doc_id bigint, no_id boolean, n_shingles bigint, node bigint, "
+        "bands array<bigint>")), "registers")
     nodes = (signed.where("node is not null and doc_id is not null").groupBy("node")
              .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
                   F.first("bands").alias("bands")))

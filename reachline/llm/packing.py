@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachline.llm.common import word_count
+from reachline.llm.common import whole_ids, with_null_ids, word_count
 
 CAPACITY = 2048
 PER_SOURCE = 3
@@ -108,7 +108,7 @@ def _pack(capacity: int, per_source: int):
         if not parts:
             return
         shard = pd.concat(parts, ignore_index=True).sort_values(
-            ["doc_id", "cluster", "first_word", "n_words", "source"], ignore_index=True)
+            ["doc_id", "no_id", "cluster", "first_word", "n_words", "source"], ignore_index=True)
         placed = pack_shard(list(zip(
             shard["n_words"].tolist(), shard["source"].where(shard["source"].notna(), None),
             shard["cluster"].tolist())), capacity, per_source)
@@ -118,7 +118,7 @@ def _pack(capacity: int, per_source: int):
         shard["bin_id"] = [f"{name}-{b}" for b, _ in placed]
         shard["bin_offset"] = [o for _, o in placed]
         shard["bin_words"] = shard.groupby("bin_id")["n_words"].transform("sum")
-        yield shard[[c.split()[0] for c in PLACED.split(", ")]]
+        yield shard[[*(c.split()[0] for c in PLACED.split(", ")), "no_id"]]
     return pack
 
 
@@ -150,7 +150,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
         F.least(size - F.col("first_word"), F.lit(capacity)).alias("n_words"),
         F.xxhash64("document", "first_word").alias("cluster"))
     shards = max(1, -(-rows.count() // pieces_per_shard))
-    return pieces.repartition(shards).mapInPandas(_pack(capacity, per_source), PLACED)
+    return with_null_ids(whole_ids(pieces).repartition(shards).mapInPandas(
+        _pack(capacity, per_source), f"{PLACED}, no_id boolean"))
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:

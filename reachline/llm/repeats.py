@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachline.llm.common import stored
+from reachline.llm.common import stored, whole_ids, with_null_ids
 
 LENGTH = 50
 REACH = 32  # windows that may share an anchor, a power of two
@@ -327,7 +327,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, text, packed in zip(batch["doc_id"], batch["text"], batch["__windows"]):
+            for key, none, text, packed in zip(batch["doc_id"], batch["no_id"], batch["text"],
+                                               batch["__windows"]):
                 data = (text or "").encode("utf-8")
                 spans = _spans(packed, _tag(data), length)
                 sha, at = hashlib.sha256(), 0
@@ -336,12 +337,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = end
                 sha.update(data[at:])
                 out.append((key, len(data), sum(e - b for b, e in spans), len(spans),
-                            sha.hexdigest(), [list(s) for s in spans]))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+                            sha.hexdigest(), [list(s) for s in spans], none))
+            yield pd.DataFrame(out, columns=[*(c.split()[0] for c in RESULT.split(", ")), "no_id"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _marked(rows, length).mapInPandas(finish, RESULT)
+    return with_null_ids(whole_ids(_marked(rows, length)).mapInPandas(
+        finish, f"{RESULT}, no_id boolean"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -27,6 +27,7 @@ def edge_documents() -> list[tuple]:
         (18, "é" * 30 + passage[:200] + "é", "b"),
         (19, " ".join(words(4, 40)), "a"), (19, " ".join(words(5, 40)), "a"),
         (20, " ".join(words(6, 40)), "a"), (20, " ".join(words(6, 40)), "a"),
+        (2**60 + 1, " ".join(words(7, 60)), "a"), (2**60 + 2, " ".join(words(7, 60)), "a"),
     ]
     return [(i, t, "en", s, len(t or ""), "x", "y", "z", "w", 1) for i, t, s in texts]
 

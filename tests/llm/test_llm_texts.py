@@ -274,6 +274,6 @@ def test_quality_without_labels_or_documents(spark):
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)],
                                    "doc_id bigint, quality int")
     model = quality.fit_quality(docs, labels)
-    assert quality.score_documents(docs, model).where("score between 0 and 1").count() == 24
+    assert quality.score_documents(docs, model).where("score between 0 and 1").count() == 26
     model = quality.fit_quality(empty_frame(spark), labels)
     assert quality.score_documents(empty_frame(spark), model).count() == 0
