@@ -97,8 +97,11 @@ def stage_counts(communications: DataFrame) -> DataFrame:
 
 def _with_counts(campaigns: DataFrame, communications: DataFrame) -> DataFrame:
     """Campaigns (as ``campaign_id``) with stage counts, 0 where there are none."""
-    counted = (campaigns.withColumnRenamed("id", "campaign_id")
-               .join(stage_counts(communications), "campaign_id", "left"))
+    return _joined_counts(campaigns, stage_counts(communications))
+
+
+def _joined_counts(campaigns: DataFrame, counts: DataFrame) -> DataFrame:
+    counted = campaigns.withColumnRenamed("id", "campaign_id").join(counts, "campaign_id", "left")
     return counted.fillna(0, ["messages", *REACHED])
 
 
@@ -218,10 +221,15 @@ def campaign_completion(campaigns: DataFrame, communications: DataFrame,
     An open campaign is complete once no message is queued and there are exactly as many
     messages as were sent, and at least one.
     """
+    return completion_of(campaigns, stage_counts(communications), as_of)
+
+
+def completion_of(campaigns: DataFrame, counts: DataFrame, as_of: AsOf) -> DataFrame:
+    """The same from the campaigns' counters (``stage_counts``)."""
     c = F.col
     done = (c("status").isin(OPEN_CAMPAIGN_STATUSES) & (c("queued") == 0)
             & (c("messages") == c("total_sent")) & (c("total_sent") > 0))
-    return (_with_counts(campaigns, communications)
+    return (_joined_counts(campaigns, counts)
             .select("campaign_id", c("status").alias("status_before"), "total_sent",
                     "messages", "queued",
                     F.when(done, "completed").otherwise(c("status")).alias("status"),

@@ -52,16 +52,22 @@ def write_version(table: DataFrame, root: str, version: int) -> None:
     table.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
+def complete_folders(spark: SparkSession, root: str, name: str) -> list[int]:
+    """The numbers n of the folders ``name=n`` below ``root`` that have a success marker."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [status.getPath() for status in files.listStatus(folder)]
+    return sorted(int(p.getName().partition("=")[2]) for p in found
+                  if p.getName().startswith(f"{name}=") and files.exists(path(p, "_SUCCESS")))
+
+
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The newest complete version below ``root``: chosen by folder name among those with a
     success marker, so neither older versions nor one being written are read."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(p.getName().partition("=")[2]) for p in
-                (status.getPath() for status in files.listStatus(folder))
-                if p.getName().startswith("version=")
-                and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    versions = complete_folders(spark, root, "version")
     if not versions:
         raise ValueError(f"no complete version below {root}")
     return spark.read.parquet(f"{root}/version={max(versions)}")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from reachline.sources.tables import complete_folders
+
 BEFORE_STREAM = -1
 
 
@@ -42,6 +44,37 @@ def current(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     return newest(read_changes(spark, root), keys)
 
 
+def state_before(spark: SparkSession, root: str, batch_id: int,
+                 like: DataFrame) -> DataFrame:
+    """The changes that make up the state before a batch, with ``batch``: the newest merged
+    state and the batches after it, so what is read does not grow with the batches passed.
+    ``like`` gives the columns."""
+    merged = [n for n in complete_folders(spark, f"{root}-merged", "batch") if n < batch_id]
+    since = merged[-1] if merged else BEFORE_STREAM - 1
+    paths = [f"{root}/batch={n}" for n in complete_folders(spark, root, "batch")
+             if since < n < batch_id]
+    schema = like.schema.add("batch", "long")
+    state = like.where("false").withColumn("batch", F.lit(0).cast("long"))
+    if paths:
+        state = state.unionByName(spark.read.schema(schema).option("basePath", root)
+                                  .parquet(*paths))
+    if merged:
+        state = state.unionByName(
+            spark.read.schema(schema).option("basePath", f"{root}-merged")
+            .parquet(f"{root}-merged/batch={since}"))
+    return state
+
+
+def merge(spark: SparkSession, root: str, batch_id: int, keys: list[str], like: DataFrame,
+          partition_by: list[str] | None = None) -> None:
+    """Stores the state after a batch, for ``state_before``. A merge that is cut short leaves
+    no success marker and is not used."""
+    rows = newest(state_before(spark, root, batch_id + 1, like), keys)
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    write_batch(rows, f"{root}-merged", batch_id, partition_by)
+
+
 def compact(spark: SparkSession, root: str, into: str, keys: list[str],
             partition_by: list[str] | None = None) -> None:
     """Writes the newest rows of ``root`` as the first batch of another root.

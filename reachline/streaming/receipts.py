@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from reachline.fixed import REACHED
+from reachline.functions import count_in
 from reachline.functions.dates import AsOf
-from reachline.operators.campaigns import campaign_completion
+from reachline.operators.campaigns import completion_of, stage_counts
 from reachline.operators.conversions import conversion_orders
 from reachline.operators.receipts import (KEYS, changed_communications, fold_receipts,
                                           stage_event_counts)
@@ -47,32 +49,58 @@ def _buckets_of(rows: DataFrame, keys: list[str]) -> list[int]:
 
 
 def seed_messages(queued: DataFrame, root: str) -> None:
-    """Stores the rows of a dispatch as the state before any receipt."""
+    """Stores the rows of a dispatch as the state before any receipt, and their counts."""
     _store_messages(queued, root, changes.BEFORE_STREAM)
+    changes.write_batch(stage_counts(queued), f"{root}/counts", changes.BEFORE_STREAM)
+
+
+def _moves(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """What changed messages add to the counters of their campaigns; may be negative."""
+    moved = rows.join(before.select(*KEYS, F.col("status").alias("was")), KEYS, "left")
+    now, was = F.col("status"), F.col("was")
+    return moved.groupBy("campaign_id").agg(
+        F.count_if(was.isNull()).alias("messages"),
+        *[(count_in(now, reached) - count_in(was, reached)).alias(stage)
+          for stage, reached in REACHED.items()])
 
 
 def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of: AsOf,
-                    every: str | None = None) -> StreamingQuery:
+                    every: str | None = None, merge_every: int = 50) -> StreamingQuery:
     """Keeps message statuses and the counts and completion of the campaigns they touch.
 
-    Per micro-batch the changed messages are stored in buckets of campaigns; then only the
-    campaigns among them are counted again, from their own buckets.
+    Per micro-batch the changed messages are compared with their state before it, which lies
+    in the buckets of their campaigns; the differences are added to the campaigns' stored
+    counters, so nothing is counted anew. Every ``merge_every`` batches the state is merged,
+    and later batches read from there on. A batch that runs again finds the state before it.
     """
     spark = receipts.sparkSession
+    messages, counts = f"{root}/messages", f"{root}/counts"
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
+        rows = rows.select(*STATUS_COLUMNS, _bucket("campaign_id").alias("bucket")).persist()
+        like = rows.limit(0)
+        buckets = [r[0] for r in rows.select("bucket").distinct().collect()]
+        stored = changes.state_before(spark, messages, batch_id, like).where(
+            F.col("bucket").isin(buckets))
+        before = changes.newest(stored.join(rows.select(*KEYS), KEYS, "left_semi"), KEYS)
+        moves = _moves(rows, before).persist()
+        touched = moves.select("campaign_id")
+        counted = changes.newest(
+            changes.state_before(spark, counts, batch_id, moves.limit(0))
+            .join(touched, "campaign_id", "left_semi"), ["campaign_id"])
+        now = counted.unionByName(moves).groupBy("campaign_id").agg(
+            *[F.sum(c).alias(c) for c in ("messages", *REACHED)])
+        changes.write_batch(now, counts, batch_id)
         _store_messages(rows, root, batch_id)
-        touched = rows.select("campaign_id").distinct()
-        stored = (changes.read_changes(spark, f"{root}/messages")
-                  .where(F.col("bucket").isin(_buckets_of(rows, ["campaign_id"])))
-                  .where(F.col("batch") <= batch_id).drop("bucket"))
-        now = changes.newest(stored.join(touched, "campaign_id", "left_semi"), KEYS)
+        now = spark.read.schema(now.schema).parquet(f"{counts}/batch={batch_id}")
         heads = campaigns.join(touched.withColumnRenamed("campaign_id", "id"), "id",
                                "left_semi")
-        changes.write_batch(campaign_completion(heads, now, as_of), f"{root}/campaigns",
-                            batch_id)
+        changes.write_batch(completion_of(heads, now, as_of), f"{root}/campaigns", batch_id)
+        if batch_id % merge_every == merge_every - 1:
+            changes.merge(spark, messages, batch_id, KEYS, like, ["bucket"])
+            changes.merge(spark, counts, batch_id, ["campaign_id"], moves.limit(0))
         rows.unpersist()
+        moves.unpersist()
 
     return changes.start(fold_receipts(receipts), on_batch, f"{root}/_progress", every=every)
 
@@ -91,26 +119,28 @@ def seed_communications(queued: DataFrame, root: str) -> None:
     _store(queued, MESSAGE_COLUMNS, KEYS, f"{root}/communications", changes.BEFORE_STREAM)
 
 
-def follow_communications(receipts: DataFrame, root: str,
-                          every: str | None = None) -> StreamingQuery:
+def follow_communications(receipts: DataFrame, root: str, every: str | None = None,
+                          merge_every: int = 50) -> StreamingQuery:
     """Keeps whole message rows, event log included, after ``seed_communications``.
 
     The table itself is the state: each micro-batch folds its receipts onto the rows they
     name, as earlier batches left them in the buckets of their keys, and stores the changed
-    rows.
+    rows. Every ``merge_every`` batches the table is merged, and later batches read from there.
     """
     spark = receipts.sparkSession
     path = f"{root}/communications"
+    like = spark.read.parquet(f"{path}/batch={changes.BEFORE_STREAM}").limit(0)
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
-        earlier = (changes.read_changes(spark, path)
-                   .where(F.col("bucket").isin(_buckets_of(rows, KEYS)))
-                   .where(F.col("batch") < batch_id).drop("bucket"))
+        earlier = (changes.state_before(spark, path, batch_id, like)
+                   .where(F.col("bucket").isin(_buckets_of(rows, KEYS))).drop("bucket"))
         named = rows.select(*KEYS).distinct()
         before = changes.newest(earlier.join(named, KEYS, "left_semi"), KEYS)
         changed = changed_communications(before, rows)
         _store(changed, MESSAGE_COLUMNS, KEYS, path, batch_id)
+        if batch_id % merge_every == merge_every - 1:
+            changes.merge(spark, path, batch_id, KEYS, like, ["bucket"])
         rows.unpersist()
 
     return changes.start(receipts, on_batch, f"{root}/_progress", mode="append", every=every)

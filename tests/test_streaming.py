@@ -191,3 +191,26 @@ def test_ids_keep_their_text(spark, tmp_path):
     assert sorted((r.campaign_id, r.messages) for r in live) == sorted((n, 1) for n in names)
     assert sorted(r.campaign_id for r in streams.message_statuses(spark, str(root)).collect()) \
         == sorted(names)
+
+
+def test_merged_state_gives_the_same_counts_and_bounds_what_is_read(spark, tmp_path):
+    rng = random.Random(6)
+    sent = bodies(rng, 160)
+    inbox, root = tmp_path / "inbox", tmp_path / "out"
+    for n in range(8):
+        write_file(inbox, f"{n}.json", sent[n * 20:(n + 1) * 20])
+    campaigns = spark.createDataFrame(
+        [("c0", "sending", 41), ("c1", "sending", 41), ("c2", "running", 1)], CAMPAIGN)
+    receipts = parse_receipts(stream_bodies(spark, str(inbox), max_files=1))
+    streams.follow_messages(receipts, str(root), campaigns, START,
+                            merge_every=3).awaitTermination()
+    folded = fold_receipts(read_all(spark, inbox))
+    live = streams.live_campaigns(spark, str(root))
+    assert rows(live.select("campaign_id", "messages", "queued", "status")) == rows(
+        campaign_completion(campaigns, folded, START)
+        .select("campaign_id", "messages", "queued", "status"))
+    like = spark.read.parquet(str(root / "messages" / "batch=0")).limit(0)
+    for batch, most in ((3, 1), (6, 1), (8, 3)):
+        state = changes.state_before(spark, str(root / "messages"), batch, like)
+        folders = {f.rsplit("batch=", 1)[1].split("/")[0] for f in state.inputFiles()}
+        assert len(folders) <= most
