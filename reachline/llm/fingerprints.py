@@ -114,13 +114,13 @@ def neighbours(docs: DataFrame, per_block: int = 4096) -> DataFrame:
         return placed.where("false").withColumn("__guest", F.lit(False))
     firsts = docs.sparkSession.createDataFrame(
         list(guest_of.items()), "__first bigint, __to int")
-    # Of rows that repeat a block's first id the least text leads the block.
-    guests = (placed.join(firsts, F.col("doc_id") == F.col("__first"))
-              .groupBy("doc_id", "__to").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-              .select("doc_id", "text", F.col("__to").alias("__block"),
-                      F.lit(True).alias("__guest")))
-    return (placed.withColumn("__guest", F.lit(False))
-            .unionByName(guests)
+    # At most 20,000 rows of two numbers are broadcast; texts are moved once.
+    known = placed.join(F.broadcast(firsts), F.col("doc_id") == F.col("__first"), "left")
+    own = F.struct(F.col("__block").alias("block"), F.lit(False).alias("guest"))
+    other = F.struct(F.col("__to").alias("block"), F.lit(True).alias("guest"))
+    places = F.when(F.col("__to").isNotNull(), F.array(own, other)).otherwise(F.array(own))
+    # Of rows that repeat a block's first id the least text leads the block, as a guest too.
+    return (known.select("doc_id", "text", F.inline(places).alias("__block", "__guest"))
             .repartitionById(len(bounds) + 1, F.col("__block"))
             .sortWithinPartitions("__block", "__guest", F.desc("doc_id"),
                                   F.coalesce("text", F.lit(""))))
