@@ -13,6 +13,9 @@ BANDS = 64
 """One-row bands. A window that holds a template has a similarity to it of 0.19 or more, so it
 shares a band with probability above 1 - 0.81 ** 64, which is above 0.99999."""
 
+MOST_BROADCAST = 20_000
+"""Shingles of all templates up to which their bands, 512 bytes a shingle, go to every task."""
+
 # Sentences of well-known license notices.
 TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -84,8 +87,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame,
     the window. A row gives the best containment in the text, the first word of the first such
     window and their number.
 
-    Nothing is joined by document: templates meet windows on (reach, band, value). The template
-    table is small beside the texts and Spark broadcasts it only within its size limit. Null,
+    Nothing is joined by document: templates meet windows on (reach, band, value). Their bands
+    are broadcast up to ``MOST_BROADCAST`` shingles, 10 MB; beyond that windows are shuffled to
+    them. Null,
     empty and short texts hold nothing. Rows that repeat doc_id and text count once. Other
     columns are not read.
     """
@@ -115,6 +119,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame,
                          F.posexplode(minhash(F.col("held"))).alias("band", "value"))
     keys = templates.select("license", "reach", F.col("shingles").alias("template"),
                             F.posexplode(minhash(F.col("shingles"))).alias("band", "value"))
+    if len(known) <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
     share = (F.size(F.array_intersect("held", "template")) / F.size("template"))
     return (banded.join(keys, ["reach", "band", "value"])
             .select("doc_id", "text", "license", "start", share.alias("share"))
