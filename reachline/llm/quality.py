@@ -22,28 +22,47 @@ MOST_LABELLED = 20_000
 
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.003, 1e-4
 THRESHOLD = 0.3
+PIECE = 50_000  # words that are worked on at once
 KEPT_WORDS = 300_000  # distinct words a task remembers the terms of
 
-_SHAPES = [(re.compile(p), r) for p, r in (
-    ("[^\\W\\d_a-zß-öø-ÿ]", "A"), ("[^\\W\\d_A]", "a"), ("\\d", "0"), ("(.)\\1+", "\\1\\1"))]
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
-def shape(word: str) -> str:
+class _Marks(dict):
+    """Character to A, a or 0 for letters and digits, else to itself."""
+
+    def __missing__(self, code: int) -> str:
+        character = chr(code)
+        if character.isalpha():
+            self[code] = "a" if character == character.lower() else "A"
+        else:
+            self[code] = "0" if character.isdigit() else character
+        return self[code]
+
+
+def shape(word: str, marks: dict) -> str:
     """Letters as A or a, digits as 0, runs shortened to two."""
-    for pattern, mark in _SHAPES:
-        word = pattern.sub(mark, word)
-    return word
+    return _RUN.sub(r"\1\1", word.translate(marks))
 
 
 class _Terms(dict):
     """Word to its two terms, the hashed lower-case form and the hashed shape, in one number."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.marks, self.shapes = _Marks(), {}
+
     def __missing__(self, word: str) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
         form = xxhash.xxh3_64_intdigest(word.lower()) % TERMS
-        marks = xxhash.xxh3_64_intdigest("\0" + shape(word)) % TERMS
-        self[word] = form * TERMS + marks
+        form_of = shape(word, self.marks)
+        marks = self.shapes.get(form_of)
+        if marks is None:
+            if len(self.shapes) > KEPT_WORDS:
+                self.shapes.clear()
+            marks = self.shapes[form_of] = xxhash.xxh3_64_intdigest("\0" + form_of) % TERMS
+        self[word] = form << 16 | marks
         return self[word]
 
 
@@ -56,9 +75,13 @@ def index_vectors() -> np.ndarray:
     return vectors
 
 
-def _ids(words: list[str], terms: _Terms) -> tuple[np.ndarray, np.ndarray]:
-    both = np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
-    return (both // TERMS).astype(np.uint16), (both % TERMS).astype(np.uint16)
+def _codes(words: list[str], terms: _Terms) -> np.ndarray:
+    return np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
+
+
+def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forms and shapes."""
+    return (codes >> 16).astype(np.uint16), (codes & 0xFFFF).astype(np.uint16)
 
 
 def _add_by_term(sums: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -69,25 +92,41 @@ def _add_by_term(sums: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's sums of the neighbours' index vectors, per term, in parts of 512 terms."""
-    index, terms = index_vectors(), _Terms()
-    sums = np.zeros((TERMS, WIDTH))
+    """One task's sums of the neighbours' index vectors, per term, in parts of 512 terms.
+
+    The words of all texts form one stream with a term without vector between texts. It is
+    added up in pieces of about ``PIECE`` words that share their last and first word, so
+    every pair of neighbours is in one piece.
+    """
+    index, terms = np.vstack([index_vectors(), np.zeros((1, WIDTH), np.float32)]), _Terms()
+    sums = np.zeros((TERMS + 1, WIDTH))
+    gap = np.array([TERMS << 16 | TERMS])
+    held, waiting = [gap], 0
+
+    def add() -> np.ndarray:
+        codes = np.concatenate(held)
+        forms, shapes = _split(codes)
+        both = index[forms] + index[shapes]
+        near = np.zeros_like(both)
+        near[1:] += both[:-1]
+        near[:-1] += both[1:]
+        _add_by_term(sums, forms, near)
+        _add_by_term(sums, shapes, near)
+        return codes[-1:]
+
     for batch in batches:
         for text in batch["text"].dropna():
             words = text.split()
-            for at in range(0, len(words), 50_000):  # bounds the arrays of a very long text
-                forms, shapes = _ids(words[max(0, at - 1):at + 50_001], terms)
-                if len(forms) < 2:
-                    continue
-                both = index[forms] + index[shapes]
-                near = np.zeros_like(both)
-                near[1:] += both[:-1]
-                near[:-1] += both[1:]
-                _add_by_term(sums, forms, near)
-                _add_by_term(sums, shapes, near)
+            for at in range(0, len(words), PIECE):
+                held.append(_codes(words[at:at + PIECE], terms))
+                waiting += len(held[-1])
+                if waiting >= PIECE:
+                    held, waiting = [add()], 0
+            held.append(gap)
+    add()
     yield pd.DataFrame({"part": range(TERMS // 512),
                         "sums": [p.astype(np.float32).tobytes()
-                                 for p in np.split(sums, TERMS // 512)]})
+                                 for p in np.split(sums[:TERMS], TERMS // 512)]})
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,17 +161,16 @@ def pooled(text: str | None, contexts: np.ndarray, index: np.ndarray,
     out = np.zeros(FEATURES, np.float32)
     if not words:
         return out
-    forms, shapes = _ids(words, terms)
-    counts = np.bincount(shapes, minlength=TERMS).astype(np.float32)
-    used = np.flatnonzero(counts)
-    share = counts[used] / len(words)
-    out[WIDTH:2 * WIDTH] = share @ contexts[used]
-    out[2 * WIDTH:3 * WIDTH] = share @ index[used]
-    counts = np.bincount(forms, minlength=TERMS).astype(np.float32)
-    used = np.flatnonzero(counts)
-    out[:WIDTH] = counts[used] / len(words) @ contexts[used]
+    repeated = 0
+    for at in range(0, len(words), PIECE):
+        forms, shapes = _split(_codes(words[at:at + PIECE], terms))
+        out[:WIDTH] += contexts[forms].sum(0)
+        out[WIDTH:2 * WIDTH] += contexts[shapes].sum(0)
+        out[2 * WIDTH:3 * WIDTH] += index[shapes].sum(0)
+        repeated += int((forms[1:] == forms[:-1]).sum())
+    out[:3 * WIDTH] /= len(words)
     lines = text.split("\n")
-    out[-4:] = (np.log(len(words)) / 10, np.mean(forms[1:] == forms[:-1]) if words[1:] else 0,
+    out[-4:] = (np.log(len(words)) / 10, repeated / len(words),
                 len(set(words)) / len(words), len(set(lines)) / len(lines))
     return out
 
