@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE = 5
+"""Words of a shingle; a template of fewer words is one shingle of all of them."""
+
 LEAST_CONTAINED = 0.8
 BANDS = 64
 """One-row bands. A window that holds a template has a similarity to it of 0.19 or more, so it
@@ -37,6 +41,9 @@ TEMPLATES = [
      "International License."),
 ]
 
+# Notices of fewer words than ``SIZE``.
+SHORT_TEMPLATES = [("All-rights-reserved", "All rights reserved.")]
+
 
 def scan_words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, as an array; null gives an empty one."""
@@ -44,20 +51,23 @@ def scan_words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def shingles(words: Column, size: int = SIZE) -> Column:
-    """Hashes of all runs of ``size`` words, in order; none for shorter texts.
+def shingles(words: Column, sizes: list[int]) -> Column:
+    """For each of ``sizes`` the hashes of all runs of so many words, in order; none for shorter
+    texts.
 
     The array of word hashes is bound to a lambda variable, so it is computed once per text and
     not again for every position.
     """
-    def runs(hashes: Column) -> Column:
+    def runs(hashes: Column, size: int) -> Column:
         starts = F.sequence(F.lit(0), F.size(hashes) - size)
         return F.when(F.size(hashes) >= size, F.transform(
             starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
         ).otherwise(F.array().cast("array<bigint>"))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.get(F.transform(F.array(hashed), runs), F.lit(0))
+    return F.get(F.transform(F.array(hashed), lambda h: F.array(*[
+        F.struct(F.lit(size).alias("size"), runs(h, size).alias("all")) for size in sizes])),
+        F.lit(0))
 
 
 def minhash(hashes: Column, bands: int = BANDS) -> Column:
@@ -66,63 +76,82 @@ def minhash(hashes: Column, bands: int = BANDS) -> Column:
         F.transform(hashes, lambda h: F.xxhash64(h, band))))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(license, shingles, reach): reach, a power of two, is above half the shingles."""
+def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None = None
+                   ) -> DataFrame:
+    """(license, size, shingles, reach): size, the words of a shingle, is ``SIZE`` or the words of
+    a shorter notice; reach, a power of two, is above half the shingles.
+
+    Without ``templates`` all known notices are taken. A notice without words is an error.
+    """
+    if templates is None:
+        templates = TEMPLATES + SHORT_TEMPLATES
     rows = (spark.createDataFrame(templates, "license string, notice string")
-            .withColumn("shingles", F.array_distinct(shingles(scan_words(F.col("notice")))))
-            .where(F.size("shingles") > 0))
-    return rows.select("license", "shingles", F.pow(
-        F.lit(2), F.floor(F.log2(F.size("shingles")))).cast("int").alias("reach"))
+            .withColumn("words", scan_words(F.col("notice"))))
+    bare = [r.license for r in rows.where(F.size("words") == 0).select("license").collect()]
+    if bare:
+        raise ValueError(f"templates without words: {bare}")
+    of_size = F.get(shingles(F.col("words"), list(range(1, SIZE + 1))), F.col("size") - 1)
+    return (rows.withColumn("size", F.least(F.size("words"), F.lit(SIZE)))
+            .withColumn("shingles", F.array_distinct(of_size["all"]))
+            .select("license", "size", "shingles", F.pow(
+                F.lit(2), F.floor(F.log2(F.size("shingles")))).cast("int").alias("reach")))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame,
                   contained: float = LEAST_CONTAINED) -> DataFrame:
     """(doc_id, license, containment, first_word, windows): the templates in each text.
 
-    ``templates`` comes from ``template_table``. For each reach r (a power of two with r <= number
-    of shingles < 2r) a text is seen in windows of 4r shingles that begin every 2r, so each
-    occurrence lies in one of them whole. Windows without any shingle of a template hold none
-    and are passed over. The MinHash of a window retrieves the templates of its reach that agree
-    in a band, and a template counts if at least ``contained`` of its distinct shingles are in
-    the window. A row gives the best containment in the text, the first word of the first such
-    window and their number.
-
-    Nothing is joined by document: templates meet windows on (reach, band, value). Their bands
-    are broadcast up to ``MOST_BROADCAST`` shingles, 10 MB; beyond that windows are shuffled to
-    them. Null,
-    empty and short texts hold nothing. Rows that repeat doc_id and text count once. Other
-    columns are not read.
+    ``templates`` comes from ``template_table``. For each shingle size and each reach r (a power
+    of two with r <= number of shingles < 2r) a text is seen in windows of 4r shingles that begin
+    every 2r, so each occurrence lies in one of them whole. Windows without any shingle of a
+    template hold none and are passed over. The MinHash of a window retrieves the templates of
+    its size and reach that agree in a band, and a template counts if at least ``contained`` of
+    its distinct shingles are in the window. A row gives the best containment in the text, the
+    first word of the first such window and their number.
+
+    Nothing is joined by document: templates meet windows on (size, reach, band, value). Their
+    bands are broadcast up to ``MOST_BROADCAST`` shingles, 10 MB; beyond that windows are
+    shuffled to them. Null and empty texts hold nothing, nor do texts shorter than the template.
+    Rows that repeat doc_id and text count once. Other columns are not read.
     """
-    known = templates.select(F.explode("shingles").alias("s")).agg(
-        F.collect_set("s").alias("known"))
-    reaches = [r.reach for r in templates.select("reach").distinct().collect()]
-    known = known.first()["known"]
+    known = {r["size"]: r for r in templates.groupBy("size").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("known"),
+        F.array_sort(F.collect_set("reach")).alias("reaches")).collect()}
     if not known:
         return docs.select("doc_id").where("false").withColumns({
             "license": F.lit(""), "containment": F.lit(0.0), "first_word": F.lit(0),
             "windows": F.lit(0).cast("bigint")})
-    wanted = F.array(*[F.lit(k) for k in sorted(known)])
-    hashed = (docs.select("doc_id", F.xxhash64("text").alias("text"),
-                          shingles(scan_words(F.col("text"))).alias("all"))
-              .where(F.arrays_overlap("all", wanted)))
+    wanted = {size: F.array(*map(F.lit, r["known"])) for size, r in known.items()}
+
+    def met(run: Column) -> Column:
+        return reduce(lambda a, b: a | b, [
+            (run["size"] == size) & F.arrays_overlap(run["all"], wanted[size])
+            for size in wanted])
+
+    hashed = docs.select(
+        "doc_id", F.xxhash64("text").alias("text"),
+        F.explode(F.filter(shingles(scan_words(F.col("text")), sorted(wanted)), met)).alias("r")
+    ).select("doc_id", "text", "r.*")
 
-    def windows(reach: int) -> Column:
+    def windows(size: int, reach: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(2 * reach))
         cut = F.transform(starts, lambda i: F.struct(
             F.lit(reach).alias("reach"), i.alias("start"),
             F.array_distinct(F.slice("all", i + 1, 4 * reach)).alias("held")))
-        return F.filter(cut, lambda w: F.arrays_overlap(w["held"], wanted))
+        return F.filter(cut, lambda w: F.arrays_overlap(w["held"], wanted[size]))
 
-    seen = hashed.select("doc_id", "text", F.explode(F.concat(*map(windows, sorted(reaches))))
-                         .alias("w")).select("doc_id", "text", "w.*")
-    banded = seen.select("doc_id", "text", "reach", "start", "held",
+    of_size = F.coalesce(*[F.when(F.col("size") == size, F.concat(*[
+        windows(size, reach) for reach in known[size]["reaches"]])) for size in sorted(wanted)])
+    seen = hashed.select("doc_id", "text", "size", F.explode(of_size).alias("w")).select(
+        "doc_id", "text", "size", "w.*")
+    banded = seen.select("doc_id", "text", "size", "reach", "start", "held",
                          F.posexplode(minhash(F.col("held"))).alias("band", "value"))
-    keys = templates.select("license", "reach", F.col("shingles").alias("template"),
+    keys = templates.select("license", "size", "reach", F.col("shingles").alias("template"),
                             F.posexplode(minhash(F.col("shingles"))).alias("band", "value"))
-    if len(known) <= MOST_BROADCAST:
+    if sum(len(r["known"]) for r in known.values()) <= MOST_BROADCAST:
         keys = F.broadcast(keys)
     share = (F.size(F.array_intersect("held", "template")) / F.size("template"))
-    return (banded.join(keys, ["reach", "band", "value"])
+    return (banded.join(keys, ["size", "reach", "band", "value"])
             .select("doc_id", "text", "license", "start", share.alias("share"))
             .where(F.col("share") >= contained)
             .groupBy("doc_id", "text", "license")

@@ -251,6 +251,28 @@ def test_licenses_match_brute_force(spark):
     assert licenses.scan_licenses(frame, table.where("false")).count() == 0
 
 
+def test_notices_of_fewer_words_than_a_shingle_are_found(spark):
+    notices = [("one", "Proprietary."), ("two", "Public domain."), ("three", "All rights reserved"),
+               ("four", "Do not copy this"), ("five", "Licensed under CC BY 4")]
+    docs = [(n, text) for n, (_, text) in enumerate(notices)]
+    docs += [(10 + n, f"{' '.join(words(80 + n, 31 + n))} {text.upper()}! {' '.join(words(90, 9))}")
+             for n, (_, text) in enumerate(notices)]
+    docs += [(20, "reserved rights all"), (21, "all rights are reserved"), (22, "domain public"),
+             (23, "all rights"), (24, None), (25, ""), (26, "licensed under cc by"),
+             (27, "public domain, all rights\n * reserved")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = licenses.scan_licenses(frame, licenses.template_table(spark, notices)).collect()
+    wanted = {(n + more, notices[n][0]) for n in range(5) for more in (0, 10)}
+    assert {(r.doc_id, r.license) for r in found} == wanted | {(27, "two"), (27, "three")}
+    assert len(found) == 12 and all(r.containment == 1 for r in found)
+    table = licenses.template_table(spark)
+    assert table.count() == len(licenses.TEMPLATES) + len(licenses.SHORT_TEMPLATES)
+    found = licenses.scan_licenses(frame, table).collect()
+    assert sorted(r.doc_id for r in found) == [2, 12, 27]
+    with pytest.raises(ValueError, match="blank"):
+        licenses.template_table(spark, [*notices, ("blank", " . ")])
+
+
 def test_quality_is_learned_from_rows_that_are_not_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 4000")
