@@ -108,7 +108,7 @@ def _signatures(size: int):
                     nodes.append(None)
                     bands.append(None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"],
-                                "n_shingles": counts,
+                                "text_hash": batch["text_hash"], "n_shingles": counts,
                                 "node": pd.array(nodes, "Int64"), "bands": bands})
     return sign
 
@@ -197,17 +197,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     Every pair of a family is in one cell, so no link is lost but those missed by all 32 bands.
 
     Null and empty texts link with nothing and are kept. Rows without doc_id link with nothing
-    and are kept, with a null component_id. Rows that repeat a doc_id share its fate; if their
-    texts differ, each row has its own component. Other columns are not read.
+    and are kept, with a null component_id. Rows that repeat a doc_id and its text share its
+    fate; if their texts differ, each row has its own component. Other columns are not read.
+    """
+    return _judged(docs, size, similarity).drop("text_hash")
+
+
+def _judged(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text, as rows of one doc_id can differ.
+
+    The text of a node is that of the row with its smallest (doc_id, text_hash).
     """
     least, of = similarity
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
+                       F.xxhash64("text").alias("text_hash"))
     signed = stored(with_null_ids(whole_ids(rows).mapInPandas(
-        _signatures(size), "doc_id bigint, no_id boolean, n_shingles bigint, node bigint, "
-        "bands array<bigint>")), "registers")
+        _signatures(size), "doc_id bigint, no_id boolean, text_hash bigint, n_shingles bigint, "
+        "node bigint, bands array<bigint>")), "registers")
     nodes = (signed.where("node is not null and doc_id is not null").groupBy("node")
-             .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-                  F.first("bands").alias("bands")))
+             .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"),
+                  F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+             .select("row.*", "node", "n_shingles", "bands"))
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "word"))
     shared = (banded.groupBy("band", "word")
@@ -225,8 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
                       .cast("int").alias("chunks")))
     placed = (members.join(chunks, "family")
               .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-              .select("doc_id", "node", "family", "bands", "chunk", "chunks"))
-    texts = rows.where("doc_id is not null").join(placed, "doc_id")
+              .select("doc_id", "text_hash", "node", "family", "bands", "chunk", "chunks"))
+    texts = rows.where("doc_id is not null").join(placed, ["doc_id", "text_hash"])
     cells = (texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .withColumn("i", F.least("chunk", "k")).withColumn("j", F.greatest("chunk", "k")))
     links = (cells.select("family", "i", "j", "node", "chunk", "bands", "text")
@@ -237,9 +247,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
              .withColumn("component", F.coalesce("component", "node")))
     named = named.select("node", "component").join(
         named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
-    return (signed.select("doc_id", "n_shingles", "node")
+    return (signed.select("doc_id", "text_hash", "n_shingles", "node")
             .join(named.select("node", "component_id"), "node", "left")
-            .select("doc_id", "n_shingles",
+            .select("doc_id", "text_hash", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(),
                            F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"),
@@ -248,10 +258,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5,
                          similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``docs`` without those that ``near_duplicates`` does not keep."""
-    lost = (near_duplicates(docs, size, similarity).where("not kept")
-            .select(F.col("doc_id").alias("__lost")).distinct())
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    """``docs`` without those that ``near_duplicates`` does not keep, row by row."""
+    lost = (_judged(docs, size, similarity).where("not kept")
+            .select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__hash"))
+            .distinct())
+    return docs.join(lost, (F.col("doc_id") == F.col("__lost"))
+                     & (F.xxhash64("text") == F.col("__hash")), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,6 +89,19 @@ def test_near_duplicates_keep_columns_and_take_empty_tables(spark):
     assert near_dedup.near_duplicates(empty_frame(spark)).count() == 0
 
 
+def test_texts_of_one_id_are_verified_on_their_own_shingles(spark):
+    pairs = [mutated(20 + k, 2, 1) for k in range(8)]
+    texts = [(50, own) for own, _ in pairs]  # eight texts of one id, each with a copy elsewhere
+    texts += [(100 + k, copy) for k, (_, copy) in enumerate(pairs)]
+    texts += [(60, pairs[0][0]), (60, " ".join(words(30, 90)))]  # one text lost, the other alone
+    for rows in (texts, texts[::-1]):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = near_dedup.near_duplicates(frame, 3, (85, 100)).collect()
+        assert sorted(map(tuple, found), key=repr) == brute_components(rows, 3, 85)
+        kept = near_dedup.drop_near_duplicates(frame, 3, (85, 100)).collect()
+        assert sorted(map(tuple, kept)) == sorted([*texts[:8], texts[-1]])
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(1)
     pool = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
