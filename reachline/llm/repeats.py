@@ -1,4 +1,4 @@
-"""Removal of byte strings that repeat across documents, by distributed prefix doubling."""
+"""Removal of byte strings that repeat across documents, by hashes doubled in texts and anchors."""
 
 from __future__ import annotations
 
@@ -243,9 +243,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     from a smaller document and drops those whose gram is unique. The others go through rounds.
     In each the windows of an anchor are halved; their common part, longer every time, and
     their union are ranked, grouped and joined back. Unique common parts drop out, known unions
-    are settled, and after the last round each window stands alone. Groups are summed up before
-    they are shuffled and joins can be split, so a passage that a third of all documents share
-    makes no large task.
+    are settled, and after the last round each window stands alone. Groups of the rounds are
+    summed up before they are shuffled and their joins can be split. The first comparison is not:
+    all anchors of one gram lie in one shard and so in one task, 27 bytes each, which grows with
+    the documents that share the passage. Ranks are 64-bit hashes; nothing is sorted as rank
+    pairs in Spark.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
