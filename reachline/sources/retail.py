@@ -103,16 +103,25 @@ def receipts(spark: SparkSession, folder: str) -> DataFrame:
     return receipts_from(table(spark, folder, "events"))
 
 
-def event_stream(spark: SparkSession, folder: str, path: str, files: int = 3) -> DataFrame:
-    """The events table as a stream of ``files`` micro-batches, written below ``path`` in
-    order of arrival."""
+def event_stream(spark: SparkSession, folder: str, path: str, parts: int = 3) -> DataFrame:
+    """The events table as a stream of about ``parts`` micro-batches, written below ``path`` in
+    order of arrival; events without event_id come last.
+
+    Each part is written by as many tasks as read the table, and a batch takes as many files as
+    a part has on average.
+    """
     events = table(spark, folder, "events")
-    last = events.agg(F.max("event_id")).first()[0] or 0
-    part = F.floor(F.col("event_id") * files / (last + 1))
-    for n in range(files):
-        events.where(part == n).coalesce(1).write.mode("append").parquet(path)
-    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-            .parquet(path))
+    last, unnumbered = events.agg(F.max("event_id"),
+                                  F.count_if(F.col("event_id").isNull())).first()
+    part = F.floor(F.col("event_id") * parts / ((last or 0) + 1))
+    chosen = [part == n for n in range(parts)]
+    if unnumbered:
+        chosen.append(F.col("event_id").isNull())
+    for rows in chosen:
+        events.where(rows).write.mode("append").parquet(path)
+    files = len(spark.read.schema(events.schema).parquet(path).inputFiles())
+    return (spark.readStream.schema(events.schema)
+            .option("maxFilesPerTrigger", -(-files // len(chosen))).parquet(path))
 
 
 def with_metadata(receipts: DataFrame) -> DataFrame:

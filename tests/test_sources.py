@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from reachline.session import new_work_path, shared_folder
-from reachline.sources import tables
+from reachline.sources import retail, tables
 from reachline.sources.schemas import TABLES
 
 
@@ -55,3 +55,19 @@ def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_work_path(spark, "x") != new_work_path(spark, "x")
     assert new_work_path(spark, "x").startswith(shared_folder(spark))
+
+
+def test_event_stream_takes_every_event_in_many_files(spark, tmp_path):
+    ids = [None if i % 50 == 0 else i for i in range(600)]
+    events = spark.createDataFrame([(i,) for i in ids], "event_id bigint")
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").drop("event_id").limit(1)
+    events.crossJoin(source).repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    stream = retail.event_stream(spark, str(tmp_path), f"{tmp_path}/stream")
+    query = (stream.writeStream.format("parquet").trigger(availableNow=True)
+             .option("checkpointLocation", f"{tmp_path}/check").start(f"{tmp_path}/out"))
+    query.awaitTermination()
+    found = [r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(found, key=str) == sorted(ids, key=str)
+    assert 3 <= sum(p["numInputRows"] > 0 for p in query.recentProgress) <= 5
+    files = spark.read.parquet(f"{tmp_path}/stream").inputFiles()
+    assert len(files) > 4  # no part comes from a single task
