@@ -20,6 +20,9 @@ shares a band with probability above 1 - 0.81 ** 64, which is above 0.99999."""
 MOST_BROADCAST = 20_000
 """Shingles of all templates up to which their bands, 512 bytes a shingle, go to every task."""
 
+MOST_LISTED = 1_000
+"""Shingles of all templates up to which they stand in the plan, to test every window."""
+
 # Sentences of well-known license notices.
 TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -97,31 +100,14 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None
                 F.lit(2), F.floor(F.log2(F.size("shingles")))).cast("int").alias("reach")))
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame,
-                  contained: float = LEAST_CONTAINED) -> DataFrame:
-    """(doc_id, license, containment, first_word, windows): the templates in each text.
-
-    ``templates`` comes from ``template_table``. For each shingle size and each reach r (a power
-    of two with r <= number of shingles < 2r) a text is seen in windows of 4r shingles that begin
-    every 2r, so each occurrence lies in one of them whole. Windows without any shingle of a
-    template hold none and are passed over. The MinHash of a window retrieves the templates of
-    its size and reach that agree in a band, and a template counts if at least ``contained`` of
-    its distinct shingles are in the window. A row gives the best containment in the text, the
-    first word of the first such window and their number.
-
-    Nothing is joined by document: templates meet windows on (size, reach, band, value). Their
-    bands are broadcast up to ``MOST_BROADCAST`` shingles, 10 MB; beyond that windows are
-    shuffled to them. Null and empty texts hold nothing, nor do texts shorter than the template.
-    Rows that repeat doc_id and text count once. Other columns are not read.
-    """
-    known = {r["size"]: r for r in templates.groupBy("size").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("known"),
-        F.array_sort(F.collect_set("reach")).alias("reaches")).collect()}
-    if not known:
-        return docs.select("doc_id").where("false").withColumns({
-            "license": F.lit(""), "containment": F.lit(0.0), "first_word": F.lit(0),
-            "windows": F.lit(0).cast("bigint")})
-    wanted = {size: F.array(*map(F.lit, r["known"])) for size, r in known.items()}
+def _listed_windows(docs: DataFrame, known: DataFrame, reaches: dict[int, list[int]]
+                    ) -> DataFrame:
+    """(doc_id, text, size, reach, start, held): windows with a shingle of a template, tested
+    against a list in the plan. ``held`` has all shingles of the window."""
+    listed: dict[int, list[int]] = {}
+    for r in known.orderBy("size", "shingle").collect():
+        listed.setdefault(r["size"], []).append(r["shingle"])
+    wanted = {size: F.array(*map(F.lit, held)) for size, held in listed.items()}
 
     def met(run: Column) -> Column:
         return reduce(lambda a, b: a | b, [
@@ -141,14 +127,69 @@ def scan_licenses(docs: DataFrame, templates: DataFrame,
         return F.filter(cut, lambda w: F.arrays_overlap(w["held"], wanted[size]))
 
     of_size = F.coalesce(*[F.when(F.col("size") == size, F.concat(*[
-        windows(size, reach) for reach in known[size]["reaches"]])) for size in sorted(wanted)])
-    seen = hashed.select("doc_id", "text", "size", F.explode(of_size).alias("w")).select(
+        windows(size, reach) for reach in reaches[size]])) for size in sorted(wanted)])
+    return hashed.select("doc_id", "text", "size", F.explode(of_size).alias("w")).select(
         "doc_id", "text", "size", "w.*")
+
+
+def _joined_windows(docs: DataFrame, known: DataFrame, reaches: dict[int, list[int]]
+                    ) -> DataFrame:
+    """The same windows from a join of all shingles with those of the templates.
+
+    ``held`` has the window's shingles that some template has. Others are in no template, so
+    containment is the same and the bands agree at least as often.
+    """
+    runs = docs.select("doc_id", F.xxhash64("text").alias("text"), F.explode(
+        shingles(scan_words(F.col("text")), sorted(reaches))).alias("r"))
+    met = runs.select("doc_id", "text", F.col("r.size").alias("size"),
+                      F.posexplode("r.all").alias("at", "shingle")).join(known,
+                                                                        ["size", "shingle"])
+    rows = F.coalesce(*[F.when(F.col("size") == size, F.array(*[F.lit(r) for r in reaches[size]]))
+                        for size in sorted(reaches)])
+    last = F.floor(F.col("at") / (2 * F.col("reach"))).cast("int")
+    starts = F.transform(F.sequence(F.greatest(last - 1, F.lit(0)), last),
+                         lambda n: n * 2 * F.col("reach"))
+    return (met.withColumn("reach", F.explode(rows)).withColumn("start", F.explode(starts))
+            .groupBy("doc_id", "text", "size", "reach", "start")
+            .agg(F.collect_set("shingle").alias("held")))
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame,
+                  contained: float = LEAST_CONTAINED) -> DataFrame:
+    """(doc_id, license, containment, first_word, windows): the templates in each text.
+
+    ``templates`` comes from ``template_table``. For each shingle size and each reach r (a power
+    of two with r <= number of shingles < 2r) a text is seen in windows of 4r shingles that begin
+    every 2r, so each occurrence lies in one of them whole. Windows without any shingle of a
+    template hold none and are passed over. The MinHash of a window retrieves the templates of
+    its size and reach that agree in a band, and a template counts if at least ``contained`` of
+    its distinct shingles are in the window. A row gives the best containment in the text, the
+    first word of the first such window and their number.
+
+    Nothing is joined by document: templates meet windows on (size, reach, band, value). Their
+    bands are broadcast up to ``MOST_BROADCAST`` shingles, 10 MB; beyond that windows are
+    shuffled to them. Above ``MOST_LISTED`` shingles a join finds the windows with a shingle of
+    a template, not a list in the plan. Null and empty texts hold nothing, nor do texts shorter
+    than the template. Rows that repeat doc_id and text count once. Other columns are not read.
+    """
+    sizes = templates.groupBy("size").agg(
+        F.array_sort(F.collect_set("reach")).alias("reaches")).collect()
+    if not sizes:
+        return docs.select("doc_id").where("false").withColumns({
+            "license": F.lit(""), "containment": F.lit(0.0), "first_word": F.lit(0),
+            "windows": F.lit(0).cast("bigint")})
+    reaches = {r["size"]: r["reaches"] for r in sizes}
+    known = templates.select("size", F.explode("shingles").alias("shingle")).distinct()
+    count = known.count()
+    if count <= MOST_LISTED:
+        seen = _listed_windows(docs, known, reaches)
+    else:
+        seen = _joined_windows(docs, known, reaches)
     banded = seen.select("doc_id", "text", "size", "reach", "start", "held",
                          F.posexplode(minhash(F.col("held"))).alias("band", "value"))
     keys = templates.select("license", "size", "reach", F.col("shingles").alias("template"),
                             F.posexplode(minhash(F.col("shingles"))).alias("band", "value"))
-    if sum(len(r["known"]) for r in known.values()) <= MOST_BROADCAST:
+    if count <= MOST_BROADCAST:
         keys = F.broadcast(keys)
     share = (F.size(F.array_intersect("held", "template")) / F.size("template"))
     return (banded.join(keys, ["size", "reach", "band", "value"])

@@ -286,6 +286,25 @@ def test_notices_of_fewer_words_than_a_shingle_are_found(spark):
         licenses.template_table(spark, [*notices, ("blank", " . ")])
 
 
+def test_whole_license_texts_beyond_the_broadcast_bound(spark, monkeypatch):
+    notices = [(f"n{k}", " ".join(words(200 + k, 1100))) for k in range(20)]
+    notices.append(("short", "All rights reserved."))
+    docs = [(k, f"{' '.join(words(90, 7 * k))} {notices[k][1]} all rights reserved")
+            for k in range(3)]
+    docs += [(10, notices[3][1][:3000]), (11, None), (None, notices[4][1]), (12, "x y z")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = licenses.template_table(spark, notices)
+    assert table.agg(F.sum(F.size("shingles"))).first()[0] > licenses.MOST_BROADCAST
+
+    def listed(*_):
+        raise AssertionError("shingles in the plan")
+
+    monkeypatch.setattr(licenses, "_listed_windows", listed)
+    found = licenses.scan_licenses(frame, table).collect()
+    wanted = {(k, name) for k in range(3) for name in (f"n{k}", "short")} | {(None, "n4")}
+    assert {(r.doc_id, r.license) for r in found} == wanted and len(found) == 7
+
+
 def test_quality_is_learned_from_rows_that_are_not_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 4000")
