@@ -8,6 +8,9 @@ import sys
 from pyspark import cloudpickle
 
 from reachline.llm import (
+    collocations,
+    conversations,
+    decontaminate,
     fingerprints,
     licenses,
     mixing,
@@ -33,6 +36,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_repeats": repeats.op10_repeats,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
 ORACLES = {
@@ -40,4 +46,7 @@ ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op4_top_k": topk.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op12_conversation_repair": conversations.ORACLE_SQL,
+    "op13_decontaminate": decontaminate.ORACLE_SQL,
 }
