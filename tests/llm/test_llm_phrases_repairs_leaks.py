@@ -33,10 +33,14 @@ def plain_collocations(docs, least, top):
     out = []
     for lang, f in counts.items():
         chosen = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        around = Counter()  # occurrences of the most frequent longer phrase around each
+        for q, b in chosen.items():
+            for k in range(2, len(q)):
+                for i in range(len(q) - k + 1):
+                    around[q[i:i + k]] = max(around[q[i:i + k]], b)
         scored = []
         for p, a in chosen.items():
-            if any(len(q) > len(p) and 100 * b >= 80 * a and any(
-                    q[i:i + len(p)] == p for i in range(len(q))) for q, b in chosen.items()):
+            if 100 * around[p] >= 80 * a:
                 continue
             score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
             scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
