@@ -63,12 +63,29 @@ def word_count(text: Column) -> Column:
                       F.lit(0)).cast("bigint")
 
 
+SPREAD = 256
+"""Parts of a node's neighbours, which are dealt to different tasks."""
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): every edge with the smallest neighbour of its ``a``.
+
+    The neighbours of a node are gathered in ``SPREAD`` parts by their hash, and only the parts
+    meet the node's minimum, so a node with a third of all edges gives its join ``SPREAD`` rows.
+    """
+    part = F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("part")
+    parts = edges.groupBy("a", part).agg(F.collect_list("b").alias("all"),
+                                         F.min("b").alias("least"))
+    least = parts.groupBy("a").agg(F.min("least").alias("m"))
+    return parts.join(least, "a").select("a", F.explode("all").alias("b"), "m")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b), numbers.
 
     The component is its smallest node. Star contraction in two alternating steps (towards the
     smallest neighbour among larger and among smaller nodes), each a grouping with a minimum and
-    a join, so a node with very many edges costs one partial minimum per task. Every round is
+    a join over parts of the neighbours, so no node's edges meet in one task. Every round is
     stored; the number of rounds grows with the logarithm of the path lengths.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -82,11 +99,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
                                             F.col("b").alias("component")).distinct()))
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (both.join(least, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(
+        large = _with_least(both).where("b > a").select(
+            F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = _with_least(large).select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
             .alias("e")).select("e.*").where("a <> b").distinct()

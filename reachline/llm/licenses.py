@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +16,8 @@ BANDS = 64
 shares a band with probability above 1 - 0.81 ** 64, which is above 0.99999."""
 
 MOST_BROADCAST = 20_000
-"""Shingles of all templates up to which their bands, 512 bytes a shingle, go to every task."""
-
-MOST_LISTED = 1_000
-"""Shingles of all templates up to which they stand in the plan, to test every window."""
+"""Shingles of all templates up to which they and their bands, 512 bytes a shingle, go to every
+task; beyond it Spark decides, and shuffles what is large. The steps are the same."""
 
 # Sentences of well-known license notices.
 TEMPLATES = [
@@ -44,6 +40,43 @@ TEMPLATES = [
      "International License."),
 ]
 
+# Whole license texts.
+WHOLE_TEXTS = [
+    ("MIT-text", """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC-text", """Permission to use, copy, modify, and/or distribute this software for any purpose
+with or without fee is hereby granted, provided that the above copyright notice and this permission
+notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-text", """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met: 1. Redistributions of source code must
+retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""),
+]
+
 # Notices of fewer words than ``SIZE``.
 SHORT_TEMPLATES = [("All-rights-reserved", "All rights reserved.")]
 
@@ -100,41 +133,9 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None
                 F.lit(2), F.floor(F.log2(F.size("shingles")))).cast("int").alias("reach")))
 
 
-def _listed_windows(docs: DataFrame, known: DataFrame, reaches: dict[int, list[int]]
-                    ) -> DataFrame:
-    """(doc_id, text, size, reach, start, held): windows with a shingle of a template, tested
-    against a list in the plan. ``held`` has all shingles of the window."""
-    listed: dict[int, list[int]] = {}
-    for r in known.orderBy("size", "shingle").collect():
-        listed.setdefault(r["size"], []).append(r["shingle"])
-    wanted = {size: F.array(*map(F.lit, held)) for size, held in listed.items()}
-
-    def met(run: Column) -> Column:
-        return reduce(lambda a, b: a | b, [
-            (run["size"] == size) & F.arrays_overlap(run["all"], wanted[size])
-            for size in wanted])
-
-    hashed = docs.select(
-        "doc_id", F.xxhash64("text").alias("text"),
-        F.explode(F.filter(shingles(scan_words(F.col("text")), sorted(wanted)), met)).alias("r")
-    ).select("doc_id", "text", "r.*")
-
-    def windows(size: int, reach: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(2 * reach))
-        cut = F.transform(starts, lambda i: F.struct(
-            F.lit(reach).alias("reach"), i.alias("start"),
-            F.array_distinct(F.slice("all", i + 1, 4 * reach)).alias("held")))
-        return F.filter(cut, lambda w: F.arrays_overlap(w["held"], wanted[size]))
-
-    of_size = F.coalesce(*[F.when(F.col("size") == size, F.concat(*[
-        windows(size, reach) for reach in reaches[size]])) for size in sorted(wanted)])
-    return hashed.select("doc_id", "text", "size", F.explode(of_size).alias("w")).select(
-        "doc_id", "text", "size", "w.*")
-
-
-def _joined_windows(docs: DataFrame, known: DataFrame, reaches: dict[int, list[int]]
-                    ) -> DataFrame:
-    """The same windows from a join of all shingles with those of the templates.
+def _windows(docs: DataFrame, known: DataFrame, reaches: dict[int, list[int]]) -> DataFrame:
+    """(doc_id, text, size, reach, start, held): the windows with a shingle of a template, from
+    a join of all shingles with those of the templates.
 
     ``held`` has the window's shingles that some template has. Others are in no template, so
     containment is the same and the bands agree at least as often.
@@ -166,10 +167,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame,
     its distinct shingles are in the window. A row gives the best containment in the text, the
     first word of the first such window and their number.
 
-    Nothing is joined by document: templates meet windows on (size, reach, band, value). Their
-    bands are broadcast up to ``MOST_BROADCAST`` shingles, 10 MB; beyond that windows are
-    shuffled to them. Above ``MOST_LISTED`` shingles a join finds the windows with a shingle of
-    a template, not a list in the plan. Null and empty texts hold nothing, nor do texts shorter
+    Nothing is joined by document: shingles of texts meet those of templates, and templates meet
+    windows on (size, reach, band, value). What templates bring is broadcast up to
+    ``MOST_BROADCAST`` shingles, 10 MB; beyond that Spark chooses the joins. Null and empty texts hold nothing, nor do texts shorter
     than the template. Rows that repeat doc_id and text count once. Other columns are not read.
     """
     sizes = templates.groupBy("size").agg(
@@ -180,16 +180,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame,
             "windows": F.lit(0).cast("bigint")})
     reaches = {r["size"]: r["reaches"] for r in sizes}
     known = templates.select("size", F.explode("shingles").alias("shingle")).distinct()
-    count = known.count()
-    if count <= MOST_LISTED:
-        seen = _listed_windows(docs, known, reaches)
-    else:
-        seen = _joined_windows(docs, known, reaches)
+    few = known.count() <= MOST_BROADCAST
+    seen = _windows(docs, F.broadcast(known) if few else known, reaches)
     banded = seen.select("doc_id", "text", "size", "reach", "start", "held",
                          F.posexplode(minhash(F.col("held"))).alias("band", "value"))
     keys = templates.select("license", "size", "reach", F.col("shingles").alias("template"),
                             F.posexplode(minhash(F.col("shingles"))).alias("band", "value"))
-    if count <= MOST_BROADCAST:
+    if few:
         keys = F.broadcast(keys)
     share = (F.size(F.array_intersect("held", "template")) / F.size("template"))
     return (banded.join(keys, ["size", "reach", "band", "value"])
@@ -203,7 +200,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame,
 
 def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return scan_licenses(docs, template_table(spark))
+    return scan_licenses(docs, template_table(
+        spark, TEMPLATES + SHORT_TEMPLATES + WHOLE_TEXTS))
 
 
 def plain_words(text: str | None) -> list[str]:

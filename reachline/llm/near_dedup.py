@@ -8,17 +8,16 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachline.llm.common import components, stored, whole_ids, with_null_ids
 
-REGISTERS, MANTISSA, ROWS = 128, 10, 4
-"""Registers of a signature, each six bits of leading zeros and ten of mantissa; registers of a
-band. Sets of similarity 0.8 share none of the 32 bands with probability below 1e-7."""
+REGISTERS, MANTISSA = 128, 10
+"""Registers of a signature, each six bits of leading zeros and ten of mantissa."""
 
-LEAST_ESTIMATE = 0.55
-"""Pairs whose estimate is lower are not compared: six deviations below a similarity of 0.8."""
+MOST_MISSED = 1e-7
+"""Probability up to which a pair at the threshold may share no band."""
 
 SMALL = 256  # sets below this size are always compared, as their registers repeat elements
 CHUNK_TEXTS, CHUNK_SHINGLES = 256, 65_536  # texts of a family that are compared in one task
@@ -93,6 +92,30 @@ def chance_matches(sizes: np.ndarray, size: int) -> np.ndarray:
     return REGISTERS * np.asarray(each)[places]
 
 
+def band_rows(threshold: float) -> int:
+    """Registers of a band, 4, 2 or 1: as many as leave pairs at the threshold unmet with
+    probability ``MOST_MISSED`` at most. Thresholds below 0.12 are refused."""
+    for rows in (4, 2, 1):
+        if (1 - threshold**rows) ** (REGISTERS // rows) <= MOST_MISSED:
+            return rows
+    raise ValueError(f"{REGISTERS} registers cannot find pairs of similarity {threshold}")
+
+
+def least_estimate(threshold: float) -> float:
+    """Pairs with a lower estimate are not compared: six deviations below the threshold, and
+    a little more for the correction of chance matches."""
+    return threshold - 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5 - 0.03
+
+
+def _bands(signature: Column, rows: int) -> Column:
+    """The bands of a signature, whose numbers hold four registers each."""
+    if rows == 4:
+        return signature
+    mask = F.lit((1 << 16 * rows) - 1)
+    return F.flatten(F.transform(signature, lambda four: F.array(*[
+        F.shiftrightunsigned(four, 16 * rows * k).bitwiseAND(mask) for k in range(4 // rows)])))
+
+
 def _signatures(size: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -148,6 +171,7 @@ def _links(members: dict, across: bool, least: int, of: int) -> list[tuple[int,
     nodes = list(members)
     if len(nodes) < 2:
         return []
+    cut = least_estimate(least / of)
     chunks = np.array([members[n][0] for n in nodes])
     marks = np.stack([np.asarray(members[n][1], np.int64) for n in nodes]).view(np.uint16)
     sets = [members[n][2] for n in nodes]
@@ -166,7 +190,7 @@ def _links(members: dict, across: bool, least: int, of: int) -> list[tuple[int,
             continue
         chance = chance_matches(sizes, sizes[i])
         estimate = ((marks == marks[i]).sum(1) - chance) / (REGISTERS - chance)
-        open_pairs &= (estimate >= LEAST_ESTIMATE) | (np.minimum(sizes, sizes[i]) < SMALL)
+        open_pairs &= (estimate >= cut) | (np.minimum(sizes, sizes[i]) < SMALL)
         if not open_pairs.any():
             continue
         own = places[starts[i]:starts[i] + sizes[i]]
@@ -194,7 +218,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     lists pairs). A family is compared in cells of at most two chunks of about
     ``CHUNK_TEXTS`` texts: pairs with enough registers in common, corrected for chance, are
     verified on their full sets, and only links that join two components of the cell come out.
-    Every pair of a family is in one cell, so no link is lost but those missed by all 32 bands.
+    Every pair of a family is in one cell, so no link is lost but those missed by all bands.
+    The registers of a band follow from the threshold (``band_rows``: 4 from 0.8 on, fewer
+    below), as does the least estimate; thresholds below 0.12 are an error.
 
     Null and empty texts link with nothing and are kept. Rows without doc_id link with nothing
     and are kept, with a null component_id. Rows that repeat a doc_id and its text share its
@@ -209,6 +235,7 @@ def _judged(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFram
     The text of a node is that of the row with its smallest (doc_id, text_hash).
     """
     least, of = similarity
+    in_band = band_rows(least / of)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                        F.xxhash64("text").alias("text_hash"))
     signed = stored(with_null_ids(whole_ids(rows).mapInPandas(
@@ -219,7 +246,8 @@ def _judged(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFram
                   F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
              .select("row.*", "node", "n_shingles", "bands"))
     nodes = stored(nodes, "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "word"))
+    banded = nodes.select("node", F.posexplode(_bands(F.col("bands"), in_band))
+                          .alias("band", "word"))
     shared = (banded.groupBy("band", "word")
               .agg(F.min("node").alias("first"), F.max("node").alias("last"))
               .where("first < last").drop("last"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,27 @@ def pack_shard(pieces: list[tuple], capacity: int, per_source: int) -> list[tupl
     return out
 
 
+def join_bins(pieces: list[tuple], placed: list[tuple[int, int]], capacity: int
+              ) -> list[tuple[int, int]]:
+    """``placed`` with bins that have room put together, as if each were one piece.
+
+    The bound on sources left that room, so it gives way: no other source was there to fill it.
+    Clusters stay apart.
+    """
+    repeated = [c for c, n in Counter(p[2] for p in pieces).items() if n > 1]
+    clusters = {c: 1 << i for i, c in enumerate(sorted(repeated))}
+    size, held = Counter(), Counter()
+    for (words, _, cluster), (b, _) in zip(pieces, placed):
+        size[b] += words
+        if words:
+            held[b] |= clusters.get(cluster, 0)
+    again = Bins(capacity, 1)
+    moved = {b: again.place(size[b], 0, held[b])
+             for b in sorted(size, key=lambda b: (-size[b], b)) if size[b]}
+    return [(moved[b][0], moved[b][1] + offset) if b in moved else (b, offset)
+            for b, offset in placed]
+
+
 def _pack(capacity: int, per_source: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -109,12 +131,15 @@ def _pack(capacity: int, per_source: int):
             return
         shard = pd.concat(parts, ignore_index=True).sort_values(
             ["doc_id", "no_id", "cluster", "first_word", "n_words", "source"], ignore_index=True)
-        placed = pack_shard(list(zip(
+        pieces = list(zip(
             shard["n_words"].tolist(), shard["source"].where(shard["source"].notna(), None),
-            shard["cluster"].tolist())), capacity, per_source)
-        # A shard is named by what it holds, so a task that runs again gives the same bins.
-        name = xxhash.xxh3_64_hexdigest(pd.util.hash_pandas_object(
-            shard[["doc_id", "first_word", "cluster"]]).to_numpy().tobytes())
+            shard["cluster"].tolist()))
+        placed = join_bins(pieces, pack_shard(pieces, capacity, per_source), capacity)
+        # A shard is named by its number, and by what it holds to tell runs apart: a task that
+        # runs again gives the same bins, and shards with equal pieces have different ones.
+        name = f"{TaskContext.get().partitionId()}-" + xxhash.xxh3_64_hexdigest(
+            pd.util.hash_pandas_object(shard[["doc_id", "first_word", "cluster"]])
+            .to_numpy().tobytes())
         shard["bin_id"] = [f"{name}-{b}" for b, _ in placed]
         shard["bin_offset"] = [o for _, o in placed]
         shard["bin_words"] = shard.groupby("bin_id")["n_words"].transform("sum")
@@ -127,9 +152,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     """Where every word of ``docs`` goes: pieces with doc_id, source, first_word, n_words,
     bin_id, bin_offset and bin_words (words in the bin).
 
-    A document longer than ``capacity`` words is cut into full pieces and a rest. In a bin at
-    most ``per_source`` pieces have one source, and no two pieces have one duplicate cluster,
-    that is equal texts up to case and white space. Pieces are dealt evenly to shards of about
+    A document longer than ``capacity`` words is cut into full pieces and a rest. No two pieces
+    in a bin have one duplicate cluster, that is equal texts up to case and white space, and at
+    most ``per_source`` pieces have one source, as long as other sources are left in the shard:
+    then bins with room are joined. Pieces are dealt evenly to shards of at most about
     ``pieces_per_shard``, whatever their source or text, and each shard is packed best fit,
     longest first: the tightest bin with room that is compatible. Only numbers are moved,
     no texts.
@@ -149,7 +175,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
         "doc_id", "source", "first_word",
         F.least(size - F.col("first_word"), F.lit(capacity)).alias("n_words"),
         F.xxhash64("document", "first_word").alias("cluster"))
-    shards = max(1, -(-rows.count() // pieces_per_shard))
+    # No document has more pieces than this: a word and its space are two bytes.
+    most = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / (2 * capacity)))
+    counted = docs.agg(F.sum(F.coalesce(most, F.lit(1)))).first()[0] or 1
+    shards = max(1, -(-counted // pieces_per_shard))
     return with_null_ids(whole_ids(pieces).repartition(shards).mapInPandas(
         _pack(capacity, per_source), f"{PLACED}, no_id boolean"))
 

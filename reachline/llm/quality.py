@@ -263,8 +263,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame,
                 most_labelled: int = MOST_LABELLED) -> QualityModel:
     """A model from all texts (word vectors) and at most ``most_labelled`` labels (network).
 
-    Labels of held-out documents, null labels and ids with both labels are left out. Inputs are
-    texts alone.
+    Labels of held-out documents, null labels and ids with both labels are left out. Of rows
+    that repeat a labelled doc_id one counts, that with the smallest features. Inputs are texts
+    alone. Without labels the scores stay near a constant.
     """
     contexts = context_vectors(docs)
     index = index_vectors()
@@ -277,14 +278,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame,
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = _Terms()
         for batch in batches:
-            yield pd.DataFrame({"label": batch["__y"], "row": [
+            yield pd.DataFrame({"id": batch["__id"], "label": batch["__y"], "row": [
                 pooled(t, contexts, index, terms).tobytes() for t in batch["text"]]})
 
-    # At most most_labelled rows of two numbers are sent to every task.
+    # At most most_labelled rows of two numbers are sent to every task, and as many come back:
+    # one row for each chosen id, however often documents repeat it.
     rows = (docs.select("doc_id", "text")
             .join(F.broadcast(chosen.select("__id", "__y")), F.col("doc_id") == F.col("__id"))
-            .select("__y", "text").mapInPandas(pool, "label int, row binary")
-            .orderBy("row").limit(2 * most_labelled).collect())
+            .select(F.col("__id").cast("string").alias("__id"), "__y", "text")
+            .mapInPandas(pool, "id string, label int, row binary")
+            .groupBy("id").agg(F.min("label").alias("label"), F.min("row").alias("row"))
+            .orderBy("id").collect())
     inputs = np.array([np.frombuffer(r["row"], np.float32) for r in rows]).reshape(
         len(rows), FEATURES)
     return QualityModel(contexts, fit_network(inputs, np.array([r["label"] for r in rows])))

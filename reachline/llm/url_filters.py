@@ -24,9 +24,20 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _reversed_hosts(host: Column) -> Column:
-    """``a.b.net`` gives net, net.b, net.b.a: the host and the domains above it."""
-    labels = F.reverse(F.split(host, r"\."))
+def _labels(host: Column) -> Column:
+    """The labels of a host, the last one first."""
+    return F.reverse(F.split(host, r"\."))
+
+
+def _reversed_host(host: Column) -> Column:
+    """``a.b.net`` gives net.b.a."""
+    return F.array_join(_labels(host), ".")
+
+
+def _reversed_hosts(host: Column, most: Column) -> Column:
+    """``a.b.net`` gives net, net.b, net.b.a: the host and the domains above it, those with at
+    most ``most`` labels."""
+    labels = F.slice(_labels(host), F.lit(1), most)
     return F.transform(F.sequence(F.lit(1), F.size(labels)),
                        lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
 
@@ -46,8 +57,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
 
     Method. A key is the reversed host, a dot and the path, as bytes. A rule's key is the prefix
     of all keys it fits, an interval that ends at the prefix followed by byte FF; two rules are
-    nested or apart. Every distinct address is looked up under its host and each domain above
-    it. Interval starts, ends and lookups are range-partitioned by key and swept in order: the
+    nested or apart. The stack nests rules of one host, by path; rules of a host and of domains
+    above it meet by looking up every distinct address under each of these domains that is no
+    deeper than the deepest rule, and taking the longest rule found. Interval starts, ends and lookups are range-partitioned by key and swept in order: the
     running sum of starts less ends is the height of the stack, and the rule on top at height h
     is the last one pushed at height h. What lies on the stack where a block begins comes from
     the blocks before it, one row per block and height.
@@ -64,16 +76,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
     rule = F.struct(
         (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("hosts"),
         F.concat("host", "path").alias("rule"), F.col("action").alias("verdict"))
-    prefix = _key(F.element_at(_reversed_hosts(F.col("host")), -1), F.col("path"))
+    prefix = _key(_reversed_host(F.col("host")), F.col("path"))
     starts = rules.select(prefix.alias("key"), F.lit(START).alias("kind"), rule.alias("top"))
     ends = starts.select(F.concat("key", F.unhex(F.lit("FF"))).alias("key"),
                          F.lit(END).alias("kind"), "top")
 
     addresses = pages.select("__host", "__path").distinct()
-    looked = addresses.select(
-        "__host", "__path", F.explode(_reversed_hosts(F.col("__host"))).alias("above"))
+    # No domain with more labels than any rule's host can have a rule.
+    deepest = rules.agg(F.coalesce(F.max(F.size(_labels(F.col("host")))), F.lit(1))).scalar()
+    looked = addresses.select("__host", "__path", F.explode(
+        _reversed_hosts(F.col("__host"), deepest)).alias("above"))
     ruled = rules.select(
-        F.element_at(_reversed_hosts(F.col("host")), -1).alias("above")).distinct()
+        _reversed_host(F.col("host")).alias("above")).distinct()
     looked = (looked.join(ruled, "above", "left_semi")
               .withColumn("key", _key(F.col("above"), F.col("__path"))))
     keys = looked.select("key").distinct().select(

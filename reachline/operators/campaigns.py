@@ -105,53 +105,75 @@ def _joined_counts(campaigns: DataFrame, counts: DataFrame) -> DataFrame:
     return counted.fillna(0, ["messages", *REACHED])
 
 
+def campaign_facts(campaigns: DataFrame, communications: DataFrame, orders: DataFrame,
+                   known: DataFrame | None = None) -> DataFrame:
+    """(campaign_id, messages, counts of each stage, revenue) of campaigns with messages.
+
+    Revenue: orders that a campaign's converted customers placed since it was created. An order
+    counts once per campaign and may count for several campaigns. With ``known`` (customers, as
+    ``id``) only their messages are counted; revenue comes from all.
+
+    Messages and orders are read once. Messages are grouped by campaign and customer and meet
+    the orders in one union: a running sum within a customer's day, newest first, gives what
+    was earned later on the starting day; then one row per day and the messages are left, and a
+    running sum over the days adds the later ones. So a window is bounded by one customer's day,
+    or by days and campaigns, and orders are never paired with campaigns.
+    """
+    day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01")).alias("day")
+    status, counted = F.col("status"), F.col("status")
+    if known is not None:
+        communications = communications.join(
+            known.select(F.col("id").alias("customer_id"), F.lit(True).alias("known")),
+            "customer_id", "left")
+        counted = F.when(F.col("known"), status)
+    totals = ["messages", *REACHED]
+    sent = communications.groupBy("campaign_id", "customer_id").agg(
+        F.count(counted).alias("messages") if known is not None
+        else F.count("*").alias("messages"),
+        *[count_in(counted, reached).alias(stage) for stage, reached in REACHED.items()],
+        F.max(F.coalesce(status == "converted", F.lit(False))
+              & F.col("customer_id").isNotNull()).alias("earns"))
+    starts = campaigns.select(F.col("id").alias("campaign_id"), "created_at")
+    sent = sent.join(starts, "campaign_id").select("*", day)
+    placed = (orders.where(F.col("customer_id").isNotNull())
+              .where(F.col("created_at") >= starts.agg(F.min("created_at")).scalar())
+              .select("customer_id", "created_at", "amount", day))
+    rows = sent.unionByName(placed, allowMissingColumns=True)
+    within = Window.partitionBy("customer_id", "day").orderBy(F.desc("created_at"))
+    so_far = within.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"same_day": F.sum("amount").over(so_far),
+                             "ends_day": F.lead(F.lit(1)).over(within).isNull()})
+    rows = (rows.where(F.col("campaign_id").isNotNull() | F.col("ends_day"))
+            .withColumn("whole_day", F.when(F.col("ends_day"), F.col("same_day"))))
+    later = (Window.partitionBy("customer_id").orderBy(F.desc("day"))
+             .rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("later", F.sum("whole_day").over(later))
+    earned = F.when(F.col("earns"), F.coalesce("later", F.lit(0)) + F.coalesce(
+        "same_day", F.lit(0)))
+    return (rows.where(F.col("campaign_id").isNotNull()).groupBy("campaign_id")
+            .agg(*[F.sum(c).alias(c) for c in totals], F.sum(earned).alias("revenue")))
+
+
+def _with_facts(campaigns: DataFrame, facts: DataFrame) -> DataFrame:
+    """Campaigns (as ``campaign_id``) with counts and revenue, 0 where there are none."""
+    return _joined_counts(campaigns, facts).withColumn(
+        "total_revenue_attributed", F.coalesce("revenue", F.lit(0)).cast("decimal(38,2)")
+        .cast("double"))
+
+
 def attributed_revenue(campaigns: DataFrame, communications: DataFrame,
                        orders: DataFrame) -> DataFrame:
-    """Revenue per campaign: orders its converted customers placed since it was created.
-
-    An order counts once per campaign and may count for several campaigns. Orders are summed
-    per customer and day before the shuffle; a running sum over a customer's days, newest
-    first, gives the revenue of the days after a campaign's start. The rest of the starting
-    day comes from a running sum within that day, for which only orders on days with starts
-    are read. So a window is bounded by days and campaigns, or by one customer's day, and
-    orders are never paired with campaigns.
-    """
-    day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01"))
-    starts = campaigns.select(F.col("id").alias("campaign_id"), "created_at", day.alias("day"))
-    converted = (communications.where(F.col("status") == "converted")
-                 .select("campaign_id", "customer_id").distinct().join(starts, "campaign_id"))
-    earliest = starts.agg(F.min("created_at")).scalar()
-    placed = (orders.where(F.col("created_at") >= earliest)
-              .select("customer_id", "created_at", "amount", day.alias("day")))
-
-    def since(sums: DataFrame, window) -> DataFrame:
-        return (sums.unionByName(converted.drop(*set(converted.columns) - {
-                    "campaign_id", *sums.columns}), allowMissingColumns=True)
-                .withColumn("revenue", F.sum("amount").over(window))
-                .where(F.col("campaign_id").isNotNull()).select("campaign_id", "revenue"))
-
-    by_day = placed.groupBy("customer_id", "day").agg(F.sum("amount").alias("amount"))
-    later = since(by_day, Window.partitionBy("customer_id").orderBy(F.desc("day"))
-                  .rangeBetween(Window.unboundedPreceding, -1))
-    by_moment = (placed.join(starts.select("day").distinct(), "day", "left_semi")
-                 .groupBy("customer_id", "day", "created_at")
-                 .agg(F.sum("amount").alias("amount")))
-    same_day = since(by_moment, Window.partitionBy("customer_id", "day")
-                     .orderBy(F.desc("created_at"))
-                     .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    earned = (later.unionByName(same_day).groupBy("campaign_id")
-              .agg(F.sum("revenue").alias("revenue")))
-    return (starts.select("campaign_id").join(earned, "campaign_id", "left")
-            .select("campaign_id", F.coalesce("revenue", F.lit(0)).cast("decimal(38,2)")
-                    .cast("double").alias("total_revenue_attributed")))
+    """Revenue per campaign, see ``campaign_facts``."""
+    heads = campaigns.select("id", "created_at")
+    return _with_facts(heads, campaign_facts(heads, communications, orders)).select(
+        "campaign_id", "total_revenue_attributed")
 
 
 def campaign_performance(campaigns: DataFrame, communications: DataFrame,
                          orders: DataFrame) -> DataFrame:
     """Funnel counts, rates and revenue per campaign; clicks are rated against reads."""
     c = F.col
-    return (_with_counts(campaigns, communications)
-            .join(attributed_revenue(campaigns, communications, orders), "campaign_id")
+    return (_with_facts(campaigns, campaign_facts(campaigns, communications, orders))
             .select("campaign_id", "name", "status", c("total_sent").alias("total_recipients"),
                     "sent", "delivered", "failed", "opened", "read", "clicked", "converted",
                     percent(c("delivered"), c("sent")).alias("delivery_rate"),
@@ -164,12 +186,10 @@ def campaign_performance(campaigns: DataFrame, communications: DataFrame,
 def campaign_stats(campaigns: DataFrame, communications: DataFrame, customers: DataFrame,
                    orders: DataFrame) -> DataFrame:
     """The live view: messages of known customers only; clicks are rated against opens."""
-    known = customers.select(F.col("id").alias("customer_id"))
-    of_known = communications.join(known, "customer_id", "left_semi")
     c = F.col
     sent = F.when(c("stored") > 0, c("stored")).otherwise(c("messages"))
-    return (_with_counts(campaigns.withColumnRenamed("total_sent", "stored"), of_known)
-            .join(attributed_revenue(campaigns, communications, orders), "campaign_id")
+    facts = campaign_facts(campaigns, communications, orders, customers)
+    return (_with_facts(campaigns.withColumnRenamed("total_sent", "stored"), facts)
             .withColumn("total_sent", sent)
             .select("campaign_id", "name", "status", "channel", "sent_at", "total_sent",
                     c("delivered").alias("total_delivered"), c("opened").alias("total_opened"),

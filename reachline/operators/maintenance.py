@@ -28,64 +28,95 @@ def purge_unfinished(campaigns: DataFrame,
     return delete_campaigns(campaigns, communications, unfinished)
 
 
-def _violation(rows: DataFrame, table: str, check: str, key: Column) -> DataFrame:
-    return rows.select(F.lit(table).alias("table_name"), F.lit(check).alias("violation"),
-                       key.cast("string").alias("row_key"))
+FAILED, REPEATABLE, CHILD, PARENT = range(4)
+"""What a key of the tagged union is: a row that fails a check, a value of a unique column, a
+reference, or the row it refers to."""
 
 
-def failed_checks(rows: DataFrame, table: str, checks: dict[str, Column],
-                  key: str = "id") -> DataFrame:
-    """One row per row of ``rows`` and check it fails, all checks in one scan."""
-    failed = F.array_compact(F.array(*[
-        F.when(F.coalesce(failing, F.lit(False)), F.lit(name))
-        for name, failing in checks.items()]))
-    return rows.select(F.lit(table).alias("table_name"), F.explode(failed).alias("violation"),
-                       F.col(key).cast("string").alias("row_key"))
+def _tagged(rows: DataFrame, table: str, checks: dict[str, Column], unique: list[str],
+            refers: list[str], referred: list[tuple[str, str]]) -> DataFrame:
+    """(table_name, violation, key, tag): everything one scan of a table has to say.
 
+    ``refers`` are its columns that name a parent, ``referred`` the (table, column) pairs that
+    name its rows.
+    """
+    def entry(of: str, violation: str, key: Column, tag: int) -> Column:
+        return F.struct(F.lit(of).alias("table_name"), F.lit(violation).alias("violation"),
+                        key.cast("string").alias("key"), F.lit(tag).alias("tag"))
 
-def repeated_values(rows: DataFrame, table: str, column: str) -> DataFrame:
-    """The values of a unique column that occur more than once."""
-    repeated = (rows.where(F.col(column).isNotNull()).groupBy(column)
-                .agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    return _violation(repeated, table, f"{column} repeated", F.col(column))
+    def valued(of: str, violation: str, key: Column, tag: int) -> Column:
+        return F.when(key.isNotNull(), entry(of, violation, key, tag))
 
+    entries = [F.when(F.coalesce(failing, F.lit(False)),
+                      entry(table, name, F.col("id"), FAILED)) for name, failing in checks.items()]
+    entries += [valued(table, f"{c} repeated", F.col(c), REPEATABLE) for c in unique]
+    entries += [valued(table, f"{c} unknown", F.col(c), CHILD) for c in refers]
+    entries += [valued(of, f"{c} unknown", F.col("id"), PARENT) for of, c in referred]
+    return rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
 
-def missing_parents(rows: DataFrame, table: str, column: str, parents: DataFrame,
-                    parent_key: str = "id", key: str = "id") -> DataFrame:
-    """Rows that refer to a parent which does not exist."""
-    known = parents.select(F.col(parent_key).alias(column))
-    orphans = (rows.where(F.col(column).isNotNull()).select(key, column)
-               .join(known, column, "left_anti"))
-    return _violation(orphans, table, f"{column} unknown", F.col(key))
+
+def _references(rows: DataFrame, table: str, refers: list[str]) -> DataFrame:
+    """(table_name, violation, key, row_key): the rows behind the references of a table."""
+    return rows.select(F.explode(F.array(*[F.struct(
+        F.lit(table).alias("table_name"), F.lit(f"{c} unknown").alias("violation"),
+        F.col(c).cast("string").alias("key"), F.col("id").cast("string").alias("row_key"))
+        for c in refers])).alias("e")).select("e.*").where("key is not null")
 
 
 def constraint_violations(customers: DataFrame, orders: DataFrame, communications: DataFrame,
                           campaigns: DataFrame, segments: DataFrame) -> DataFrame:
-    """Everything the tables' constraints and the send requests forbid, in one table."""
+    """Everything the tables' constraints and the send requests forbid, in one table.
+
+    A tagged union of all tables, with parents as marker rows, is grouped once by key: unique
+    values that occur twice, references without a marker and failed checks remain. The rows
+    behind unknown references come from a second scan of the tables that have references, in
+    an inner join on the unknown keys, which Spark broadcasts while they are few; crowded keys
+    can be split. So a table is read at most twice. Keys are compared as text.
+    """
     missing = lambda c: F.col(c).isNull()
     parts = [
-        failed_checks(customers, "customers", {
+        _tagged(customers, "customers", {
             "name missing": missing("name"), "email missing": missing("email"),
-            "email malformed": ~F.rlike("email", F.lit(EMAIL))}),
-        repeated_values(customers, "customers", "email"),
-        failed_checks(orders, "orders", {
+            "email malformed": ~F.rlike("email", F.lit(EMAIL))}, ["email"], [],
+            [("orders", "customer_id"), ("communications", "customer_id")]),
+        _tagged(orders, "orders", {
             "customer_id missing": missing("customer_id"),
             "order_number missing": missing("order_number"),
-            "amount missing": missing("amount")}),
-        repeated_values(orders, "orders", "order_number"),
-        missing_parents(orders, "orders", "customer_id", customers),
-        failed_checks(campaigns, "campaigns", {
+            "amount missing": missing("amount")}, ["order_number"], ["customer_id"], []),
+        _tagged(campaigns, "campaigns", {
             f"{c} missing": filled(F.col(c).cast("string")).isNull()
-            for c in ("name", "segment_id", "channel", "message_template")}),
-        missing_parents(campaigns, "campaigns", "segment_id", segments),
-        failed_checks(communications, "communications", {
+            for c in ("name", "segment_id", "channel", "message_template")}, [],
+            ["segment_id"], [("communications", "campaign_id")]),
+        _tagged(communications, "communications", {
             "campaign_id missing": missing("campaign_id"),
             "customer_id missing": missing("customer_id"),
-            "recipient missing": filled(F.col("recipient")).isNull()}),
-        missing_parents(communications, "communications", "customer_id", customers),
-        missing_parents(communications, "communications", "campaign_id", campaigns),
+            "recipient missing": filled(F.col("recipient")).isNull()}, [],
+            ["customer_id", "campaign_id"], []),
+        _tagged(segments, "segments", {}, [], [], [("campaigns", "segment_id")]),
     ]
-    whole = parts[0]
+    union = parts[0]
     for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        union = union.unionByName(part)
+    key = ["table_name", "violation", "key"]
+    judged = union.groupBy(*key).agg(F.count("*").alias("n"), F.min("tag").alias("least"),
+                                     F.max("tag").alias("most"))
+    unknown = F.col("most") == CHILD
+    bad = judged.where((F.col("least") == FAILED) | unknown
+                       | ((F.col("least") == REPEATABLE) & (F.col("n") > 1)))
+    copies = F.when(F.col("least") == FAILED, F.col("n").cast("int")).otherwise(1)
+    bad = bad.select(*key, unknown.alias("unknown"),
+                     F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"))
+    # What needs no second scan meets one row of its own instead.
+    met = bad.select(*[F.when(F.col("unknown"), F.col(c)).otherwise("").alias(f"__{c}")
+                       for c in key], "table_name", "violation", "key", "unknown")
+    behind = _references(orders, "orders", ["customer_id"])
+    for rows, table, refers in ((communications, "communications",
+                                 ["customer_id", "campaign_id"]),
+                                (campaigns, "campaigns", ["segment_id"])):
+        behind = behind.unionByName(_references(rows, table, refers))
+    itself = customers.sparkSession.range(1).select(
+        *[F.lit("").alias(c) for c in key], F.lit(None).cast("string").alias("row_key"))
+    behind = behind.unionByName(itself).withColumnsRenamed({c: f"__{c}" for c in key})
+    return met.join(behind, [f"__{c}" for c in key]).select(
+        "table_name", "violation",
+        F.when(F.col("unknown"), F.col("row_key")).otherwise(F.col("key")).alias("row_key"))

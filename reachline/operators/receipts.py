@@ -52,7 +52,7 @@ def first_receipts(receipts: DataFrame) -> DataFrame:
         F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in others])
 
 
-def _progress() -> list[Column]:
+def progress() -> list[Column]:
     """What the status of a message depends on, as combinable aggregates."""
     kind, seq, ts = F.col("event_type"), F.col("seq"), F.col("ts")
     rank = rank_of(kind)
@@ -79,8 +79,8 @@ def _log() -> Column:
     return F.array_sort(F.collect_list(entry), by_arrival).alias("events")
 
 
-def _status() -> list[Column]:
-    """Status and send time from the aggregates of ``_progress``."""
+def status_columns() -> list[Column]:
+    """Status and send time from the aggregates of ``progress``."""
     return [
         F.when(F.col("failed") == F.col("settled"), "failed")
         .otherwise(_status_named(F.coalesce("top", F.lit(0)))).alias("status"),
@@ -92,7 +92,7 @@ def _status() -> list[Column]:
 
 def fold_receipts(receipts: DataFrame) -> DataFrame:
     """Status, send time and last receipt time of each message. Batch or stream."""
-    return receipts.groupBy(*KEYS).agg(*_progress()).select(*KEYS, *_status())
+    return receipts.groupBy(*KEYS).agg(*progress()).select(*KEYS, *status_columns())
 
 
 def event_log(receipts: DataFrame) -> DataFrame:
@@ -102,8 +102,8 @@ def event_log(receipts: DataFrame) -> DataFrame:
 
 def message_states(receipts: DataFrame) -> DataFrame:
     """Status columns together with the event log, from one grouping of accepted receipts."""
-    return (first_receipts(receipts).groupBy(*KEYS).agg(*_progress(), _log())
-            .select(*KEYS, *_status(), "events"))
+    return (first_receipts(receipts).groupBy(*KEYS).agg(*progress(), _log())
+            .select(*KEYS, *status_columns(), "events"))
 
 
 def stage_event_counts(receipts: DataFrame) -> DataFrame:
@@ -111,46 +111,71 @@ def stage_event_counts(receipts: DataFrame) -> DataFrame:
     return receipts.groupBy("event_type").agg(F.count("*").alias("receipts"))
 
 
-def stored_receipts(communications: DataFrame) -> DataFrame:
-    """The receipts already kept in message rows."""
-    return (communications.select(*KEYS, F.explode("events").alias("e"))
-            .select("e.seq", *KEYS, "e.event_type", "e.ts", "e.metadata"))
-
-
 def message_id(campaign_id: Column, customer_id: Column) -> Column:
     """The same id on every run, so that a repeated dispatch or replay adds no rows."""
     return F.concat_ws("-", campaign_id.cast("string"), customer_id.cast("string"))
 
 
+def _merged_log(stored: Column, new: Column) -> Column:
+    """The stored log and, behind it, the new receipts of types it does not have."""
+    kinds = F.transform(stored, lambda e: e.event_type)
+    return F.concat(stored, F.filter(new, lambda e: ~F.coalesce(
+        F.array_contains(kinds, e.event_type), F.lit(False))))
+
+
+def _of_log(events: Column) -> dict[str, Column]:
+    """Status, send time and last change of a message from its log, as ``status_columns``."""
+    rank = lambda e: rank_of(e.event_type)
+    first = lambda found: F.get(found, F.lit(0))
+    failed = lambda e: F.coalesce(e.event_type == "failed", F.lit(False))
+    known = lambda e: F.coalesce(
+        e.event_type.isin(list(STATUS_RANK)), F.lit(False))
+    settled = first(F.filter(events, lambda e: rank(e) >= 2))
+    moved = first(F.filter(events, lambda e: rank(e) >= 1))
+    top = F.array_max(F.transform(F.filter(events, lambda e: ~failed(e)), rank))
+    odd = first(F.filter(events, lambda e: ~known(e)))
+    return {
+        "status": F.when(settled.event_type == "failed", "failed").otherwise(
+            _status_named(F.coalesce(top, F.lit(0)))),
+        "sent_at": F.when(moved.event_type.isin("sent", "delivered"), moved.ts),
+        "updated_at": F.greatest(odd.ts, F.array_max(F.transform(
+            F.filter(events, known), lambda e: e.ts)))}
+
+
+def _upserted(communications: DataFrame, receipts: DataFrame, how: str, new_id) -> DataFrame:
+    """Message rows joined to the logs of new receipts; rows without any stay as they are."""
+    columns = ["seq", *KEYS, "event_type", "ts", "metadata"]
+    new = (first_receipts(receipts.select(columns)).groupBy(*KEYS).agg(_log())
+           .withColumnRenamed("events", "new_events"))
+    named = F.col("new_events").isNotNull()
+    merged = (communications.join(new, KEYS, how)
+              .withColumn("stored", F.coalesce("events", F.array().cast(
+                  communications.schema["events"].dataType)))
+              .withColumn("log", F.when(named, _merged_log(F.col("stored"), F.col("new_events")))
+                          .otherwise(F.col("stored"))))
+    changed = {c: F.when(named, value).otherwise(F.col(c))
+               for c, value in _of_log(F.col("log")).items()}
+    return merged.select(
+        F.coalesce("id", new_id(*map(F.col, KEYS))).alias("id"), *KEYS, "recipient",
+        F.when(named, F.coalesce("channel", F.lit(UNKNOWN_CHANNEL)))
+        .otherwise(F.col("channel")).alias("channel"),
+        changed["status"].alias("status"), F.col("log").alias("events"),
+        changed["sent_at"].alias("sent_at"), changed["updated_at"].alias("updated_at"))
+
+
 def changed_communications(communications: DataFrame, receipts: DataFrame,
                            new_id=message_id) -> DataFrame:
     """The message rows that new receipts name, as they are afterwards.
 
-    They are folded again from their stored events and the new receipts together. A receipt
-    without a row makes one with an unknown channel and an id from ``new_id``. Stored arrival
-    numbers must be lower than new ones.
+    The first new receipt of each type goes behind the stored log, unless the log has that type,
+    and the status follows from the log. A receipt without a row makes one with an unknown
+    channel and an id from ``new_id``. Stored arrival numbers must be lower than new ones.
     """
-    named = receipts.select(*KEYS).distinct()
-    touched = communications.join(named, KEYS, "left_semi")
-    columns = ["seq", *KEYS, "event_type", "ts", "metadata"]
-    states = message_states(stored_receipts(touched).unionByName(receipts.select(columns)))
-    kept = touched.select(*KEYS, "id", "recipient", "channel")
-    return states.join(kept, KEYS, "left").select(
-        F.coalesce("id", new_id(*map(F.col, KEYS))).alias("id"), *KEYS, "recipient",
-        F.coalesce("channel", F.lit(UNKNOWN_CHANNEL)).alias("channel"),
-        "status", "events", "sent_at", "updated_at")
+    return _upserted(communications, receipts, "right", new_id)
 
 
 def upsert_communications(communications: DataFrame, receipts: DataFrame,
                           new_id=message_id) -> DataFrame:
-    """The whole message table after new receipts.
-
-    Rows the receipts do not name pass through. While the receipts are few next to the
-    table, their keys are broadcast and the table is not shuffled.
-    """
-    named = receipts.select(*KEYS).distinct()
-    changed = changed_communications(communications, receipts, new_id)
-    others = communications.join(named, KEYS, "left_anti").select(
-        F.coalesce("id", new_id(*map(F.col, KEYS))).alias("id"),
-        *[c for c in changed.columns if c != "id"])
-    return changed.unionByName(others)
+    """The whole message table after new receipts: one full outer join of the table with the
+    grouped receipts, each read once. Rows the receipts do not name pass through."""
+    return _upserted(communications, receipts, "full", new_id)

@@ -8,8 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachline.functions import days_before, whole_days_since
-from reachline.functions.contact import filled
+from reachline.functions import as_timestamp, whole_days_since
 from reachline.functions.dates import AsOf
 
 AMOUNTS = ["min_spent", "max_spent"]
@@ -19,49 +18,51 @@ LISTS = ["cities", "tags"]
 
 # Days before the as-of moment that stay within the years 1 to 9999 from the year 2000 on.
 EARLIEST_DAY, LATEST_DAY = 730_000, -2_800_000
-WIDEST = 9.0e18
+WIDEST = 9_000_000_000_000_000_000
 
 
-def _parsed(document: Column) -> Column:
-    """A rule document as a typed struct. The document is bound to a lambda variable, so it is
-    parsed once and plans stay small."""
-    whole = F.try_parse_json(F.coalesce(document, F.lit("{}")))
-    return F.get(F.transform(F.array(whole), _typed), F.lit(0))
-
+def _typed_sql() -> str:
+    """SQL for the typed struct of a parsed rule ``w``; ``valid`` tells whether all of its fields
+    can be read. One text is parsed in one step, where hundreds of column calls take seconds."""
+    part = lambda key, kind: f"try_variant_get(w, '$.{key}', '{kind}')"
+    kind_of = lambda key: f"schema_of_variant({part(key, 'variant')})"
+    text = lambda key: f"btrim({part(key, 'string')})"
 
-def _typed(whole: Column) -> Column:
-    """The fields of a parsed rule; ``valid`` tells whether all of them can be read."""
-    part = lambda key, kind: F.try_variant_get(whole, f"$.{key}", kind)
-    kind_of = lambda key: F.schema_of_variant(part(key, "variant"))
-    given = lambda key: F.coalesce(kind_of(key), F.lit("VOID")) != "VOID"
+    def amount(key: str) -> str:
+        return (f"coalesce(try_cast({text(key)} AS double), "
+                f"CAST({part(key, 'boolean')} AS double))")
 
-    def amount(key: str) -> Column:
-        return F.coalesce(F.btrim(part(key, "string")).try_cast("double"),
-                          part(key, "boolean").cast("double"))
-
-    def number(key: str) -> Column:
+    def number(key: str) -> str:
         """Truncated as a number; as text it must be a whole number."""
         # least and greatest pass over nulls
-        value = F.when(amount(key).isNotNull(), F.least(F.greatest(
-            amount(key), F.lit(-WIDEST)), F.lit(WIDEST)).cast("bigint"))
-        digits = F.regexp_like(F.btrim(part(key, "string")), F.lit("^[+-]?[0-9]+$"))
-        return F.when((kind_of(key) != "STRING") | digits, value)
+        return (f"CASE WHEN ({kind_of(key)} <> 'STRING' OR {text(key)} RLIKE '^[+-]?[0-9]+$') "
+                f"AND {amount(key)} IS NOT NULL THEN "
+                f"CAST(least(greatest({amount(key)}, -{WIDEST}D), {WIDEST}D) AS bigint) END")
 
-    def listed(key: str) -> Column:
+    def listed(key: str) -> str:
         items = part(key, "array<string>")
-        return F.when(F.size(items) > 0, F.array_compact(items))
+        return f"CASE WHEN size({items}) > 0 THEN array_compact({items}) END"
 
     read = {**{key: amount(key) for key in AMOUNTS}, **{k: number(k) for k in WHOLE_NUMBERS}}
-    valid = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT"))
-                       | (F.schema_of_variant(whole) == "VOID"), F.lit(False))
+    fields = {**read, **{key: listed(key) for key in LISTS},
+              "gender": f"nullif({part('gender', 'string')}, '')"}
+    sound = ["coalesce(startswith(schema_of_variant(w), 'OBJECT') "
+             "OR schema_of_variant(w) = 'VOID', false)"]
     for key, value in read.items():
-        sound = value.isNotNull()
-        if key in DAYS:
-            sound = sound & value.between(LATEST_DAY, EARLIEST_DAY)
-        valid = valid & (~given(key) | sound)
-    return F.struct(*[value.alias(key) for key, value in read.items()],
-                    *[listed(key).alias(key) for key in LISTS],
-                    filled(part("gender", "string")).alias("gender"), valid.alias("valid"))
+        fits = (f"coalesce(r.{key} BETWEEN {LATEST_DAY} AND {EARLIEST_DAY}, false)"
+                if key in DAYS else f"r.{key} IS NOT NULL")
+        sound.append(f"(coalesce({kind_of(key)}, 'VOID') = 'VOID' OR {fits})")
+    struct = ", ".join(f"'{key}', {value}" for key, value in fields.items())
+    again = ", ".join(f"'{key}', r.{key}" for key in fields)
+    return (f"get(transform(array(named_struct({struct})), r -> "
+            f"named_struct({again}, 'valid', {' AND '.join(sound)})), 0)")
+
+
+def _parsed(document: str) -> Column:
+    """A rule document as a typed struct. The document is bound to a lambda variable, so it is
+    parsed once and plans stay small."""
+    return F.expr(f"get(transform(array(try_parse_json(coalesce({document}, '{{}}'))), "
+                  f"w -> {_typed_sql()}), 0)")
 
 
 def parse_rules(segments: DataFrame, document: str = "filter_logic") -> DataFrame:
@@ -73,33 +74,30 @@ def parse_rules(segments: DataFrame, document: str = "filter_logic") -> DataFram
     as text they must be whole. Unknown keys, empty lists, lists given as something else
     and empty genders do not count; nulls within a list equal nothing.
     """
-    return segments.withColumn("rule", _parsed(F.col(document)))
+    return segments.withColumn("rule", _parsed(document))
 
 
-def _matches(rule, as_of: AsOf) -> Column:
-    """All conditions of a rule; ``rule(key)`` is a column."""
-    spent, orders, age = F.col("total_spent"), F.col("total_orders"), F.col("age")
-    last = F.col("last_order_date")
-    before = lambda key: days_before(as_of, F.when(
-        rule(key).between(LATEST_DAY, EARLIEST_DAY), rule(key)))
+def _matches() -> str:
+    """SQL for all conditions of the struct ``rule`` on a customer, at the moment ``__as_of``."""
+    before = lambda key: (
+        f"__as_of - make_dt_interval(CAST(CASE WHEN rule.{key} BETWEEN {LATEST_DAY} AND "
+        f"{EARLIEST_DAY} THEN rule.{key} END AS int))")
     conditions = {
-        "min_spent": spent >= rule("min_spent"),
-        "max_spent": spent <= rule("max_spent"),
-        "min_orders": orders >= rule("min_orders"),
-        "max_orders": orders <= rule("max_orders"),
-        "days_since_last_order": last <= before("days_since_last_order"),
-        "days_since_last_order_min": last <= before("days_since_last_order_min"),
-        "days_since_last_order_max": last >= before("days_since_last_order_max"),
-        "cities": F.array_contains(rule("cities"), F.col("city")),
-        "gender": F.col("gender") == rule("gender"),
-        "min_age": age >= rule("min_age"),
-        "max_age": age <= rule("max_age"),
-        "tags": F.arrays_overlap("tags", rule("tags")),
+        "min_spent": "total_spent >= rule.min_spent",
+        "max_spent": "total_spent <= rule.max_spent",
+        "min_orders": "total_orders >= rule.min_orders",
+        "max_orders": "total_orders <= rule.max_orders",
+        "days_since_last_order": f"last_order_date <= {before('days_since_last_order')}",
+        "days_since_last_order_min": f"last_order_date <= {before('days_since_last_order_min')}",
+        "days_since_last_order_max": f"last_order_date >= {before('days_since_last_order_max')}",
+        "cities": "array_contains(rule.cities, city)",
+        "gender": "gender = rule.gender",
+        "min_age": "age >= rule.min_age",
+        "max_age": "age <= rule.max_age",
+        "tags": "arrays_overlap(tags, rule.tags)",
     }
-    matched = rule("valid")
-    for key, condition in conditions.items():
-        matched = matched & (rule(key).isNull() | condition)
-    return matched
+    return " AND ".join(["rule.valid", *[f"(rule.{key} IS NULL OR {condition})"
+                                         for key, condition in conditions.items()]])
 
 
 def filter_segment(customers: DataFrame, rule: dict | str | None, as_of: AsOf) -> DataFrame:
@@ -115,7 +113,10 @@ def filter_segment(customers: DataFrame, rule: dict | str | None, as_of: AsOf) -
     literal = lambda key: (
         F.array(*map(F.lit, values[key])) if isinstance(values[key], list)
         else F.lit(values[key])).cast(kinds[key].dataType)
-    return customers.where(F.col("is_active") & _matches(literal, as_of))
+    held = customers.withColumns({
+        "rule": F.struct(*[literal(key).alias(key) for key in kinds.names]),
+        "__as_of": as_timestamp(as_of)})
+    return held.where(F.expr(f"is_active AND {_matches()}")).select(*customers.columns)
 
 
 def matched_columns(customers: DataFrame) -> DataFrame:
@@ -203,6 +204,7 @@ def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
     looked_up = (customers.where("is_active").select(
         *[F.col(c).alias("customer_id") if c == "id" else F.col(c)
           for c in dict.fromkeys(used + keep)],
+        as_timestamp(as_of).alias("__as_of"),
         F.posexplode(F.concat(F.array(*single), tags)).alias("place", "key"))
         .where(F.col("key").isNotNull()))
     field = lambda key: F.col(f"rule.{key}")
@@ -211,7 +213,7 @@ def match_rules(customers: DataFrame, rules: DataFrame, as_of: AsOf,
     once = (F.when(field("tags").isNull(), F.col("place") < len(single))
             .otherwise(F.col("place") == len(single) - 1
                        + F.array_position("tags", first_wanted)))
-    matched = filed.join(looked_up, "key").where(_matches(field, as_of)).where(once)
+    matched = filed.join(looked_up, "key").where(F.expr(_matches())).where(once)
     return matched.select(*[c for c in rules.columns if c != "rule"],
                           *["customer_id" if c == "id" else c for c in keep])
 
@@ -272,6 +274,9 @@ def segment_list(segments: DataFrame) -> DataFrame:
     return segments.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+UNREADABLE_CHIP = "No customers: unreadable rule"
+
+
 def _shown_value(text: Column) -> Column:
     """A JSON value the way a page prints it: lists joined by commas, plain numbers."""
     number = text.try_cast("double")
@@ -282,7 +287,8 @@ def _shown_value(text: Column) -> Column:
 
 
 def rule_chips(segments: DataFrame, first: int = 3, document: str = "filter_logic") -> DataFrame:
-    """The first conditions of each rule in short, in document order."""
+    """The first conditions of each rule in short, in document order; a rule that cannot be read
+    means nobody and says so."""
     entries = F.map_entries(F.from_json(document, "map<string,string>"))
     given = F.filter(entries, lambda e: e.value.isNotNull())
     chips = F.transform(
@@ -290,5 +296,6 @@ def rule_chips(segments: DataFrame, first: int = 3, document: str = "filter_logi
         lambda e: F.concat(F.replace(e.key, F.lit("_"), F.lit(" ")), F.lit(": "),
                            _shown_value(e.value)))
     nothing = F.coalesce(F.size(entries) <= 0, F.lit(True))
-    return segments.withColumn(
-        "chips", F.when(nothing, F.array(F.lit("All customers"))).otherwise(chips))
+    return parse_rules(segments, document).withColumn(
+        "chips", F.when(~F.col("rule.valid"), F.array(F.lit(UNREADABLE_CHIP)))
+        .when(nothing, F.array(F.lit("All customers"))).otherwise(chips)).drop("rule")

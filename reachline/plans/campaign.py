@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reachline.functions import stamp
 from reachline.operators import campaigns as ops
 from reachline.operators import maintenance, receipts
+from reachline.operators.completion import completion_moments
 from reachline.plans.checks import over_tables, rate, stamped
 from reachline.sources import retail
 from reachline.sources.retail import AS_OF
@@ -92,6 +93,16 @@ def campaign_completion(spark: SparkSession, folder: str) -> DataFrame:
     return checked.withColumn("completed_at", stamp(F.col("completed_at")))
 
 
+def campaign_completed_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The receipt that completed each campaign, before strangers' receipts came."""
+    received = retail.receipts_from(retail.with_late_strangers(
+        retail.table(spark, folder, "events")))
+    known = retail.receipts(spark, folder)
+    moments = completion_moments(retail.campaigns(spark, folder),
+                                 retail.queued_communications(known), received)
+    return moments.withColumn("completed_at", stamp(F.col("completed_at")))
+
+
 def campaign_communications(spark: SparkSession, folder: str) -> DataFrame:
     people = retail.customers(spark, folder)
     received = retail.with_metadata(retail.receipts(spark, folder))
@@ -151,6 +162,7 @@ QUERIES = {
     "campaign_funnel": campaign_funnel,
     "campaign_list": campaign_list,
     "campaign_completion": campaign_completion,
+    "campaign_completed_at": campaign_completed_at,
     "campaign_communications": campaign_communications,
     "communications_page": communications_page,
     "dashboard_stats": dashboard_stats,
@@ -191,6 +203,43 @@ _DASHBOARD = """
     (SELECT round(CAST(sum(amount) AS DOUBLE) / count(amount), 2) FROM crm_orders)
       AS avg_order_value"""
 
+# Every known type of receipt ends the waiting of its message; strangers come after all others.
+MOMENTS_SQL = f"""
+  , late AS (
+    SELECT seq, campaign_id, customer_id, ts FROM receipts
+    UNION ALL
+    SELECT (SELECT coalesce(max(event_id), 0) FROM events) + 1 + n, n, -1 - n,
+      TIMESTAMP '2000-12-01 09:00:00' + to_days(CAST(n AS INTEGER))
+    FROM (SELECT unnest(range(0, 30)) AS n)),
+  arrivals AS (
+    SELECT l.campaign_id, min(l.seq) AS seq, arg_min(l.ts, l.seq) AS ts,
+      CASE WHEN any_value(a.customer_id) IS NULL THEN 1 ELSE 0 END AS messages,
+      CASE WHEN any_value(a.customer_id) IS NULL THEN 0 ELSE -1 END AS queued
+    FROM late l LEFT JOIN audience a
+      ON a.campaign_id = l.campaign_id AND a.customer_id = l.customer_id
+    GROUP BY l.campaign_id, l.customer_id),
+  running AS (
+    SELECT a.campaign_id, a.seq, a.ts, c.total_sent,
+      c.total_sent + sum(a.messages) OVER w AS messages,
+      c.total_sent + sum(a.queued) OVER w AS queued
+    FROM arrivals a JOIN campaigns c ON c.id = a.campaign_id
+    WINDOW w AS (PARTITION BY a.campaign_id ORDER BY a.seq)),
+  firsts_done AS (
+    SELECT campaign_id, arg_min(ts, seq) AS ts FROM running
+    WHERE queued = 0 AND messages = total_sent AND total_sent > 0 GROUP BY campaign_id),
+  after_all AS (
+    SELECT campaign_id, CAST(sum(messages) AS BIGINT) AS messages,
+      CAST(sum(queued) AS BIGINT) AS queued FROM arrivals GROUP BY campaign_id),
+  moments AS (
+    SELECT c.id AS campaign_id, c.status AS status_before, c.total_sent,
+      c.total_sent + coalesce(z.messages, 0) AS messages,
+      c.total_sent + coalesce(z.queued, 0) AS queued,
+      CASE WHEN c.status IN ('sending','running') AND d.ts IS NOT NULL THEN 'completed'
+        ELSE c.status END AS status,
+      CASE WHEN c.status IN ('sending','running') THEN {stamped('d.ts')} END AS completed_at
+    FROM campaigns c LEFT JOIN after_all z ON z.campaign_id = c.id
+    LEFT JOIN firsts_done d ON d.campaign_id = c.id)"""
+
 _LEFT = "LEFT JOIN (SELECT campaign_id, count(*) AS n FROM comms GROUP BY campaign_id) m"
 
 ORACLES = {name: over_tables(sql) for name, sql in {
@@ -252,6 +301,7 @@ ORACLES = {name: over_tables(sql) for name, sql in {
       SELECT id AS campaign_id, status AS status_before, total_sent, messages, queued,
         CASE WHEN {_DONE} THEN 'completed' ELSE status END AS status,
         CASE WHEN {_DONE} THEN {_NOW} END AS completed_at FROM counted""",
+    "campaign_completed_at": MOMENTS_SQL + " SELECT * FROM moments",
     "campaign_communications": f"""
       , times AS (
         SELECT campaign_id, customer_id,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from reachline.functions import stamp
 from reachline.operators import conversions, receipts as ops
 from reachline.plans.checks import over_tables, stamped
-from reachline.sources import retail
+from reachline.session import new_work_path
+from reachline.sources import retail, tables
 from reachline.sources.receipts import (parse_provider_receipts, parse_receipts,
                                         resolve_provider_receipts)
 from reachline.sources.schemas import EVENTS
@@ -67,15 +68,20 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
     return ops.event_log(rows).select(*KEYS, flat_log().alias("events"))
 
 
+def provider_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_provider_receipts(_provider_bodies(spark, folder), key_type="bigint")
+
+
 def receipts_by_external_id(spark: SparkSession, folder: str) -> DataFrame:
     """Provider receipts folded after finding their message."""
-    parsed = parse_provider_receipts(_provider_bodies(spark, folder), key_type="bigint")
+    parsed = provider_receipts(spark, folder)
     queued = retail.queued_communications(retail.receipts(spark, folder))
     return _flat_fold(ops.fold_receipts(resolve_provider_receipts(parsed, queued)))
 
 
 def communications_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages holding each day's morning receipts, after the afternoon's arrive."""
+    """Messages holding each day's morning receipts, after the afternoon's arrive. The first
+    upsert is stored as a version, which the second one reads."""
     received = retail.with_metadata(retail.receipts(spark, folder))
     morning = received.where(F.hour("ts") < 12)
     afternoon = received.where(F.hour("ts") >= 12)
@@ -83,8 +89,9 @@ def communications_upsert(spark: SparkSession, folder: str) -> DataFrame:
               .withColumn("recipient", F.lit(None).cast("string"))
               .withColumn("events", F.array().cast(EVENTS)))
     key = lambda campaign, customer: campaign * retail.ID_STEP + customer
-    stored = ops.upsert_communications(queued, morning, key)
-    current = ops.upsert_communications(stored, afternoon, key)
+    root = new_work_path(spark, "messages")
+    tables.write_version(ops.upsert_communications(queued, morning, key), root, 1)
+    current = ops.upsert_communications(tables.read_latest(spark, root), afternoon, key)
     return current.select("id", *KEYS, "channel", "status", flat_log().alias("events"),
                           stamp(F.col("sent_at")).alias("sent_at"),
                           stamp(F.col("updated_at")).alias("updated_at"))
@@ -95,8 +102,11 @@ def stage_event_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversion_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = conversions.conversion_orders(retail.receipts(spark, folder),
-                                           retail.customers(spark, folder))
+    return flat_orders(conversions.conversion_orders(retail.receipts(spark, folder),
+                                                     retail.customers(spark, folder)))
+
+
+def flat_orders(orders: DataFrame) -> DataFrame:
     item = F.col("items")[0]
     return orders.select(
         "id", *KEYS, "order_number", F.col("amount").cast("double").alias("amount"),

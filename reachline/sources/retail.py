@@ -103,7 +103,38 @@ def receipts(spark: SparkSession, folder: str) -> DataFrame:
     return receipts_from(table(spark, folder, "events"))
 
 
-def event_stream(spark: SparkSession, folder: str, path: str, parts: int = 3) -> DataFrame:
+def with_late_strangers(events: DataFrame) -> DataFrame:
+    """The events and, after all of them, one view per sent campaign by someone it was not sent
+    to: a message that comes once a campaign is over."""
+    last = events.agg(F.coalesce(F.max("event_id"), F.lit(0))).scalar()
+    columns = {"event_id": last + 1 + F.col("id"), "user_id": -1 - F.col("id"),
+               "ts": as_timestamp("2024-12-01 09:00:00") + F.make_dt_interval(
+                   F.col("id").cast("int")),
+               "event_type": F.lit("view")}
+    late = events.sparkSession.range(SENT_CAMPAIGNS).select(*[
+        columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    return events.unionByName(late)
+
+
+def write_in_parts(rows: DataFrame, number: Column, parts: int, path: str) -> int:
+    """Writes rows to ``path`` in ``parts`` runs by a number from 0 to 1; files are read in
+    that order. Returns the files of a run on average."""
+    part = F.least(F.floor(number * parts), F.lit(parts - 1))
+    for n in range(parts):
+        rows.where(F.coalesce(part, F.lit(parts - 1)) == n).write.mode("append").parquet(path)
+    files = rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles()
+    return -(-len(files) // parts)
+
+
+def table_stream(rows: DataFrame, number: Column, path: str, parts: int = 3) -> DataFrame:
+    """Any table as a stream of about ``parts`` micro-batches, in order of ``number``."""
+    per_batch = write_in_parts(rows, number, parts, path)
+    return (rows.sparkSession.readStream.schema(rows.schema)
+            .option("maxFilesPerTrigger", max(per_batch, 1)).parquet(path))
+
+
+def event_stream(spark: SparkSession, folder: str, path: str, parts: int = 3,
+                 late_strangers: bool = False) -> DataFrame:
     """The events table as a stream of about ``parts`` micro-batches, written below ``path`` in
     order of arrival; events without event_id come last.
 
@@ -111,6 +142,8 @@ def event_stream(spark: SparkSession, folder: str, path: str, parts: int = 3) ->
     a part has on average.
     """
     events = table(spark, folder, "events")
+    if late_strangers:
+        events = with_late_strangers(events)
     last, unnumbered = events.agg(F.max("event_id"),
                                   F.count_if(F.col("event_id").isNull())).first()
     part = F.floor(F.col("event_id") * parts / ((last or 0) + 1))

@@ -52,16 +52,35 @@ def write_version(table: DataFrame, root: str, version: int) -> None:
     table.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
-def complete_folders(spark: SparkSession, root: str, name: str) -> list[int]:
-    """The numbers n of the folders ``name=n`` below ``root`` that have a success marker."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    folder = path(root)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [status.getPath() for status in files.listStatus(folder)]
-    return sorted(int(p.getName().partition("=")[2]) for p in found
-                  if p.getName().startswith(f"{name}=") and files.exists(path(p, "_SUCCESS")))
+def _folders(spark: SparkSession, root: str, name: str, above: int | None,
+             below: int | None) -> tuple[object, list[tuple[int, object]]]:
+    """The file system and the folders ``name=n`` below ``root`` with above < n < below: one
+    listing. Spark's own file system classes are called, so this needs a classic session."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return files, []
+    found = [status.getPath() for status in files.listStatus(path)]
+    numbered = [(int(p.getName().partition("=")[2]), p) for p in found
+                if p.getName().startswith(f"{name}=")]
+    return files, sorted((n, p) for n, p in numbered
+                         if (above is None or n > above) and (below is None or n < below))
+
+
+def complete_folders(spark: SparkSession, root: str, name: str, above: int | None = None,
+                     below: int | None = None) -> list[int]:
+    """The numbers n of the folders ``name=n`` below ``root`` that have a success marker, in
+    order; only those between the bounds are probed."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files, found = _folders(spark, root, name, above, below)
+    return [n for n, p in found if files.exists(marker(p, "_SUCCESS"))]
+
+
+def remove_folders(spark: SparkSession, root: str, name: str, below: int) -> None:
+    """Removes the folders ``name=n`` with smaller numbers."""
+    files, found = _folders(spark, root, name, None, below)
+    for _, path in found:
+        files.delete(path, True)
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:

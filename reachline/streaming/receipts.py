@@ -13,11 +13,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from reachline.fixed import REACHED
 from reachline.functions import count_in
-from reachline.functions.dates import AsOf
-from reachline.operators.campaigns import completion_of, stage_counts
+from reachline.operators.campaigns import stage_counts
+from reachline.operators.completion import (counter_changes, first_completions, first_moves,
+                                            with_completion)
 from reachline.operators.conversions import conversion_orders
-from reachline.operators.receipts import (KEYS, changed_communications, fold_receipts,
-                                          stage_event_counts)
+from reachline.operators.receipts import (KEYS, changed_communications, progress,
+                                          stage_event_counts, status_columns)
 from reachline.streaming import changes
 
 MESSAGE_COLUMNS = ["id", *KEYS, "recipient", "channel", "status", "events", "sent_at",
@@ -29,13 +30,14 @@ STATUS_COLUMNS = [*KEYS, "status", "sent_at", "updated_at"]
 BUCKETS = 64
 
 
-def _bucket(*keys: str):
+def bucket(*keys: str):
+    """The folder of a key."""
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
 def _store(rows: DataFrame, columns: list[str], keys: list[str], path: str,
            batch_id: int) -> None:
-    changes.write_batch(rows.select(*columns, _bucket(*keys).alias("bucket"))
+    changes.write_batch(rows.select(*columns, bucket(*keys).alias("bucket"))
                         .hint("rebalance", "bucket"), path, batch_id, ["bucket"])
 
 
@@ -43,9 +45,9 @@ def _store_messages(rows: DataFrame, root: str, batch_id: int) -> None:
     _store(rows, STATUS_COLUMNS, ["campaign_id"], f"{root}/messages", batch_id)
 
 
-def _buckets_of(rows: DataFrame, keys: list[str]) -> list[int]:
+def buckets_of(rows: DataFrame, keys: list[str]) -> list[int]:
     """The buckets of a batch, at most ``BUCKETS`` numbers."""
-    return [r[0] for r in rows.select(_bucket(*keys)).distinct().collect()]
+    return [r[0] for r in rows.select(bucket(*keys)).distinct().collect()]
 
 
 def seed_messages(queued: DataFrame, root: str) -> None:
@@ -54,6 +56,15 @@ def seed_messages(queued: DataFrame, root: str) -> None:
     changes.write_batch(stage_counts(queued), f"{root}/counts", changes.BEFORE_STREAM)
 
 
+MOVES = ["first_seq", "first_at", "moved_seq", "moved_at"]
+
+
+def _fold_with_moves(receipts: DataFrame) -> DataFrame:
+    """``fold_receipts`` with the receipts that add a message or end its waiting."""
+    return (receipts.groupBy(*KEYS).agg(*progress(), *first_moves())
+            .select(*KEYS, *status_columns(), *MOVES))
+
+
 def _moves(rows: DataFrame, before: DataFrame) -> DataFrame:
     """What changed messages add to the counters of their campaigns; may be negative."""
     moved = rows.join(before.select(*KEYS, F.col("status").alias("was")), KEYS, "left")
@@ -64,21 +75,25 @@ def _moves(rows: DataFrame, before: DataFrame) -> DataFrame:
           for stage, reached in REACHED.items()])
 
 
-def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of: AsOf,
-                    every: str | None = None, merge_every: int = 50) -> StreamingQuery:
+def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame,
+                    every: str | None = None,
+                    merge_every: int = changes.MERGE_EVERY) -> StreamingQuery:
     """Keeps message statuses and the counts and completion of the campaigns they touch.
 
     Per micro-batch the changed messages are compared with their state before it, which lies
     in the buckets of their campaigns; the differences are added to the campaigns' stored
-    counters, so nothing is counted anew. Every ``merge_every`` batches the state is merged,
-    and later batches read from there on. A batch that runs again finds the state before it.
+    counters, so nothing is counted anew. Completion is tested after each receipt of the batch
+    in order of arrival (``first_completions``) and lasts: a completed campaign keeps its status
+    and time. Every ``merge_every`` batches the state is merged and older folders are removed.
+    A batch that runs again finds the state before it.
     """
     spark = receipts.sparkSession
-    messages, counts = f"{root}/messages", f"{root}/counts"
+    messages, counts, heads_at = f"{root}/messages", f"{root}/counts", f"{root}/campaigns"
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.select(*STATUS_COLUMNS, _bucket("campaign_id").alias("bucket")).persist()
-        like = rows.limit(0)
+        rows = rows.select(*STATUS_COLUMNS, *MOVES,
+                           bucket("campaign_id").alias("bucket")).persist()
+        like = rows.drop(*MOVES).limit(0)
         buckets = [r[0] for r in rows.select("bucket").distinct().collect()]
         stored = changes.state_before(spark, messages, batch_id, like).where(
             F.col("bucket").isin(buckets))
@@ -93,16 +108,30 @@ def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame, as_of:
         changes.write_batch(now, counts, batch_id)
         _store_messages(rows, root, batch_id)
         now = spark.read.schema(now.schema).parquet(f"{counts}/batch={batch_id}")
+
         heads = campaigns.join(touched.withColumnRenamed("campaign_id", "id"), "id",
-                               "left_semi")
-        changes.write_batch(completion_of(heads, now, as_of), f"{root}/campaigns", batch_id)
-        if batch_id % merge_every == merge_every - 1:
+                               "left_semi").select("id", "status", "total_sent")
+        empty = with_completion(heads, now, _no_completions(heads)).limit(0)
+        kept = changes.newest(changes.state_before(spark, heads_at, batch_id, empty),
+                              ["campaign_id"])
+        heads = heads.join(kept.where(F.col("status") == "completed").select(
+            F.col("campaign_id").alias("id"), F.col("status").alias("kept"), "completed_at"),
+            "id", "left").withColumn("status", F.coalesce("kept", "status")).drop("kept")
+        met = first_completions(counter_changes(rows.drop("bucket"), before), counted, heads)
+        changes.write_batch(with_completion(heads, now, met), heads_at, batch_id)
+        if changes.merges(batch_id, merge_every):
             changes.merge(spark, messages, batch_id, KEYS, like, ["bucket"])
             changes.merge(spark, counts, batch_id, ["campaign_id"], moves.limit(0))
+            changes.merge(spark, heads_at, batch_id, ["campaign_id"], empty)
         rows.unpersist()
         moves.unpersist()
 
-    return changes.start(fold_receipts(receipts), on_batch, f"{root}/_progress", every=every)
+    return changes.start(_fold_with_moves(receipts), on_batch, f"{root}/_progress", every=every)
+
+
+def _no_completions(heads: DataFrame) -> DataFrame:
+    return heads.where("false").select(F.col("id").alias("campaign_id"), F.lit(None).cast(
+        "timestamp_ntz").alias("completed_at"))
 
 
 def message_statuses(spark: SparkSession, root: str) -> DataFrame:
@@ -120,7 +149,7 @@ def seed_communications(queued: DataFrame, root: str) -> None:
 
 
 def follow_communications(receipts: DataFrame, root: str, every: str | None = None,
-                          merge_every: int = 50) -> StreamingQuery:
+                          merge_every: int = changes.MERGE_EVERY) -> StreamingQuery:
     """Keeps whole message rows, event log included, after ``seed_communications``.
 
     The table itself is the state: each micro-batch folds its receipts onto the rows they
@@ -134,12 +163,12 @@ def follow_communications(receipts: DataFrame, root: str, every: str | None = No
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         earlier = (changes.state_before(spark, path, batch_id, like)
-                   .where(F.col("bucket").isin(_buckets_of(rows, KEYS))).drop("bucket"))
+                   .where(F.col("bucket").isin(buckets_of(rows, KEYS))).drop("bucket"))
         named = rows.select(*KEYS).distinct()
         before = changes.newest(earlier.join(named, KEYS, "left_semi"), KEYS)
         changed = changed_communications(before, rows)
         _store(changed, MESSAGE_COLUMNS, KEYS, path, batch_id)
-        if batch_id % merge_every == merge_every - 1:
+        if changes.merges(batch_id, merge_every):
             changes.merge(spark, path, batch_id, KEYS, like, ["bucket"])
         rows.unpersist()
 
@@ -151,17 +180,19 @@ def communications(spark: SparkSession, root: str) -> DataFrame:
 
 
 def follow_conversions(receipts: DataFrame, customers: DataFrame, root: str,
-                       every: str | None = None) -> StreamingQuery:
+                       every: str | None = None,
+                       merge_every: int = changes.MERGE_EVERY) -> StreamingQuery:
     """Stores conversion orders. A repeated receipt stores the same order again, which
     ``changes.current`` by ``id`` merges."""
     return changes.keep_changes(conversion_orders(receipts, customers), f"{root}/orders",
-                                f"{root}/_progress", every=every)
+                                f"{root}/_progress", every=every, keys=["id"],
+                                merge_every=merge_every)
 
 
 def follow_stages(receipts: DataFrame, root: str, every: str | None = None) -> StreamingQuery:
     """Stores running receipt counts per type."""
     return changes.keep_changes(stage_event_counts(receipts), f"{root}/stages",
-                                f"{root}/_progress", every=every)
+                                f"{root}/_progress", every=every, keys=["event_type"])
 
 
 def drop_repeats_within(receipts: DataFrame, horizon: str) -> DataFrame:

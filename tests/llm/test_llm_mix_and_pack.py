@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reachline.llm.common import word_count
 from reachline.llm.mixing import MOST_COPIES, mix_copies, mix_documents, source_targets
-from reachline.llm.packing import Bins, pack_documents, pack_shard
+from reachline.llm.packing import Bins, join_bins, pack_documents, pack_shard
 
 
 def filled(sizes: dict) -> dict:
@@ -140,3 +140,31 @@ def test_copies_never_share_a_bin(spark):
                                  "doc_id bigint, text string, source string")
     rows = pack_documents(docs, per_source=50).where("doc_id % 3 > 0").collect()
     assert len({r.bin_id for r in rows}) == 40
+
+
+def test_shards_with_equal_pieces_have_bins_of_their_own(spark):
+    text = " ".join(words(10, 1500))
+    docs = spark.createDataFrame([(1, text, "s")] * 12, "doc_id bigint, text string, source string")
+    rows = pack_documents(docs, pieces_per_shard=4).collect()
+    assert len({r.bin_id for r in rows}) == 12 and all(r.bin_words == 1500 for r in rows)
+
+
+def test_one_source_fills_its_bins(spark):
+    docs = spark.createDataFrame(
+        [(i, " ".join([f"w{i}", *words(i, 9)]), "only") for i in range(5000)],
+        "doc_id bigint, text string, source string")
+    bins = {r.bin_id: r.bin_words for r in pack_documents(docs).collect()}
+    assert sum(bins.values()) == 50_000 and len(bins) == -(-50_000 // 2048)
+
+
+def test_bins_are_joined_without_conflicts():
+    pieces = [(7, "a", n % 4) for n in range(40)] + [(0, "b", 9)]
+    placed = join_bins(pieces, pack_shard(pieces, 50, 2), 50)
+    held = defaultdict(list)
+    for piece, (b, offset) in zip(pieces, placed):
+        if piece[0]:
+            held[b].append((offset, piece))
+    assert len(held) == 10  # four clusters, each once in a bin
+    for parts in held.values():
+        assert sorted(o for o, _ in parts) == [7 * i for i in range(len(parts))]
+        assert len({p[2] for _, p in parts}) == len(parts)

@@ -3,7 +3,9 @@
 from collections import Counter
 
 import pytest
+from edges import edge_frame, empty_frame
 from test_llm_mix_and_pack import filled
+from pyspark.sql import functions as F
 from test_llm_texts import WORD, brute_components
 
 import corpus_pipeline
@@ -84,3 +86,20 @@ def test_all_words_are_packed_without_conflicts(passed):
     assert words == packed
     parts = Counter((r.bin_id, r.doc_id, r.first_word) for r in after if r.n_words)
     assert max(parts.values()) == 1  # copies of a document never share a bin
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_every_stage_takes_edge_rows_and_empty_tables(spark, name):
+    """Nulls, long and repeated texts, and columns of a user named score, predicted, size ..."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for frame in (edge_frame(spark).withColumn("predicted", F.col("node")),
+                  empty_frame(spark)):
+        out = stored(stage(spark, frame, FOLDER), name)
+        if name != "pack":
+            assert out.schema == frame.schema
+        if name in ("quality", "near_duplicates"):
+            was, now = Counter(map(tuple, frame.collect())), Counter(map(tuple, out.collect()))
+            assert not now - was  # rows stay as they are, mine stays mine
+        if name == "repeats":
+            drop = lambda f: Counter(map(tuple, f.drop("text", "n_chars").collect()))
+            assert drop(frame) == drop(out)

@@ -102,6 +102,38 @@ def test_texts_of_one_id_are_verified_on_their_own_shingles(spark):
         assert sorted(map(tuple, kept)) == sorted([*texts[:8], texts[-1]])
 
 
+@pytest.mark.parametrize("least", [30, 50, 70, 80, 85])
+def test_no_link_is_lost_at_lower_thresholds(spark, least):
+    """Pairs a little above and below the threshold, each of its own words."""
+    docs, linked = [], set()
+    for n in range(120):
+        base = words(1000 + n, 300)
+        kept = int(300 * 2 * (least + (3 if n % 2 else -5)) / (100 + least))
+        docs += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base[:kept] + words(
+            5000 + n, 300 - kept)))]
+        sets = [{tuple(t.split()[i:i + 2]) for i in range(299)} for _, t in docs[-2:]]
+        if 100 * len(sets[0] & sets[1]) >= least * len(sets[0] | sets[1]):
+            linked.add(n)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = near_dedup.near_duplicates(frame, 2, (least, 100)).where("not kept").collect()
+    assert {r.doc_id // 2 for r in found} == linked and 40 < len(linked) < 120
+
+
+def test_bands_follow_from_the_threshold():
+    assert [near_dedup.band_rows(t) for t in (0.95, 0.85, 0.8, 0.7, 0.5, 0.3, 0.2)] == [
+        4, 4, 4, 2, 2, 1, 1]
+    with pytest.raises(ValueError, match="cannot find"):
+        near_dedup.band_rows(0.1)
+
+
+def test_hubs_do_not_meet_in_one_task(spark):
+    from reachline.llm.common import components
+    edges = [(0, n) for n in range(1, 2000)] + [(5000 + n, 5001 + n) for n in range(60)]
+    found = components(spark.createDataFrame(edges, "a bigint, b bigint"), "hub").collect()
+    assert {r.node: r.component for r in found} == {
+        **{n: 0 for n in range(2000)}, **{5000 + n: 5000 for n in range(61)}}
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(1)
     pool = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
@@ -286,7 +318,7 @@ def test_notices_of_fewer_words_than_a_shingle_are_found(spark):
         licenses.template_table(spark, [*notices, ("blank", " . ")])
 
 
-def test_whole_license_texts_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_whole_license_texts_beyond_the_broadcast_bound(spark):
     notices = [(f"n{k}", " ".join(words(200 + k, 1100))) for k in range(20)]
     notices.append(("short", "All rights reserved."))
     docs = [(k, f"{' '.join(words(90, 7 * k))} {notices[k][1]} all rights reserved")
@@ -295,16 +327,23 @@ def test_whole_license_texts_beyond_the_broadcast_bound(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     table = licenses.template_table(spark, notices)
     assert table.agg(F.sum(F.size("shingles"))).first()[0] > licenses.MOST_BROADCAST
-
-    def listed(*_):
-        raise AssertionError("shingles in the plan")
-
-    monkeypatch.setattr(licenses, "_listed_windows", listed)
     found = licenses.scan_licenses(frame, table).collect()
     wanted = {(k, name) for k in range(3) for name in (f"n{k}", "short")} | {(None, "n4")}
     assert {(r.doc_id, r.license) for r in found} == wanted and len(found) == 7
 
 
+def test_whole_license_texts_are_found_among_long_texts(spark):
+    every = licenses.TEMPLATES + licenses.WHOLE_TEXTS
+    docs = [(k, f"{' '.join(words(300 + k, 20_000))} {text} {' '.join(words(310, 900))}")
+            for k, (_, text) in enumerate(licenses.WHOLE_TEXTS)]
+    docs.append((9, licenses.WHOLE_TEXTS[0][1][:400]))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = licenses.scan_licenses(frame, licenses.template_table(spark, every)).collect()
+    assert {(r.doc_id, r.license) for r in found} == brute_licenses(docs, every)
+    assert {(k, name) for k, (name, _) in enumerate(licenses.WHOLE_TEXTS)} <= {
+        (r.doc_id, r.license) for r in found}
+
+
 def test_quality_is_learned_from_rows_that_are_not_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 4000")
@@ -323,6 +362,45 @@ def test_quality_is_learned_from_rows_that_are_not_held_out(spark):
     assert all(0 <= r.score <= 1 for r in edge.collect())
 
 
+def test_every_labelled_document_counts_once(spark, monkeypatch):
+    """Rows that repeat a labelled id do not crowd out others."""
+    seen = []
+    real = quality.fit_network
+    monkeypatch.setattr(quality, "fit_network", lambda rows, labels, seed=0: (
+        seen.append((len(rows), float(labels.mean()))) or real(rows, labels, seed)))
+    docs = [(n, " ".join(words(n, 20 + n % 7))) for n in range(60)]
+    labels = spark.createDataFrame([(n, int(n % 5 > 0)) for n in range(60)],
+                                   "doc_id bigint, quality int")
+    for copies in (1, 6):
+        frame = spark.createDataFrame(docs * copies, "doc_id bigint, text string")
+        quality.fit_quality(frame, labels, most_labelled=40)
+    assert seen[0] == seen[1] and seen[0][0] == 40
+
+
+def test_gradients_and_context_sums(spark):
+    """Pooling and context sums against plain loops."""
+    texts = ["one two two", None, "", "two three", "x " * 60_000]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms, index = quality._Terms(), quality.index_vectors()
+    wanted = np.zeros((quality.TERMS, quality.WIDTH))
+    pairs = lambda w: (terms[w] >> 16, terms[w] & 0xFFFF)
+    for text in texts:
+        found = (text or "").split()
+        for i, word in enumerate(found):
+            near = sum((index[t] for j in (i - 1, i + 1) if 0 <= j < len(found)
+                        for t in pairs(found[j])), np.zeros(quality.WIDTH))
+            for term in pairs(word):
+                wanted[term] += near
+    wanted -= wanted.sum(0) / max(np.abs(wanted).sum(), 1) * np.abs(wanted).sum(1, keepdims=True)
+    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-6)
+    contexts = quality.context_vectors(frame)
+    assert np.allclose(contexts, wanted, atol=1e-4)
+    row = quality.pooled("one two two", contexts, index, terms)
+    mean = sum(contexts[terms[w] >> 16] for w in ("one", "two", "two")) / 3
+    assert np.allclose(row[:quality.WIDTH], mean, atol=1e-5)
+    assert np.allclose(row[-4:], [np.log(3) / 10, 1 / 3, 2 / 3, 1])
+
+
 def test_quality_without_labels_or_documents(spark):
     docs = edge_frame(spark)
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)],

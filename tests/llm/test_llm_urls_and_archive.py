@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,18 @@ def test_empty_rules_and_pages(spark):
     assert judge_urls(pages.where("false"), spark.createDataFrame(RULES, RULE_SCHEMA)).count() == 0
 
 
+def test_hosts_of_very_many_labels(spark):
+    """Only domains no deeper than a rule's host are built."""
+    begun = time.perf_counter()
+    long = "a." * 20_000
+    urls = [f"http://{long}example.net/en/x", f"http://{long}net", f"http://{long}", "http://.net/"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    found = judge_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA))
+    rows = [tuple(r) for r in found.select("url", "host", "path", "rule", "verdict").collect()]
+    assert sorted(rows, key=repr) == sorted(map(judged, urls), key=repr)
+    assert time.perf_counter() - begun < 60
+
+
 def test_url_plan_stays_native(spark):
     pages = spark.createDataFrame([("http://a.net/",)], "url string")
     plan = judge_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA))
