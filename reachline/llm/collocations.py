@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql.window import Window
 from reachline.llm.common import stored
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-CHUNK_WORDS = 1 << 20
-"""Words in one row of the stored occurrence relation, which one task counts at a time."""
+CHUNK_WORDS = 1 << 18
+"""Words in one row of the stored occurrence relation, which one task counts at a time: some
+16 MB of arrays. Counts of a task's chunks are added up before they are shuffled."""
 
 MOST_BITS = 1 << 27
 """Bits of a filter, 16 MB. A fuller filter lets more rare phrases be counted; results do not
@@ -151,11 +153,13 @@ class Filter:
 def _grams(length: int, filters: list[Filter], exceptions: dict):
     """Counts of the phrases of ``length`` words in each chunk whose shorter parts the filters
     hold: the relation of one length is joined with itself at the next position."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*(f"w{i + 1}" for i in range(length)), "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, codes, words in zip(batch["lang"], batch["codes"], batch["words"]):
-                numbers = np.frombuffer(codes, np.int32)
-                ids = word_ids(lang, words.split("\n"), exceptions)[:, None]
+            for lang, codes, words in zip(*(batch.column(c) for c in ("lang", "codes", "words"))):
+                numbers = np.frombuffer(codes.as_buffer(), np.int32)
+                ids = word_ids(lang.as_py(), words.as_py().split("\n"), exceptions)[:, None]
                 alive = np.r_[False, filters[0].holds(ids)]
                 at = np.flatnonzero(alive[numbers])  # sorted occurrences of frequent parts
                 part = numbers[at].astype(np.int64) - 1
@@ -172,8 +176,8 @@ def _grams(length: int, filters: list[Filter], exceptions: dict):
                         held = filters[size - 1].holds(ids)
                         kept = held[part]
                         at, part = at[kept], part[kept]
-                yield pd.DataFrame({**{f"w{i + 1}": ids[:, i] for i in range(length)},
-                                    "n": counts})
+                found = [*np.ascontiguousarray(ids.T), counts.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
     return count
 
 
@@ -268,7 +272,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     filters = [Filter.of(levels[0], ["w1"])]
     for length in range(2, LONGEST + 1):
         names = [f"w{i + 1}" for i in range(length)]
-        counted = (relation.select("lang", "codes", "words").mapInPandas(
+        counted = (relation.select("lang", "codes", "words").mapInArrow(
             _grams(length, filters, exceptions),
             ", ".join(f"{c} bigint" for c in [*names, "n"]))
             .groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least))
