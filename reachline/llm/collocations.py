@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,9 @@ MOST_BITS = 1 << 27
 """Bits of a filter, 16 MB. A fuller filter lets more rare phrases be counted; results do not
 change."""
 
+BATCH = "8m"
+"""Bytes of rows that reach a Python worker at once."""
+
 PIECE = 1 << 20  # bytes of a text that are cut into words at once
 
 _END = b"\xff"  # between pieces; no byte of UTF-8
@@ -211,6 +215,19 @@ def _numbered(words: DataFrame) -> tuple[DataFrame, dict]:
     return hashed, exceptions
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside reach Python workers in batches of ``BATCH``: by default a batch
+    holds 64 MB, twice that while it grows, in the JVM and again in each worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    earlier = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, earlier)
+
+
 def _whole(value: Column) -> Column:
     return value.cast("decimal(20,0)")
 
@@ -257,6 +274,13 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     Null and empty texts have no words. Repeated rows count as often as they occur. A table
     without rows or frequent phrases gives no rows. Other columns are not read.
     """
+    with _small_batches(docs.sparkSession):
+        levels, totals = _counted(docs, least)
+    return _ranked(levels, totals, top)
+
+
+def _counted(docs: DataFrame, least: int) -> tuple[list[DataFrame], DataFrame]:
+    """The frequent phrases of each length, stored, and the words of each language."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     relation = stored(rows.mapInPandas(
         _chunks, "lang string, codes binary, words string, counts array<bigint>"), "occurrences")
@@ -279,7 +303,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
         levels.append(stored(counted, f"words-{length}"))
         if length < LONGEST:
             filters.append(Filter.of(levels[-1], names))
-    return _ranked(levels, totals, top)
+    return levels, totals
 
 
 def _ranked(levels: list[DataFrame], totals: DataFrame, top: int) -> DataFrame:
