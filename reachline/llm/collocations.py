@@ -17,8 +17,15 @@ from reachline.llm.common import stored
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 CHUNK_WORDS = 1 << 18
-"""Words in one row of the stored occurrence relation, which one task counts at a time: some
-16 MB of arrays. Counts of a task's chunks are added up before they are shuffled."""
+"""Words of one language in one row of the stored occurrence relation, which one task counts at
+a time: some 16 MB of arrays. Counts of a task's chunks are added up before they are shuffled."""
+
+HELD_WORDS = 1 << 20
+"""Words of all languages that a task holds while it makes chunks; beyond it the fullest one is
+stored early, so many languages take no more memory than a few."""
+
+ROWS = 1 << 15
+"""Counts that leave a Python worker at once."""
 
 MOST_BITS = 1 << 27
 """Bits of a filter, 16 MB. A fuller filter lets more rare phrases be counted; results do not
@@ -64,33 +71,33 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     word numbers in order of document, piece and position, the words by number, and their
     counts."""
     held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
-    waiting = 0
-
-    def emit() -> pd.DataFrame:
-        rows = []
-        for lang, (codes, parts) in held.items():
-            numbers = np.concatenate(parts)
-            words = [w.decode("utf-8", "surrogatepass") for w in codes if w not in (b"", _END)]
-            if words:
-                counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
-                rows.append((lang, numbers.tobytes(), "\n".join(words), counts))
-        held.clear()
+    waiting: dict[str, int] = {}
+
+    def emit(lang: str) -> pd.DataFrame:
+        codes, parts = held.pop(lang)
+        del waiting[lang]
+        numbers = np.concatenate(parts)
+        words = [w.decode("utf-8", "surrogatepass") for w in codes if w not in (b"", _END)]
+        counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
+        rows = [(lang, numbers.tobytes(), "\n".join(words), counts)] if words else []
         return pd.DataFrame(rows, columns=["lang", "codes", "words", "counts"])
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             if lang not in held:
-                held[lang] = (_Codes(), [])
+                held[lang], waiting[lang] = (_Codes(), []), 0
             codes, parts = held[lang]
             for found in _codes_of(text, codes):
                 parts.append(found)
-                waiting += len(found)
+                waiting[lang] += len(found)
             parts.append(np.zeros(1, np.int32))
-            if waiting >= CHUNK_WORDS:
-                yield emit()
-                waiting = 0
-    if held:
-        yield emit()
+            waiting[lang] += 1
+            if waiting[lang] >= CHUNK_WORDS:
+                yield emit(lang)
+            elif sum(waiting.values()) >= HELD_WORDS:
+                yield emit(max(waiting, key=waiting.__getitem__))
+    for lang in list(held):
+        yield emit(lang)
 
 
 def word_ids(lang: str, words: list[str], exceptions: dict[tuple[str, str], int]) -> np.ndarray:
@@ -181,7 +188,9 @@ def _grams(length: int, filters: list[Filter], exceptions: dict):
                         kept = held[part]
                         at, part = at[kept], part[kept]
                 found = [*np.ascontiguousarray(ids.T), counts.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+                for first in range(0, len(counts), ROWS):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[first:first + ROWS]) for c in found], names=names)
     return count
 
 
