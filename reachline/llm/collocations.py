@@ -34,6 +34,10 @@ change."""
 BATCH = "8m"
 """Bytes of rows that reach a Python worker at once."""
 
+SHARES = 64
+"""Parts of a language's candidates that are ranked apart before their first ones are ranked
+together, so no task has all candidates of a language."""
+
 PIECE = 1 << 20  # bytes of a text that are cut into words at once
 
 _END = b"\xff"  # between pieces; no byte of UTF-8
@@ -352,8 +356,12 @@ def _ranked(levels: list[DataFrame], totals: DataFrame, top: int) -> DataFrame:
               for n in (f"w{i + 1}" for i in range(LONGEST))])
         kept = grams if kept is None else kept.unionByName(grams)
 
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    kept = kept.withColumn("place", F.rank().over(best)).where(F.col("place") <= top)
+    # A place among the first of its language is one among the first of its share too.
+    kept = kept.withColumn("share", F.pmod(F.xxhash64(*[f"w{i + 1}" for i in range(LONGEST)]),
+                                           F.lit(SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"))
+        kept = kept.withColumn("place", F.rank().over(best)).where(F.col("place") <= top)
     for i in range(LONGEST):
         kept = kept.join(one.select(F.col("w1").alias(f"w{i + 1}"),
                                     F.col("word").alias(f"word{i + 1}")), f"w{i + 1}", "left")
