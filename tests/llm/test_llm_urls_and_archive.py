@@ -60,6 +60,33 @@ def test_hosts_of_very_many_labels(spark):
     assert time.perf_counter() - begun < 60
 
 
+def test_depth_comes_from_stored_rules(spark):
+    """The deepest rule decides how many labels of a host are looked up."""
+    path = new_work_path(spark, "rules")
+    rules = [("a", "", "block"), ("c.b.a", "/x", "allow"), ("d.c.b.a", "/", "block"),
+             ("z.d.c.b.a", "/x", "allow")]
+    urls = ["http://z.d.c.b.a/x", "http://d.c.b.a/", "http://c.b.a/x", "http://a", "http://b/x"]
+    wanted = [[None] * 5, ["a", "a", "a", "a", None], ["c.b.a/x", "a", "c.b.a/x", "a", None],
+              ["d.c.b.a/", "d.c.b.a/", "c.b.a/x", "a", None],
+              ["z.d.c.b.a/x", "d.c.b.a/", "c.b.a/x", "a", None]]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    for first, best in enumerate(wanted):
+        spark.createDataFrame(rules[:first], RULE_SCHEMA).write.mode("overwrite").parquet(path)
+        found = {r.url: r.rule for r in judge_urls(pages, spark.read.parquet(path)).collect()}
+        assert [found[u] for u in urls] == best
+
+
+def test_rules_that_no_url_can_have_fit_none(spark):
+    """Their keys must not run into those of other hosts."""
+    rules = [("net", "x", "block"), ("x.net", "/foo", "allow"), ("org", "", "allow"),
+             ("/p.org", "", "block"), ("o?.org", "/", "block"), ("NET", "", "block")]
+    wanted = {"http://x.net/": None, "http://net/x": None, "http://x.net/foo": "x.net/foo",
+              "http://org/p.html": "org", "http://o?.org/": None, "http://NET/": None}
+    found = judge_urls(spark.createDataFrame([(u,) for u in wanted], "url string"),
+                       spark.createDataFrame(rules, RULE_SCHEMA)).collect()
+    assert {r.url: r.rule for r in found} == wanted
+
+
 def test_url_plan_stays_native(spark):
     pages = spark.createDataFrame([("http://a.net/",)], "url string")
     plan = judge_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA))
