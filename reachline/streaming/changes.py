@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reachline.sources.tables import complete_folders, remove_folders
 
@@ -39,7 +40,8 @@ def _read(spark: SparkSession, root: str, numbers: list[int], like: DataFrame |
           ) -> DataFrame:
     reader = spark.read.option("basePath", root)
     if like is not None:
-        reader = reader.schema(like.schema.add("batch", "long"))
+        # StructType.add would change the schema that ``like`` keeps.
+        reader = reader.schema(StructType([*like.schema.fields, StructField("batch", LongType())]))
     return (reader.parquet(*[f"{root}/batch={n}" for n in numbers])
             .withColumn("batch", F.col("batch").cast("long")))
 

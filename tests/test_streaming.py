@@ -247,6 +247,17 @@ def test_calls_and_files_do_not_grow_with_the_batches(spark, tmp_path, monkeypat
         [("a", 200)] + [(f"k{i}", max(b for b in range(201) if b % 7 == i)) for i in range(7)])
 
 
+def test_reading_state_leaves_the_schema_it_is_given(spark, tmp_path):
+    """Also where all batches read are empty and no file tells the columns."""
+    root = str(tmp_path / "log")
+    like = spark.createDataFrame([], "k string, v int")
+    for batch in range(2):
+        changes.write_batch(like, root, batch, ["v"])
+        state = changes.state_before(spark, root, batch + 1, like)
+        assert state.columns == ["k", "v", "batch"] and state.count() == 0
+        assert like.schema.names == ["k", "v"]
+
+
 def replay(campaigns, queued, receipts):
     """The rule, receipt by receipt."""
     rank = {"sent": 1, "delivered": 2, "failed": 2, "opened": 3, "read": 4, "clicked": 5,
