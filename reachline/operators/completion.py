@@ -91,18 +91,21 @@ def first_completions(changes: DataFrame, counters: DataFrame, campaigns: DataFr
 def with_completion(campaigns: DataFrame, counts: DataFrame, completions: DataFrame
                     ) -> DataFrame:
     """Campaigns (id, status, total_sent and, if known, completed_at) with their counters and
-    the status after the rule. What is completed stays so, with its time."""
+    the status after the rule. What is completed stays so, with its time. ``status_before`` of
+    the result is that of the campaigns if they have it, else their status."""
     known = (F.col("was_at") if "completed_at" in campaigns.columns
              else F.lit(None).cast("timestamp_ntz"))
-    heads = campaigns.select(F.col("id").alias("campaign_id"), F.col("status").alias(
-        "status_before"), "total_sent", *[F.col("completed_at").alias("was_at")
-                                          for c in campaigns.columns if c == "completed_at"])
-    done = (F.col("status_before").isin(OPEN_CAMPAIGN_STATUSES)
+    first = "status_before" if "status_before" in campaigns.columns else "status"
+    heads = campaigns.select(F.col("id").alias("campaign_id"), F.col(first).alias("status_before"),
+                             F.col("status").alias("status_now"), "total_sent",
+                             *[F.col("completed_at").alias("was_at")
+                               for c in campaigns.columns if c == "completed_at"])
+    done = (F.col("status_now").isin(OPEN_CAMPAIGN_STATUSES)
             & F.col("completed_at").isNotNull())
     return (heads.join(counts.select("campaign_id", "messages", "queued"), "campaign_id", "left")
             .fillna(0, ["messages", "queued"]).join(completions, "campaign_id", "left")
             .select("campaign_id", "status_before", "total_sent", "messages", "queued",
-                    F.when(done, "completed").otherwise(F.col("status_before")).alias("status"),
+                    F.when(done, "completed").otherwise(F.col("status_now")).alias("status"),
                     F.when(done, F.col("completed_at")).otherwise(known).alias("completed_at")))
 
 

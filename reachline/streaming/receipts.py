@@ -116,7 +116,8 @@ def follow_messages(receipts: DataFrame, root: str, campaigns: DataFrame,
                               ["campaign_id"])
         heads = heads.join(kept.where(F.col("status") == "completed").select(
             F.col("campaign_id").alias("id"), F.col("status").alias("kept"), "completed_at"),
-            "id", "left").withColumn("status", F.coalesce("kept", "status")).drop("kept")
+            "id", "left").withColumn("status_before", F.col("status"))
+        heads = heads.withColumn("status", F.coalesce("kept", "status")).drop("kept")
         met = first_completions(counter_changes(rows.drop("bucket"), before), counted, heads)
         changes.write_batch(with_completion(heads, now, met), heads_at, batch_id)
         if changes.merges(batch_id, merge_every):

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from reachline.operators.completion import completion_moments
+from reachline.operators.completion import completion_moments, with_completion
 from reachline.operators.conversions import conversion_orders, rollup_with_conversions
 from reachline.operators.customers import customer_rollup
 from reachline.operators.receipts import (KEYS, fold_receipts, stage_event_counts,
@@ -258,6 +258,17 @@ def test_reading_state_leaves_the_schema_it_is_given(spark, tmp_path):
         assert like.schema.names == ["k", "v"]
 
 
+def test_status_before_outlasts_the_completion(spark):
+    counts = spark.createDataFrame([("c", 2, 0)], "campaign_id string, messages int, queued int")
+    heads = spark.createDataFrame(
+        [("c", "completed", "sending", 1, START)], "id string, status string, "
+        "status_before string, total_sent bigint, completed_at timestamp_ntz")
+    none = spark.createDataFrame([], "campaign_id string, completed_at timestamp_ntz")
+    found = with_completion(heads, counts, none).first()
+    assert (found.status_before, found.status, found.completed_at) == (
+        "sending", "completed", START)
+
+
 def replay(campaigns, queued, receipts):
     """The rule, receipt by receipt."""
     rank = {"sent": 1, "delivered": 2, "failed": 2, "opened": 3, "read": 4, "clicked": 5,
