@@ -73,10 +73,15 @@ def progress() -> list[Column]:
     ]
 
 
+def _by_arrival(a: Column, b: Column) -> Column:
+    """Order of log entries; those without a number come first."""
+    return (F.when(a.seq.isNull(), F.when(b.seq.isNull(), 0).otherwise(-1))
+            .when(b.seq.isNull() | (a.seq > b.seq), 1).when(a.seq < b.seq, -1).otherwise(0))
+
+
 def _log() -> Column:
     entry = F.struct("seq", "event_type", "ts", "metadata")
-    by_arrival = (lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0))
-    return F.array_sort(F.collect_list(entry), by_arrival).alias("events")
+    return F.array_sort(F.collect_list(entry), _by_arrival).alias("events")
 
 
 def status_columns() -> list[Column]:
@@ -117,10 +122,15 @@ def message_id(campaign_id: Column, customer_id: Column) -> Column:
 
 
 def _merged_log(stored: Column, new: Column) -> Column:
-    """The stored log and, behind it, the new receipts of types it does not have."""
-    kinds = F.transform(stored, lambda e: e.event_type)
-    return F.concat(stored, F.filter(new, lambda e: ~F.coalesce(
-        F.array_contains(kinds, e.event_type), F.lit(False))))
+    """The first receipt of each type among the stored log and the new ones, in order of
+    arrival. Stored receipts without a number come before all others."""
+    unseen = lambda among, met: F.filter(among, lambda e: ~met(e))
+    same = lambda a, b: a.event_type.eqNullSafe(b.event_type)
+    kept = unseen(stored, lambda e: F.exists(
+        new, lambda n: same(n, e) & F.coalesce(n.seq < e.seq, F.lit(False))))
+    added = unseen(new, lambda e: F.exists(
+        stored, lambda s: same(s, e) & F.coalesce(s.seq <= e.seq, F.lit(True))))
+    return F.array_sort(F.concat(kept, added), _by_arrival)
 
 
 def _of_log(events: Column) -> dict[str, Column]:
@@ -167,9 +177,9 @@ def changed_communications(communications: DataFrame, receipts: DataFrame,
                            new_id=message_id) -> DataFrame:
     """The message rows that new receipts name, as they are afterwards.
 
-    The first new receipt of each type goes behind the stored log, unless the log has that type,
-    and the status follows from the log. A receipt without a row makes one with an unknown
-    channel and an id from ``new_id``. Stored arrival numbers must be lower than new ones.
+    The log keeps the first receipt of each type in order of arrival, whether stored or new, and
+    the status follows from the log: receipts that come late leave the same rows as in time. A
+    receipt without a row makes one with an unknown channel and an id from ``new_id``.
     """
     return _upserted(communications, receipts, "right", new_id)
 

@@ -106,6 +106,21 @@ def test_upsert_in_steps_equals_fold_of_all(spark):
         assert [e.event_type for e in row.events] == seen
 
 
+def test_upsert_of_late_receipts_equals_fold_of_all(spark):
+    """Receipts with smaller numbers than those stored, repeats and receipts without a type."""
+    rng = random.Random(6)
+    kinds = ["sent", "delivered", "failed", "opened", "clicked", "strange", None]
+    everything = frame(spark, [[rng.choice(kinds) for _ in range(8)] for _ in range(60)])
+    none = spark.createDataFrame([], COMMUNICATIONS)
+    table = none
+    for part in (everything.where("seq % 3 = 2"), everything.where("seq % 3 <> 1"),
+                 everything.where("seq % 3 <> 2")):
+        table = upsert_communications(table, part).checkpoint()
+    wanted = upsert_communications(none, everything).select(table.columns)
+    key = lambda r: r.customer_id
+    assert sorted(table.collect(), key=key) == sorted(wanted.collect(), key=key)
+
+
 def test_conversion_orders(spark):
     receipts = frame(
         spark,
