@@ -146,11 +146,13 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     """
     sums = (docs.select("text").mapInPandas(_contexts, "part int, sums binary")
             .repartition(TERMS // 512, "part").mapInPandas(_added, "part int, sums binary"))
-    table = np.zeros((TERMS, WIDTH), np.float32)
+    # In double precision: little is left of a frequent term's sums once the mean is taken off.
+    table = np.zeros((TERMS, WIDTH))
     for part, data in sums.collect():
         table[part * 512:(part + 1) * 512] = np.frombuffer(data, np.float32).reshape(512, WIDTH)
     table -= table.sum(0) / max(np.abs(table).sum(), 1) * np.abs(table).sum(1, keepdims=True)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
+    return table.astype(np.float32)
 
 
 def pooled(text: str | None, contexts: np.ndarray, index: np.ndarray,
