@@ -135,13 +135,15 @@ def table_stream(rows: DataFrame, number: Column, path: str, parts: int = 3) ->
 
 def event_stream(spark: SparkSession, folder: str, path: str, parts: int = 3,
                  late_strangers: bool = False) -> DataFrame:
-    """The events table as a stream of about ``parts`` micro-batches, written below ``path`` in
-    order of arrival; events without event_id come last.
+    """The events table as a stream of ``parts`` micro-batches, written below ``path`` in order
+    of arrival; events without event_id come last, in a batch of their own.
 
-    Each part is written by as many tasks as read the table, and a batch takes as many files as
-    a part has on average.
+    Each part is dealt to the same number of files, which is what a batch takes; a part with too
+    few rows for that gets empty files. So no batch holds events of the next part while others of
+    its own part are still to come.
     """
     events = table(spark, folder, "events")
+    files = max(len(events.inputFiles()), spark.sparkContext.defaultParallelism)
     if late_strangers:
         events = with_late_strangers(events)
     last, unnumbered = events.agg(F.max("event_id"),
@@ -150,11 +152,13 @@ def event_stream(spark: SparkSession, folder: str, path: str, parts: int = 3,
     chosen = [part == n for n in range(parts)]
     if unnumbered:
         chosen.append(F.col("event_id").isNull())
-    for rows in chosen:
-        events.where(rows).write.mode("append").parquet(path)
-    files = len(spark.read.schema(events.schema).parquet(path).inputFiles())
+    for done, rows in enumerate(chosen, 1):
+        events.where(rows).repartition(files).write.mode("append").parquet(path)
+        written = len(spark.read.schema(events.schema).parquet(path).inputFiles())
+        for _ in range(files * done - written):
+            events.where("false").write.mode("append").parquet(path)
     return (spark.readStream.schema(events.schema)
-            .option("maxFilesPerTrigger", -(-files // len(chosen))).parquet(path))
+            .option("maxFilesPerTrigger", files).parquet(path))
 
 
 def with_metadata(receipts: DataFrame) -> DataFrame:

@@ -71,3 +71,29 @@ def test_event_stream_takes_every_event_in_many_files(spark, tmp_path):
     assert 3 <= sum(p["numInputRows"] > 0 for p in query.recentProgress) <= 5
     files = spark.read.parquet(f"{tmp_path}/stream").inputFiles()
     assert len(files) > 4  # no part comes from a single task
+
+
+def test_a_micro_batch_of_events_is_one_part(spark, tmp_path):
+    """Whatever number of files the events and the late strangers come in."""
+    seen = {}
+    stream = retail.event_stream(spark, "/root/testdata/sf0.001", f"{tmp_path}/stream",
+                                 late_strangers=True)
+    (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/check")
+     .foreachBatch(lambda rows, n: seen.update({n: [r.event_id for r in rows.collect()]}))
+     .start().awaitTermination())
+    last = max(max(ids) for ids in seen.values())
+    parts = [{i * 3 // (last + 1) for i in seen[n]} for n in sorted(seen)]
+    assert parts == [{0}, {1}, {2}]
+    assert len({i for ids in seen.values() for i in ids}) == last + 1
+
+
+def test_events_of_very_few_rows_come_in_order(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").drop("event_id").limit(1)
+    ids = spark.createDataFrame([(i,) for i in (0, 1, 2, None)], "event_id bigint")
+    ids.crossJoin(source).write.parquet(f"{tmp_path}/events.parquet")
+    seen = {}
+    stream = retail.event_stream(spark, str(tmp_path), f"{tmp_path}/stream")
+    (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/check")
+     .foreachBatch(lambda rows, n: seen.update({n: [r.event_id for r in rows.collect()]}))
+     .start().awaitTermination())
+    assert [seen[n] for n in sorted(seen)] == [[0], [1], [2], [None]]
