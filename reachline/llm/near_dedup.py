@@ -20,6 +20,7 @@ MOST_MISSED = 1e-7
 """Probability up to which a pair at the threshold may share no band."""
 
 SMALL = 256  # sets below this size are always compared, as their registers repeat elements
+BUCKET_TEXTS = 2048  # nodes that share a band and are compared in one task
 CHUNK_TEXTS, CHUNK_SHINGLES = 256, 65_536  # texts of a family that are compared in one task
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -136,23 +137,104 @@ def _signatures(size: int):
     return sign
 
 
-def _cells(size: int, least: int, of: int):
-    """Spanning links of every cell; rows arrive sorted by family and cell."""
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shingles(size: int):
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(text, size, words).tobytes() for text in batch["text"]]
+            yield batch.drop(columns="text").assign(shingles=sets)
+    return cut
 
+
+def _met(least: int, of: int):
+    """Pairs (a, b, sure) of every cell of a bucket; rows arrive sorted by bucket and cell."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for batch in batches:
+                yield from zip(batch["band"].tolist(), batch["word"].tolist(),
+                               batch["i"].tolist(), batch["j"].tolist(), batch["node"].tolist(),
+                               batch["chunk"].tolist(), batch["n_shingles"].tolist(),
+                               batch["bands"], batch["shingles"])
+
+        pairs: list[tuple[int, int, bool]] = []
+        for (_, _, i, j), cell in groupby(rows(), key=lambda r: r[:4]):
+            pairs += _pairs([r[4:] for r in cell], i != j, least, of)
+            if len(pairs) > 10_000:
+                yield pd.DataFrame(pairs, columns=["a", "b", "sure"])
+                pairs = []
+        yield pd.DataFrame(pairs, columns=["a", "b", "sure"]).astype(
+            {"a": "int64", "b": "int64", "sure": "bool"})
+    return compare
+
+
+def _pairs(members: list[tuple], across: bool, least: int, of: int
+           ) -> list[tuple[int, int, bool]]:
+    """Of one cell of a bucket the pairs that span its links.
+
+    Pairs with a set below ``SMALL`` are compared exactly and are sure. Of the others those
+    with a sufficient estimate come out, not sure, so that each is joined by such pairs or
+    by sure ones. Sets come by size, and each meets those that are not too large for it.
+    """
+    members.sort(key=lambda r: (r[2], r[0]))
+    nodes = [r[0] for r in members]
+    chunks = np.array([r[1] for r in members])
+    sizes = np.array([r[2] for r in members])
+    ends = np.searchsorted(sizes, of * sizes // least, "right")
+    if (ends == np.arange(1, len(nodes) + 1)).all():
+        return []
+    sets = [np.frombuffer(r[4], np.uint64) for r in members if r[4] is not None]
+    starts = np.r_[0, np.cumsum([len(x) for x in sets], dtype=np.int64)]
+    if sets and sizes[0] < SMALL:
+        distinct, places = np.unique(np.concatenate(sets), return_inverse=True)
+        marked = np.zeros(len(distinct), bool)
+    marks, cut = None, least_estimate(least / of)
+    linked, close = np.arange(len(nodes)), np.arange(len(nodes))
+    pairs = []
+    for i, end in enumerate(ends):
+        others = np.arange(i + 1, end)
+        others = others[linked[others] != linked[i]]
+        if across:
+            others = others[chunks[others] != chunks[i]]
+        small = sizes[i] < SMALL
+        if not small:
+            others = others[close[others] != close[i]]
+        if not len(others):
+            continue
+        group = linked if small else close
+        if small:
+            marked[places[starts[i]:starts[i + 1]]] = True
+            begin, last = others[0], others[-1]
+            hits = marked[places[starts[begin]:starts[last + 1]]]
+            shared = np.add.reduceat(hits, starts[begin:last + 1] - starts[begin],
+                                     dtype=np.int64)[others - begin]
+            marked[places[starts[i]:starts[i + 1]]] = False
+            found = of * shared >= least * (sizes[others] + sizes[i] - shared)
+        else:
+            if marks is None:
+                marks = np.stack([np.asarray(r[3], np.int64) for r in members]).view(np.uint16)
+            chance = chance_matches(sizes[others], sizes[i])
+            same = (marks[others] == marks[i]).sum(1)
+            found = (same - chance) / (REGISTERS - chance) >= cut
+        for k in others[found]:
+            if group[k] != group[i]:
+                pairs.append((nodes[i], nodes[k], small))
+                group[group == group[k]] = group[i]
+    return pairs
+
+
+def _cells(least: int, of: int):
+    """Spanning links of every cell; rows arrive sorted by family and cell."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
             for batch in batches:
                 yield from zip(batch["family"].tolist(), batch["i"].tolist(), batch["j"].tolist(),
                                batch["node"].tolist(), batch["chunk"].tolist(), batch["bands"],
-                               batch["text"])
+                               batch["shingles"])
 
         links: list[tuple[int, int]] = []
         for (_, i, j), cell in groupby(rows(), key=lambda r: r[:3]):
-            members = {}
-            for _, _, _, node, chunk, bands, text in cell:
-                if node not in members:
-                    members[node] = (chunk, bands, shingle_hashes(text, size, words))
+            members = {node: (chunk, bands, np.frombuffer(shingles, np.uint64))
+                       for _, _, _, node, chunk, bands, shingles in cell}
             links += _links(members, i != j, least, of)
             if len(links) > 10_000:
                 yield pd.DataFrame(links, columns=["a", "b"])
@@ -205,6 +287,16 @@ def _links(members: dict, across: bool, least: int, of: int) -> list[tuple[int,
     return links
 
 
+def _dealt(members: DataFrame, group: list[str]) -> DataFrame:
+    """Members of groups of ``chunks`` chunks, once for every cell (i, j) of two chunks or one
+    that holds theirs; cells lie sorted within partitions."""
+    cell = [*group, "i", "j"]
+    return (members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+            .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("i", F.least("chunk", "k")).withColumn("j", F.greatest("chunk", "k"))
+            .drop("k", "chunks").repartition(*cell).sortWithinPartitions(*cell))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100)
                     ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for every row of ``docs``.
@@ -214,13 +306,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     the links, named by their smallest doc_id, which is kept.
 
     Method. Equal sets are one node from the start. Each node's registers are cut into bands;
-    nodes that share a band form families (components of the stars of each band, so nobody
-    lists pairs). A family is compared in cells of at most two chunks of about
-    ``CHUNK_TEXTS`` texts: pairs with enough registers in common, corrected for chance, are
-    verified on their full sets, and only links that join two components of the cell come out.
-    Every pair of a family is in one cell, so no link is lost but those missed by all bands.
-    The registers of a band follow from the threshold (``band_rows``: 4 from 0.8 on, fewer
-    below), as does the least estimate; thresholds below 0.12 are an error.
+    nodes that share a band are a bucket, compared in cells of at most two chunks of
+    ``BUCKET_TEXTS`` nodes. Sets below ``SMALL`` travel whole and their pairs are verified there;
+    of larger ones the pairs with enough registers in common, corrected for chance, form
+    families (components, so nobody lists pairs). So documents that share a band but are
+    unlike do not gather in families, however many there are. A family is compared in cells of
+    at most two chunks of about ``CHUNK_TEXTS`` texts, on the full sets, and only links that
+    join two components of a cell come out. Every pair that shares a band is in a cell, so no
+    link is lost but those missed by all bands. The registers of a band follow from the
+    threshold (``band_rows``: 4 from 0.8 on, fewer below), as does the least estimate;
+    thresholds below 0.12 are an error.
 
     Null and empty texts link with nothing and are kept. Rows without doc_id link with nothing
     and are kept, with a null component_id. Rows that repeat a doc_id and its text share its
@@ -248,28 +343,36 @@ def _judged(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFram
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.posexplode(_bands(F.col("bands"), in_band))
                           .alias("band", "word"))
-    shared = (banded.groupBy("band", "word")
-              .agg(F.min("node").alias("first"), F.max("node").alias("last"))
-              .where("first < last").drop("last"))
-    stars = (banded.join(shared, ["band", "word"]).where("node <> first")
-             .select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-    families = components(stars, "families").withColumnRenamed("component", "family")
-
-    members = stored(families.join(nodes, "node"), "members")
-    chunks = (members.groupBy("family")
+    # Bands shared by the same nodes are one bucket.
+    buckets = (banded.groupBy("band", "word")
+               .agg(F.min("node").alias("first"), F.max("node").alias("last"),
+                    F.count("*").alias("texts"), F.bit_xor(F.xxhash64("node")).alias("mixed"))
+               .where("first < last").groupBy("first", "last", "texts", "mixed")
+               .agg(F.min(F.struct("band", "word")).alias("bucket"))
+               .select("bucket.*", F.ceil(F.col("texts") / BUCKET_TEXTS).cast("int")
+                       .alias("chunks")))
+    held = stored(banded.join(buckets, ["band", "word"]), "buckets")
+    wanted = nodes.join(held, "node", "left_semi")
+    members = stored(rows.where("doc_id is not null").join(wanted, ["doc_id", "text_hash"])
+                     .dropDuplicates(["doc_id", "text_hash"])
+                     .select("node", "n_shingles", "bands", "text")
+                     .mapInPandas(_shingles(size), "node bigint, n_shingles bigint, "
+                                  "bands array<bigint>, shingles binary"), "members")
+    exact = F.when(F.col("n_shingles") * least <= of * SMALL, F.col("shingles"))
+    met = stored(_dealt(held.join(members.withColumn("shingles", exact), "node"),
+                        ["band", "word"])
+                 .mapInPandas(_met(least, of), "a bigint, b bigint, sure boolean"), "met")
+
+    families = (components(met.where("not sure").select("a", "b"), "families")
+                .withColumnRenamed("component", "family").join(members, "node"))
+    chunks = (families.groupBy("family")
               .agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("shingles"))
               .select("family", F.ceil(F.greatest(F.col("texts") / CHUNK_TEXTS,
                                                   F.col("shingles") / CHUNK_SHINGLES))
                       .cast("int").alias("chunks")))
-    placed = (members.join(chunks, "family")
-              .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-              .select("doc_id", "text_hash", "node", "family", "bands", "chunk", "chunks"))
-    texts = rows.where("doc_id is not null").join(placed, ["doc_id", "text_hash"])
-    cells = (texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .withColumn("i", F.least("chunk", "k")).withColumn("j", F.greatest("chunk", "k")))
-    links = (cells.select("family", "i", "j", "node", "chunk", "bands", "text")
-             .repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-             .mapInPandas(_cells(size, least, of), "a bigint, b bigint"))
+    links = (_dealt(families.join(chunks, "family"), ["family"])
+             .mapInPandas(_cells(least, of), "a bigint, b bigint")
+             .unionByName(met.where("sure").select("a", "b")))
     joined = components(links, "links")
     named = (nodes.select("node", "doc_id").join(joined, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))

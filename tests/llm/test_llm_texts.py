@@ -80,6 +80,49 @@ def test_large_families_are_compared_in_cells(spark, monkeypatch):
     assert sorted(map(tuple, found), key=repr) == brute_components(texts, 3, 85)
 
 
+@pytest.mark.parametrize("length,step", [(90, 20), (400, 130)])
+def test_unlike_texts_that_share_bands_do_not_gather_in_families(spark, monkeypatch, length, step):
+    """A chain of texts, each like the next one but below the threshold."""
+    sizes, found = [], near_dedup.components
+
+    def counted(edges, label):
+        out = found(edges, label)
+        sizes.append(out.groupBy("component").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    chain = [f"c{n}" for n in range(120 * step + length)]
+    texts = [(k, " ".join(chain[k * step:k * step + length])) for k in range(120)]
+    texts += [(200 + k, t) for k, t in enumerate(mutated(61, 6, 1))]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    result = near_dedup.near_duplicates(frame, 3, (85, 100)).collect()
+    assert sorted(map(tuple, result), key=repr) == brute_components(texts, 3, 85)
+    assert max(sizes) <= 6
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_of_a_bucket_span_its_links(seed):
+    """All links of small sets, and nothing that sets of unlike size or text have in common."""
+    rng, size = np.random.default_rng(seed), near_dedup.WordHashes()
+    texts = [t for k in range(6) for t in mutated(10 * seed + k, 9, 1 + k % 3)]
+    texts += [" ".join(words(70 + k, 8 + k)) for k in range(20)]
+    sets = [near_dedup.shingle_hashes(t, 2, size) for t in texts]
+    rows = [(n, int(rng.integers(2)), len(x), near_dedup.registers(x).view(np.int64),
+             x.tobytes()) for n, x in enumerate(sets)]
+    for across in (False, True):
+        pairs = near_dedup._pairs(list(rows), across, 85, 100)
+        assert all(sure and 100 * len(np.intersect1d(sets[a], sets[b]))
+                   >= 85 * len(np.union1d(sets[a], sets[b])) for a, b, sure in pairs)
+        group = list(range(len(texts)))
+        for a, b, _ in pairs:
+            group = [group[a] if g == group[b] else g for g in group]
+        for a, b in ((a, b) for a in range(len(texts)) for b in range(a)):
+            if (100 * len(np.intersect1d(sets[a], sets[b]))
+                    >= 85 * len(np.union1d(sets[a], sets[b]))
+                    and not (across and rows[a][1] == rows[b][1])):
+                assert group[a] == group[b]
+
+
 def test_near_duplicates_keep_columns_and_take_empty_tables(spark):
     docs = edge_frame(spark)
     kept = near_dedup.drop_near_duplicates(docs)
