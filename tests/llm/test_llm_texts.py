@@ -244,6 +244,38 @@ def test_pieces_of_a_long_text_agree_with_the_whole(monkeypatch):
     assert windows(1 << 20) == windows(333)
 
 
+def test_texts_hashed_together_have_the_anchors_they_have_alone():
+    texts = [t.encode() for t in (" ".join(words(k, 5 + 9 * k)) for k in range(30))]
+    texts[3:3] = [b"", b"a" * 49, b"a" * 50, b"ab" * 90, (" ".join(words(99, 30_000))).encode()]
+    for length in (50, 100):
+        alone = {(n, *map(int, row)) for n, text in enumerate(texts)
+                 for run in repeats._runs(text, length) for row in zip(*run)}
+        together = [tuple(map(int, row)) for run in repeats._runs_of(texts, length)
+                    for row in zip(*run)]
+        assert set(together) == alone and len(together) == len(alone) > 1000
+
+
+def test_grams_shared_by_chance_leave_no_surroundings(spark, monkeypatch):
+    """Strings of 30 bytes that all texts have, none of them within a common one of 50."""
+    rng, held = np.random.default_rng(3), {}
+
+    def counted(frame, label, store=repeats.stored):
+        out = store(frame, label)
+        if label == "contexts":
+            held["open"] = out.where("anchor is not null").count()
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common = [noise(30) for _ in range(12)]
+    docs = [(k, "".join(noise(60) + c for c in common)) for k in range(30)]
+    assert _removed(spark, docs, 50) == brute_repeats(docs, 50) and held["open"] == 0
+    passage = noise(56)
+    docs += [(100 + k, noise(k) + passage + noise(70 - k)) for k in range(9)]
+    assert _removed(spark, docs, 50) == brute_repeats(docs, 50)
+    assert 0 < held["open"] < 200
+
+
 def test_repeats_are_cut_at_whole_characters(spark):
     docs = edge_frame(spark)
     cut = repeats.remove_repeats(docs)
